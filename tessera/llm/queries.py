@@ -40,3 +40,32 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_files import token_table
 
     return token_table(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+@query
+def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.cube_mix import mix
+
+    return mix(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.norm_topk import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20, scale=64.0)
+
+
+ORACLES["op4_exact_topk"] = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
