@@ -9,8 +9,8 @@ sample's tokens equal their expectation until at most two documents are left.
 *Flight*: a source is dealt into blocks by a hash of doc_id, longest documents
 first inside a block, so what a block can't decide is short.  Leftovers of all
 blocks fly again, level by level, until one block of a source is left.
-*Landing*: the last documents of a source and a dozen of its shortest are decided
-by trial to come nearest its tokens.
+*Landing*: the last documents of a source and a dozen shorter ones are decided by
+trial to come nearest its tokens.
 
 Null texts have size 0; a null source is a source, the last one; repeated rows
 are drawn one by one; other columns are ignored; an empty table gives an empty
@@ -106,12 +106,15 @@ def land(size: list[float], p: list[float], reopen: int = REOPEN) -> list[float]
     """Decide the last fractions so that tokens, then documents, come nearest.
 
     A fraction of a long document can't be rounded without missing the target,
-    so the ``reopen`` shortest documents of the block are decided anew with it.
+    so ``reopen`` documents, from the shortest up to its length, are decided anew
+    with it.
     """
     open_ = [i for i, v in enumerate(p) if 0.0 < v < 1.0]
     if not open_:
         return p
-    again = sorted((i for i, v in enumerate(p) if v in (0.0, 1.0) and size[i]), key=lambda i: (size[i], i))[:reopen]
+    longest = max(size[i] for i in open_)
+    near = sorted((i for i, v in enumerate(p) if v in (0.0, 1.0) and 0 < size[i] <= longest), key=lambda i: (size[i], i))
+    again = [near[j] for j in sorted({round(x) for x in np.linspace(0, len(near) - 1, reopen)})] if near else []
     every = open_ + again
     width = np.array([size[i] for i in every])
     now = np.array([p[i] for i in every])
