@@ -157,7 +157,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, keeps_s
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = batch.column("text")
-            for i, j in wk.slices(texts, 1 << 21):
+            for i, j in wk.slices(texts, 1 << 19):
                 ids, bounds = code.encode(texts[i:j])
                 total = np.diff(bounds) + 1
                 each = -(-total // capacity)

@@ -9,6 +9,7 @@ temporary one made.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -66,10 +67,23 @@ def _sweep() -> None:
             return
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: idle workers stay alive beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches bounded in bytes."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

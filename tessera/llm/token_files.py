@@ -26,7 +26,7 @@ from tessera.llm import wordkernel as wk
 from tessera.llm.frames import map_batches, settle
 from tessera.llm.unit_encoder import encoder
 
-PER_FILE = 1 << 20
+PER_FILE = 1 << 19
 FILE_SCHEMA = "part long, piece long, start_in_part long, n_tokens long, doc_ids binary, doc_known binary, blob binary"
 ROW_SCHEMA = "part long, doc_id long, start_in_part long, n_tokens long, ids_crc32 long"
 
@@ -51,7 +51,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, keeps_space: boo
 
         for batch in batches:
             texts = batch.column("text")
-            for i, j in wk.slices(texts, 1 << 21):
+            for i, j in wk.slices(texts, 1 << 19):
                 ids, bounds = code.encode(texts[i:j])
                 counts = np.diff(bounds) + 1
                 ends = np.cumsum(counts) - 1

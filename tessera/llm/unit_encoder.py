@@ -22,9 +22,9 @@ import pyarrow as pa
 from tessera.llm import wordkernel as wk
 from tessera.llm.wordkernel import U64
 
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 #: Ids kept before the memory of a worker is emptied.
-MOST_IDS = 12_000_000
+MOST_IDS = 4_000_000
 
 SLOW, LETTER, DIGIT, SIGN, BLANK = 0, 1, 2, 3, 4
 
