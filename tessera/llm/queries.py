@@ -69,3 +69,22 @@ WITH e AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import quality
+
+    part = quality.remainder(F.col("doc_id"), 5)
+    found = quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), part != 0, threshold=0.3)
+    return found.select("doc_id", (part == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import toxicity
+    from tessera.llm.quality import remainder
+
+    part = remainder(F.col("doc_id"), 3)
+    found = toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), part != 1, threshold=0.7)
+    return found.select("doc_id", (part == 1).alias("held_out"), "score", "predicted")
