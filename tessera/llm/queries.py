@@ -88,3 +88,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = remainder(F.col("doc_id"), 3)
     found = toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), part != 1, threshold=0.7)
     return found.select("doc_id", (part == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.voronoi_join import join
+
+    return join(documents(spark, sf_dir), width=5, percent=80)
