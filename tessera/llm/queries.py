@@ -95,3 +95,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.voronoi_join import join
 
     return join(documents(spark, sf_dir), width=5, percent=80)
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.recompression import dedup
+
+    found = dedup(documents(spark, sf_dir).select("doc_id", "text"), k=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
