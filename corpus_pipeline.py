@@ -1,15 +1,74 @@
-"""A corpus pipeline: documents in, packed training sequences out."""
+"""A corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of documents.  ``ORACLE_SQL`` is None: a learnt classifier, a
+balanced sample and a packing have no SQL; the tests hold the stages against
+brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import best_fit, cube_mix, quality, recompression, voronoi_join
+from tessera.llm.frames import settle
+from tessera.llm.queries import vocabulary
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
+def _chosen(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is decided, a null one included."""
+    return docs.join(decided.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learnt = quality.remainder(F.col("doc_id"), 5) != 0
+    found = quality.classify(docs, labels, learnt, threshold=0.3)
+    return _chosen(docs, found.filter("predicted = 1"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate component."""
+    found = voronoi_join.join(docs, width=5, percent=80)
+    return _chosen(docs, found.filter("doc_id <=> component_id")).dropDuplicates(["doc_id"])
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words that long repeats cover; a text that loses all its words goes."""
+    found = recompression.dedup(docs, k=20, tidy=False)
+    left = found.filter("n_removed = 0 or n_removed < n_words").withColumn("text", F.col("kept"))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    found = cube_mix.mix(docs, weights=(3, 1, 2), share=1.5, most=2.0).filter("copies > 0")
+    times = found.groupBy("doc_id").agg(F.max("copies").alias("_times")).withColumnRenamed("doc_id", "_id")
+    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    return best_fit.pack(docs, vocabulary("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("substring dedup", without_repeats),
+    ("mixing to target weights", mixed),
+    ("best-fit packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read back before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

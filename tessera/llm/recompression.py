@@ -27,6 +27,7 @@ an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -319,7 +320,7 @@ def _repeats(k: int):
     return run
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(tidy: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the words that marked ranges cover."""
     for batch in batches:
         columns = [batch.column(c) for c in ("_row", "_id", "text", "ranges")]
@@ -344,11 +345,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(mark, words.starts[stay], 1)
             np.add.at(mark, words.ends[stay] + more, -1)
             mask = np.cumsum(mark[: len(data)], dtype=np.int8) > 0
+            n_removed = np.bincount(words.doc()[gone], minlength=j - i) if m else np.zeros(j - i, np.int64)
             text = data.copy()
             text[words.ends[stay][more]] = 0x20
+            if not tidy:
+                whole = np.repeat(n_removed == 0, np.diff(bounds))
+                mask |= whole
+                text[whole] = data[whole]
             out = text[mask].tobytes()
             cut = np.concatenate([[0], np.cumsum(mask)])[bounds]
-            n_removed = np.bincount(words.doc()[gone], minlength=j - i) if m else np.zeros(j - i, np.int64)
             kept = pa.StringArray.from_buffers(j - i, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(out))
             yield pa.RecordBatch.from_arrays([columns[0][i:j], pa.array(words.counts), pa.array(n_removed), kept], names=["_row", "n_words", "n_removed", "kept"])
 
@@ -360,14 +365,15 @@ def repeated(docs: DataFrame, k: int = 20) -> DataFrame:
     return map_batches(packed.repartition(parts, "part").select("kind", "blob"), _repeats(k), "_id long, start long, stop long")
 
 
-def dedup(docs: DataFrame, k: int = 20) -> DataFrame:
-    """The rows of docs with n_words, n_removed and kept, the text without its repeats.
+def dedup(docs: DataFrame, k: int = 20, tidy: bool = True) -> DataFrame:
+    """The rows of docs, but for the text, with n_words, n_removed and kept, the text without its repeats.
 
+    Kept words are joined by one space; without ``tidy``, only in texts that lose some.
     Columns of docs named so, or with a leading underscore, are replaced or dropped.
     """
     ranges = settle(repeated(docs, k)).groupBy("_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     named = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept") and not c.startswith("_")]
     rows = _key(docs.select(*named)).join(ranges, "_id", "left").select(F.struct(*[c for c in named if c != "text"]).alias("_row"), "_id", "text", "ranges")
     row_type = rows.schema["_row"].dataType.simpleString()
-    kept = map_batches(rows, _kept, f"_row {row_type}, n_words long, n_removed long, kept string")
+    kept = map_batches(rows, functools.partial(_kept, tidy), f"_row {row_type}, n_words long, n_removed long, kept string")
     return kept.select("_row.*", "n_words", "n_removed", "kept")
