@@ -103,3 +103,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = dedup(documents(spark, sf_dir).select("doc_id", "text"), k=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stand for files: their URLs are the paths, and any that states a licence speaks for its directory."""
+    from tessera.llm.license_scan import scan, url_path
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return scan(pages.select(url_path(F.col("url")).alias("path"), F.col("html").alias("text")), threshold=0.7)
