@@ -112,3 +112,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return scan(pages.select(url_path(F.col("url")).alias("path"), F.col("html").alias("text")), threshold=0.7)
+
+
+@query
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images, so every vector of embeddings is painted as one."""
+    from tessera.llm.image_copies import copies, painted
+
+    return copies(painted(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))).withColumnRenamed("id", "vec_id")
