@@ -18,9 +18,21 @@ from tessera.llm.queries import vocabulary
 ORACLE_SQL = None
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
+def _columns(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def _chosen(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is decided, a null one included."""
-    return docs.join(decided.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    key = _fresh(docs, "key")
+    return docs.join(decided.select(F.col("doc_id").alias(key)), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,17 +51,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words that long repeats cover; a text that loses all its words goes."""
-    found = recompression.dedup(docs, k=20, tidy=False)
-    left = found.filter("n_removed = 0 or n_removed < n_words").withColumn("text", F.col("kept"))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    found = recompression.dedup(docs.select("doc_id", "text", F.struct(*_columns(docs)).alias("row")), k=20, tidy=False)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.filter("n_removed = 0 or n_removed < n_words").select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     found = cube_mix.mix(docs, weights=(3, 1, 2), share=1.5, most=2.0).filter("copies > 0")
-    times = found.groupBy("doc_id").agg(F.max("copies").alias("_times")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    key, times, copy = (_fresh(docs, n) for n in ("key", "times", "copy"))
+    taken = found.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times))
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(key)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*_columns(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import wordkernel as wk
@@ -171,8 +171,12 @@ def _ranges(doc: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return doc[at], p[at], p[np.maximum(end, 0)] + k if len(at) else p[at]
 
 
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id")
+
+
 def _key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    return docs.select(_id(), "text")
 
 
 def hot_symbols(docs: DataFrame, k: int) -> np.ndarray:
@@ -255,7 +259,7 @@ def _packed(docs: DataFrame, hot: np.ndarray, parts: int, k: int) -> DataFrame:
         if held:
             yield flush()
 
-    return map_batches(_key(docs).select("_id", "text"), run, "part int, kind int, blob binary")
+    return map_batches(_key(docs), run, "part int, kind int, blob binary")
 
 
 def _repeats(k: int):
@@ -369,11 +373,11 @@ def dedup(docs: DataFrame, k: int = 20, tidy: bool = True) -> DataFrame:
     """The rows of docs, but for the text, with n_words, n_removed and kept, the text without its repeats.
 
     Kept words are joined by one space; without ``tidy``, only in texts that lose some.
-    Columns of docs named so, or with a leading underscore, are replaced or dropped.
+    Columns of docs that have those three names are replaced.
     """
     ranges = settle(repeated(docs, k)).groupBy("_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    named = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept") and not c.startswith("_")]
-    rows = _key(docs.select(*named)).join(ranges, "_id", "left").select(F.struct(*[c for c in named if c != "text"]).alias("_row"), "_id", "text", "ranges")
+    named = [f"`{c}`" for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept")]
+    rows = docs.select(F.struct(*named).alias("_row"), _id(), "text").join(ranges, "_id", "left")
     row_type = rows.schema["_row"].dataType.simpleString()
     kept = map_batches(rows, functools.partial(_kept, tidy), f"_row {row_type}, n_words long, n_removed long, kept string")
     return kept.select("_row.*", "n_words", "n_removed", "kept")

@@ -316,9 +316,10 @@ def _cells(near: DataFrame, point: DataFrame, leaf: int, radius: float) -> DataF
         large = open_.join(sizes, ["p", "lows"])
         if depth < DEPTH:
             order = F.xxhash64("k", F.lit(depth))
-            # a sixteenth of a large cell is enough to draw its pivots from
-            drawn = F.collect_set(F.when(F.pmod(order, F.lit(16)) == 0, F.struct(order.alias("o"), "k")))
-            chosen = large.groupBy("p", "lows").agg(F.slice(F.array_sort(drawn), 1, PIVOTS).alias("c"))
+            # a sixteenth of a large cell is enough to draw its pivots from; a small one may give but its least
+            mark = F.struct(order.alias("o"), "k")
+            drawn = F.array_sort(F.collect_set(F.when(F.pmod(order, F.lit(16)) == 0, mark)))
+            chosen = large.groupBy("p", "lows").agg(F.slice(F.array_union(drawn, F.array(F.min(mark))), 1, PIVOTS).alias("c"))
             around = chosen.select("p", "lows", F.explode("c.k").alias("k")).join(shingles, "k").groupBy("p", "lows").agg(F.collect_list("shingles").alias("around"))
             open_ = settle(map_batches(large.drop("size").join(shingles, "k").join(around, ["p", "lows"]), _split(radius), CELL))
             continue
