@@ -6,9 +6,10 @@ template; a file whose best segment reaches ``threshold`` states that licence.
 file that states none takes that of the nearest ancestor directory holding a licence
 file.  Everything is DataFrame functions; Python code runs on the driver alone.
 
-Segments are skipped only where that is exact: the driver picks the terms so common
-that, by Cauchy-Schwarz, no segment made of them alone can reach the threshold, and
-a segment without any other template term goes.  Words outside the templates count
+Texts are read once.  That pass keeps a file's template terms, for the frequencies,
+and the segments that hold a template term outside ``PLAIN``.  Afterwards the driver
+knows the weights and can tell whether, by Cauchy-Schwarz, a segment with plain terms
+alone could reach the threshold; only if it could are all segments read again.  Words outside the templates count
 into a segment's length with the weight of a term that no file has.
 
 Null or empty texts state nothing; a null path has no directory; ties go to the
@@ -44,16 +45,18 @@ TEMPLATES = (
     ("CC0-1.0", "Released under CC0 1.0 Universal."),
 )
 _CUT = r"<[^>]*>|[\r\n]+"
-_GAP = r"[^a-z0-9.]+|\.+(?![0-9])|(?<![0-9])\.+"
+_GAP = r"[^a-z0-9.]+"
+#: Everyday words of the templates, most likely too common to carry a cosine.
+PLAIN = frozenset("the of and to in is with or that are by this you any may a an it not for from on".split())
 
 
 def terms(text: Column) -> Column:
-    """Lower-case words and version numbers."""
-    return F.filter(F.split(F.lower(text), _GAP), lambda w: w != "")
+    """Words and version numbers of a lower-case text."""
+    return F.filter(F.transform(F.split(text, _GAP), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
 
 
 def _terms(text: str) -> list[str]:
-    return [w for w in re.split(_GAP, text.lower()) if w]
+    return [w for w in (w.strip(".") for w in re.split(_GAP, text.lower())) if w]
 
 
 def _weights(files: int, df: dict[str, int]) -> tuple[dict[str, float], float]:
@@ -61,15 +64,10 @@ def _weights(files: int, df: dict[str, int]) -> tuple[dict[str, float], float]:
     return {t: math.log((1 + files) / (1 + n)) + 1 for t, n in df.items()}, rarest
 
 
-def _common(vectors: list[dict[str, float]], idf: dict[str, float], threshold: float) -> set[str]:
-    """The commonest terms that can't carry a cosine to the threshold by themselves."""
-    out: set[str] = set()
-    for t in sorted(idf, key=lambda t: (idf[t], t)):
-        more = out | {t}
-        if any(math.sqrt(sum(w * w for u, w in v.items() if u in more) / sum(w * w for w in v.values())) >= threshold - 1e-9 for v in vectors):
-            break
-        out = more
-    return out
+def _can_carry(words: frozenset[str], vectors: list[dict[str, float]], threshold: float) -> bool:
+    """Whether a segment that shares only these words with a template can reach the threshold."""
+    share = (sum(w * w for u, w in v.items() if u in words) / sum(w * w for w in v.values()) for v in vectors)
+    return any(math.sqrt(x) >= threshold - 1e-6 for x in share)
 
 
 def statements(files: DataFrame, threshold: float, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -78,10 +76,16 @@ def statements(files: DataFrame, threshold: float, templates: tuple[tuple[str, s
     words = [_terms(t) for _, t in templates]
     vocabulary = sorted({w for ws in words for w in ws})
     named = F.array(*[F.lit(w) for w in vocabulary])
-    segments = files.select("path", F.explode(F.split("text", _CUT)).alias("segment")).select("path", terms(F.col("segment")).alias("words"))
-    met = segments.select("path", F.array_intersect("words", named).alias("met"), F.col("words")).filter(F.size("met") > 0)
+
+    def read(wanted: list[str]) -> DataFrame:
+        """path, met (template terms of the file), near (segments with a wanted term)."""
+        cut = files.select("path", F.transform(F.split(F.lower("text"), _CUT), terms).alias("segments"))
+        near = F.filter("segments", lambda s: F.arrays_overlap(s, F.array(*[F.lit(w) for w in wanted])))
+        return settle(cut.select("path", F.array_intersect(F.flatten("segments"), named).alias("met"), near.alias("near")))
+
+    table = read([w for w in vocabulary if w not in PLAIN])
     # a file counts once for a term however many segments have it
-    counts = met.groupBy("path").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("met")).select(F.explode("met").alias("term")).groupBy("term").count()
+    counts = table.select("path", F.explode("met").alias("term")).distinct().groupBy("term").count()
     total = files.agg(F.countDistinct("path")).first()[0]
     df = dict.fromkeys(vocabulary, 0) | {r["term"]: r["count"] for r in counts.collect()}  # as many rows as template terms
     idf, rarest = _weights(total, df)
@@ -91,12 +95,12 @@ def statements(files: DataFrame, threshold: float, templates: tuple[tuple[str, s
         for w in ws:
             v[w] += idf[w]
         vectors.append(dict(v))
-    common = _common(vectors, idf, threshold)
-    telling = F.array(*[F.lit(w) for w in vocabulary if w not in common])
+    if _can_carry(PLAIN, vectors, threshold):
+        table = read(vocabulary)
     rows = [(i, licence, w, x / math.sqrt(sum(y * y for y in v.values()))) for i, ((licence, _), v) in enumerate(zip(templates, vectors, strict=True)) for w, x in v.items()]
     template = spark.createDataFrame(rows, "template int, licence string, term string, part double")
     weight = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
-    near = met.filter(F.arrays_overlap("met", telling)).withColumn("segment", F.monotonically_increasing_id())
+    near = table.select("path", F.explode("near").alias("words")).withColumn("segment", F.monotonically_increasing_id())
     each = near.select("path", "segment", F.explode("words").alias("term")).groupBy("path", "segment", "term").agg(F.count("*").alias("tf"))
     each = each.withColumn("w", F.col("tf") * F.coalesce(F.try_element_at(weight, F.col("term")), F.lit(rarest)))
     length = each.groupBy("path", "segment").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
@@ -116,8 +120,8 @@ def scan(files: DataFrame, threshold: float = 0.7, licence_file: Column | None =
 
     ``licence_file`` tells which stating files speak for their directory (all, if None).
     """
-    rows = settle(files.select("path", "text"))
-    own = settle(statements(rows.filter("path is not null and text is not null"), threshold))
+    rows = files.select("path")
+    own = settle(statements(files.select("path", "text").filter("path is not null and text is not null"), threshold))
     speak = own if licence_file is None else own.filter(licence_file)
     order = F.struct(-F.col("score"), F.col("licence"), F.col("path"))
     held = speak.withColumn("dir", directory(F.col("path"))).groupBy("dir").agg(F.min_by(F.struct("licence", "score"), order).alias("held"))
