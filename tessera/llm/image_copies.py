@@ -42,7 +42,7 @@ CONSENSUS = 4
 _rng = np.random.default_rng(7)
 _TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 4)), -RADIUS + 2, RADIUS - 2)
 _HEAD = re.compile(rb"^P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
-POINT = "x float, y float, scale float, angle float, bits binary"
+POINT = "x: float, y: float, scale: float, angle: float, b0: bigint, b1: bigint"
 
 
 def to_pgm(pixels: np.ndarray) -> bytes:
@@ -134,13 +134,13 @@ def described(images: DataFrame) -> DataFrame:
                         shapes.setdefault(p.shape, []).append(n)
                 for rows in shapes.values():
                     for b, x, y, scale, angle, bits in keypoints(np.stack([pixels[n] for n in rows]).astype(np.float32)):
+                        two = np.ascontiguousarray(bits).view(np.int64)
                         for j in range(len(b)):
-                            points[rows[b[j]]].append({"x": x[j], "y": y[j], "scale": scale[j], "angle": angle[j], "bits": bits[j].tobytes()})
-                kind = pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32()), ("scale", pa.float32()), ("angle", pa.float32()), ("bits", pa.binary())]))
+                            points[rows[b[j]]].append({"x": x[j], "y": y[j], "scale": scale[j], "angle": angle[j], "b0": two[j, 0], "b1": two[j, 1]})
+                kind = pa.list_(pa.struct([*((c, pa.float32()) for c in ("x", "y", "scale", "angle")), ("b0", pa.int64()), ("b1", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digest, pa.int64()), pa.array(points, kind)], names=["id", "digest", "points"])
 
-    fields = POINT.replace(" float", ": float").replace(" binary", ": binary")
-    return map_batches(images.select(F.col("id").cast("long").alias("id"), "image"), run, f"id long, digest long, points array<struct<{fields}>>")
+    return map_batches(images.select(F.col("id").cast("long").alias("id"), "image"), run, f"id long, digest long, points array<struct<{POINT}>>")
 
 
 def _bits_apart(a: str, b: str):
@@ -152,20 +152,18 @@ def copies(images: DataFrame) -> DataFrame:
     """id, n_keypoints, component_id, n_links of every image (id, image)."""
     table = settle(described(images))
     classes = table.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("points").alias("points"))
-    hexed = F.hex("p.bits")
-    # a half of the bits, shifted so that it fits a signed long
-    half = lambda n: F.conv(F.substring(hexed, n, 16), 16, -10).cast("long")
-    points = settle(classes.select(F.col("digest").alias("im"), F.posexplode("points").alias("no", "p")).select("im", "no", "p.x", "p.y", "p.scale", "p.angle", half(1).alias("b0"), half(17).alias("b1")))
-    keys = F.array(*[F.struct(F.lit(t).alias("table"), F.shiftrightunsigned(F.col(f"b{t // 2}"), 32 * (t % 2)).bitwiseAND(0xFFFFFFFF).alias("key")) for t in range(4)])
-    shelf = points.withColumn("k", F.explode(keys)).select("*", "k.table", "k.key").drop("k")
-    # a bucket is a range of rows: each meets the first and the one before it
-    once = shelf.groupBy("table", "key", "im").agg(F.min_by(F.struct("no", "x", "y", "scale", "angle", "b0", "b1"), "no").alias("q"))
-    row = Window.partitionBy("table", "key").orderBy("im")
-    met = once.withColumn("first", F.first(F.struct("im", "q")).over(row)).withColumn("before", F.lag(F.struct("im", "q")).over(row))
-    pair = met.select("im", "q", F.explode(F.array_distinct(F.array("first", "before"))).alias("o")).filter(F.col("o").isNotNull() & (F.col("o.im") < F.col("im")))
-    flat = pair.select(
-        F.col("o.im").alias("a"), F.col("im").alias("b"), *[F.col(f"o.q.{c}").alias(f"a_{c}") for c in ("no", "x", "y", "scale", "angle", "b0", "b1")], *[F.col(f"q.{c}").alias(f"b_{c}") for c in ("no", "x", "y", "scale", "angle", "b0", "b1")]
-    ).dropDuplicates(["a", "b", "a_no", "b_no"])
+    points = settle(classes.select(F.col("digest").alias("im"), F.posexplode("points").alias("no", "p")).select("im", F.col("no").cast("smallint").alias("no"), "p.*"))
+    word = lambda t: F.shiftrightunsigned(F.col(f"b{t // 2}"), 32 * (t % 2)).bitwiseAND(0xFFFFFFFF)
+    keys = F.array(*[word(t) + F.lit(t << 32) for t in range(4)])  # the table's number above its 32 bits
+    # a bucket is a range of rows: each image meets the first and the one before it
+    shelf = points.select("im", "no", F.explode(keys).alias("key")).repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    row = Window.partitionBy("key").orderBy("im")
+    met = shelf.groupBy("key", "im").agg(F.min("no").alias("no"))
+    met = met.withColumn("first", F.first(F.struct("im", "no")).over(row)).withColumn("before", F.lag(F.struct("im", "no")).over(row))
+    pair = met.filter("before is not null").select("im", "no", F.explode(F.array_distinct(F.array("first", "before"))).alias("o"))
+    pair = pair.select(F.col("o.im").alias("a"), F.col("o.no").alias("a_no"), F.col("im").alias("b"), F.col("no").alias("b_no")).distinct()
+    side = lambda s: points.select(F.col("im").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("no", "x", "y", "scale", "angle", "b0", "b1")])
+    flat = pair.join(side("a"), ["a", "a_no"]).join(side("b"), ["b", "b_no"])
     flat = flat.filter(_bits_apart("a_b", "b_b") <= NEAR)
     turn, grow = F.col("b_angle") - F.col("a_angle"), F.col("a_scale") / F.col("b_scale")
     flat = flat.withColumn("turn", F.pmod(turn + 6.283185307, F.lit(6.283185307))).withColumn("grow", F.log2(grow))
