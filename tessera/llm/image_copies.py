@@ -3,8 +3,10 @@
 An image (binary PGM, 8 bits) is looked at in ``SCALES`` sizes.  Each gives its
 strongest Harris corners; a corner's patch is turned by the direction of its
 intensity centroid and described by 128 comparisons of pixel pairs.  The 128 bits
-are cut into four keys of 32: descriptors at a Hamming distance of 3 or less share
-one of them, others by chance.  Images that share keys are candidates; they are
+are cut into two keys: descriptors at a Hamming distance of 1 or less share one of
+them, others by chance.  An edit that changes more bits of most descriptors hides a
+copy; enough corners survive crops, turns by right angles, tone changes and light
+noise.  Images that share keys are candidates; they are
 copies if at least ``CONSENSUS`` distinct matches agree on one rotation, scale and
 shift, voted on two overlapping grids.
 
@@ -40,7 +42,7 @@ TESTS = 128
 NEAR = 24
 CONSENSUS = 4
 _rng = np.random.default_rng(7)
-_TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 4)), -RADIUS + 2, RADIUS - 2)
+_TESTS = np.clip(_rng.uniform(-RADIUS, RADIUS, (TESTS, 4)), -RADIUS + 2, RADIUS - 2)
 _HEAD = re.compile(rb"^P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
 POINT = "x: float, y: float, scale: float, angle: float, b0: bigint, b1: bigint"
 
@@ -153,8 +155,7 @@ def copies(images: DataFrame) -> DataFrame:
     table = settle(described(images))
     classes = table.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("points").alias("points"))
     points = settle(classes.select(F.col("digest").alias("im"), F.posexplode("points").alias("no", "p")).select("im", F.col("no").cast("smallint").alias("no"), "p.*"))
-    word = lambda t: F.shiftrightunsigned(F.col(f"b{t // 2}"), 32 * (t % 2)).bitwiseAND(0xFFFFFFFF)
-    keys = F.array(*[word(t) + F.lit(t << 32) for t in range(4)])  # the table's number above its 32 bits
+    keys = F.array(*[F.xxhash64(F.lit(c), F.col(c)) for c in ("b0", "b1")])
     # a bucket is a range of rows: each image meets the first and the one before it
     shelf = points.select("im", "no", F.explode(keys).alias("key")).repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     row = Window.partitionBy("key").orderBy("im")
@@ -183,15 +184,18 @@ def copies(images: DataFrame) -> DataFrame:
 
 
 def painted(vectors: DataFrame, side: int = 8, cell: int = 7) -> DataFrame:
-    """id and image: each vector painted as side x side squares of gray, as a media column to scan."""
+    """id and image: each vector painted as side x side spots of gray that run into each other, as a media column to scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = (np.arange(side * cell) + 0.5) / cell - 0.5
+        run_in = np.clip(1 - np.abs(at[:, None] - np.arange(side)), 0, None)
+        run_in /= run_in.sum(1, keepdims=True)
         for batch in batches:
             blobs = []
             for v in batch.column("embedding"):
                 x = np.array([e if e is not None and np.isfinite(e) else 0.0 for e in v.as_py()], float) if v.is_valid else np.zeros(0)
                 x = np.resize(x, side * side) if len(x) else None
-                blobs.append(None if x is None else to_pgm(np.kron(np.clip(128 + 300 * x, 0, 255).reshape(side, side), np.ones((cell, cell)))))
+                blobs.append(None if x is None else to_pgm(run_in @ np.clip(128 + 300 * x, 0, 255).reshape(side, side) @ run_in.T))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(blobs, pa.binary())], names=["id", "image"])
 
     return map_batches(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")), run, "id long, image binary")
