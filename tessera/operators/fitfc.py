@@ -114,8 +114,9 @@ def filter_arrays(h1: np.ndarray, value: np.ndarray, ok: np.ndarray, o: FitFCOpt
         there = shifted(ok, dy, dx, False)
         diff = np.where(there, ((shifted(h1, dy, dx, np.nan) - h1) ** 2).sum(0), np.inf)
         cand_s, cand_d, cand_v = diff, np.where(np.isfinite(diff), d2, np.inf), shifted(value, dy, dx, np.nan)
-        for k in range(o.neighbors):  # insertion into the sorted list of the best
-            better = cand_s < score[k]
+        better = np.zeros(ok.shape, bool)
+        for k in range(o.neighbors):  # insertion into the sorted list of the best; what it displaces moves on
+            better = better | (cand_s < score[k])
             if not better.any():
                 continue
             cand_s, score[k] = np.where(better, score[k], cand_s), np.where(better, cand_s, score[k])
