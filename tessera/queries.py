@@ -11,7 +11,7 @@ from tessera.functions import arith, color, masks
 from tessera.functions.geo import GeoTransform, Rectangle
 from tessera.functions.intervals import IntervalSet
 from tessera.model import dense_raster, fine_raster, long_form, low_raster
-from tessera.operators import aggregates, estarfm, fitfc, interpolation, neighborhood, staarch, starfm
+from tessera.operators import aggregates, estarfm, fitfc, interpolation, neighborhood, staarch, starfm, warp
 from tessera.plans import planner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,6 +188,19 @@ _qa("fmask-python", "qa IN (2, 3)")
 _qa("fmask-matlab", "qa IN (2, 4)")
 
 
+@query("nodata_predicate", f"WITH {PX} SELECT date, y, x, band, value <> 77 AS valid FROM px WHERE value IS NOT NULL")
+def nodata_predicate(spark, d):
+    return _px(spark, d).filter("value is not null").select("date", "y", "x", "band", masks.not_nodata(F.col("value"), 77.0).alias("valid"))
+
+
+@query("prediction_mask", f"WITH {PX}, p AS (SELECT y, x, band, bool_and(valid) AS v FROM px WHERE date IN (1, 7) GROUP BY 1, 2, 3) SELECT px.date, y, x, band, p.v AND {_IN} AS valid FROM px JOIN p USING (y, x, band) WHERE px.date BETWEEN 2 AND 6")
+def prediction_mask(spark, d):
+    p = _px(spark, d)
+    pair = masks.pair_mask(p, [("high", 1), ("high", 7)])
+    now = masks.range_mask(p.filter("date between 2 and 6"), _RANGE)
+    return masks.combine(now, pair).select("date", "y", "x", "band", "valid")
+
+
 # --- cell arithmetic -----------------------------------------------------------------------------
 def _cells(name: str, sql: str, fn):
     @query(name, f"WITH {FINE} SELECT x, y, d, CAST({sql} AS DOUBLE) AS value FROM fine")
@@ -289,6 +302,18 @@ def copy_high(spark, d):
     return planner.copy_high(_px(spark, d), spark.createDataFrame([(2,), (3,)], "date int"), "high").select("tag", "date", "y", "x", "band", "value", "valid")
 
 
+def _date_sets(name: str, sql: str, fn):
+    @query(name, f"WITH {DAYS} {sql}")
+    def run(spark, d):
+        high, low, _ = _dates(spark, d)
+        return fn(high, low)
+
+
+_date_sets("date_union", "SELECT date FROM high UNION SELECT date FROM low_d", lambda a, b: a.union(b).distinct())
+_date_sets("date_intersection", "SELECT date FROM high INTERSECT SELECT date FROM low_d", lambda a, b: a.intersect(b))
+_date_sets("date_difference", "SELECT date FROM low_d EXCEPT SELECT date FROM high", lambda a, b: b.subtract(a))
+
+
 @query("prediction_dates", f"WITH {TASK} SELECT date FROM task WHERE date NOT IN (SELECT date FROM pr)")
 def prediction_dates(spark, d):
     high, low, _ = _dates(spark, d)
@@ -379,6 +404,19 @@ def bilinear_shift(spark, d):
     return below.select("x", "y", "d", (F.col("row") * 0.5 + F.col("n_row") * 0.5).alias("value"))
 
 
+def _warp(method: str, sql: str):
+    @query(f"warp_{method}", f"WITH {PX}, t AS (SELECT CAST(i % 10 AS INT) AS tx, CAST(i // 10 AS INT) AS ty FROM range(100) r(i)), c AS (SELECT *, (tx + 0.5::DOUBLE) * 3 + 1 AS sx, (ty + 0.5::DOUBLE) * 2.5::DOUBLE + 2 AS sy FROM t) {sql}")
+    def run(spark, d):
+        out = warp.warp(_px(spark, d), GeoTransform(), GeoTransform(1.0, 3.0, 0.0, 2.0, 0.0, 2.5), 10, 10, method)
+        return out.filter("value is not null").select("date", "y", "x", "band", (F.round("value", 6) + 0.0).alias("value"))
+
+
+_warp("nearest", "SELECT px.date, ty AS y, tx AS x, band, round(value, 6) + 0.0 AS value FROM c JOIN px ON px.x = floor(sx) AND px.y = floor(sy) WHERE valid")
+_warp("bilinear", """, n AS (SELECT c.ty, c.tx, floor(sx - 0.5) + a.i AS x, floor(sy - 0.5) + b.i AS y,
+  CASE a.i WHEN 1 THEN sx - 0.5 - floor(sx - 0.5) ELSE 1 - (sx - 0.5 - floor(sx - 0.5)) END * CASE b.i WHEN 1 THEN sy - 0.5 - floor(sy - 0.5) ELSE 1 - (sy - 0.5 - floor(sy - 0.5)) END AS w FROM c, range(2) a(i), range(2) b(i))
+  SELECT px.date, ty AS y, tx AS x, band, round(sum(w * value) / sum(w), 6) + 0.0 AS value FROM n JOIN px ON px.x = n.x AND px.y = n.y WHERE valid AND w > 0 GROUP BY 1, 2, 3, 4""")
+
+
 # --- fusion --------------------------------------------------------------------------------------
 def _aligned(spark: SparkSession, d: str, double: bool) -> DataFrame:
     """Rows per pred_date (2 to 6), y, x and band of the pair dates 1 and 7."""
@@ -604,6 +642,12 @@ def neighbor_exceed(spark, d):
     return staarch.with_neighbour(_di(spark, d).withColumn("one", F.lit(1)), F.col("di") >= 0.5, ["one"]).select("x", "y", "exceeds")
 
 
+@query("change_mask", f"WITH {DENSE}, h AS (SELECT y, x, d, coalesce(b0 >= 120, false) AS hit FROM dense) SELECT b.y, b.x, b.hit AND NOT a.hit AS changed FROM h a JOIN h b ON a.y = b.y AND a.x = b.x WHERE a.d = 1 AND b.d = 7")
+def change_mask(spark, d):
+    hit = lambda day: dense_raster(spark, d).filter(F.col("d") == day).select("y", "x", F.coalesce(F.col("b0") >= 120, F.lit(False)).alias("disturbed"))
+    return staarch.change_mask(hit(1), hit(7))
+
+
 _SERIES = f"{DENSE}, s AS (SELECT y, x, d AS date, CAST(b0 AS DOUBLE) AS di, ok AND b0 IS NOT NULL AS valid FROM dense)"
 
 
