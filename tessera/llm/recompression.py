@@ -46,7 +46,7 @@ FAR = 1 << 40
 SAMPLE = 32
 HOT_SHARE = 2e-5
 HOT_LEAST = 40
-ROWS = 150_000
+ROWS = 60_000
 NULL_ID = -(1 << 63)
 
 
@@ -184,7 +184,7 @@ def hot_symbols(docs: DataFrame, k: int) -> np.ndarray:
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in wk.slices(batch.column("text"), 1 << 20):
+            for i, j in wk.slices(batch.column("text"), 1 << 19):
                 rows = _Rows(batch.column("text")[i:j], np.arange(j - i), k)
                 name, n = np.unique(rows.name, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n)], names=["name", "n"])
@@ -249,7 +249,7 @@ def _packed(docs: DataFrame, hot: np.ndarray, parts: int, k: int) -> DataFrame:
 
         for batch in batches:
             ids = batch.column("_id").to_numpy()
-            for i, j in wk.slices(batch.column("text"), 1 << 20):
+            for i, j in wk.slices(batch.column("text"), 1 << 19):
                 rows = _Rows(batch.column("text")[i:j], ids[i:j], k)
                 if len(rows.name):
                     held.append((rows.name, rows.doc, rows.first, rows.count, rows.window[_expand(rows.at, rows.count)]))
@@ -328,7 +328,7 @@ def _kept(tidy: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """Texts without the words that marked ranges cover."""
     for batch in batches:
         columns = [batch.column(c) for c in ("_row", "_id", "text", "ranges")]
-        for i, j in wk.slices(columns[2], 1 << 20):
+        for i, j in wk.slices(columns[2], 1 << 19):
             _, ids, texts, ranges = (c[i:j] for c in columns)
             data, bounds = wk.text_bytes(texts)
             words = wk.split_words(data, bounds)
