@@ -158,3 +158,51 @@ WITH d AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g USING (doc_id)
 """
+
+
+def _license_sql(threshold: float) -> str:
+    from tessera.llm.license_scan import TEMPLATES
+
+    values = ", ".join(f"({i}, '{licence}', '{text}')" for i, (licence, text) in enumerate(TEMPLATES))
+    words = r"list_filter(list_transform(regexp_split_to_array({}, '[^a-z0-9.]+'), lambda w: trim(w, '.')), lambda w: w <> '')"
+    return rf"""
+WITH f AS (
+  SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z]+://|/+$', '', 'g') AS path, lower(html) AS text FROM pages
+), total AS (
+  SELECT count(DISTINCT path) AS n FROM f
+), seg AS (
+  SELECT path, row_number() OVER () AS sid, s FROM (SELECT path, unnest(regexp_split_to_array(text, '<[^>]*>|[\r\n]+')) AS s FROM f)
+), word AS (
+  SELECT path, sid, unnest({words.format("s")}) AS term FROM seg
+), tw AS (
+  SELECT t, licence, term, count(*) AS tf FROM (SELECT t, licence, unnest({words.format("lower(text)")}) AS term FROM (VALUES {values}) v(t, licence, text)) GROUP BY 1, 2, 3
+), idf AS (
+  SELECT term, ln((1 + any_value(total.n)) / (1 + count(DISTINCT path))) + 1 AS idf FROM (SELECT DISTINCT term FROM tw) LEFT JOIN word USING (term), total GROUP BY 1
+), tmpl AS (
+  SELECT t, licence, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS length FROM tw JOIN idf USING (term)
+), tf AS (
+  SELECT path, sid, term, count(*) AS tf FROM word WHERE sid IN (SELECT sid FROM word JOIN idf USING (term)) GROUP BY 1, 2, 3
+), wt AS (
+  SELECT path, sid, term, tf * coalesce(idf, ln(1 + n) + 1) AS w FROM tf LEFT JOIN idf USING (term), total
+), best AS (
+  SELECT path, licence, round(dot / length, 6) AS score FROM (SELECT path, sid, t, licence, sum(wt.w * tmpl.w / tmpl.length) AS dot FROM wt JOIN tmpl USING (term) GROUP BY 1, 2, 3, 4)
+  JOIN (SELECT path, sid, sqrt(sum(w * w)) AS length FROM wt GROUP BY 1, 2) USING (path, sid) WHERE round(dot / length, 6) >= {threshold}
+), own AS (
+  SELECT path, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) AS r FROM best) WHERE r = 1
+), held AS (
+  SELECT dir, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, licence, path) AS r FROM (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir FROM own)) WHERE r = 1
+), files AS (
+  SELECT path, regexp_replace(path, '/?[^/]*$', '') AS dir FROM f
+), up AS (
+  SELECT dir, n, array_to_string(string_split(dir, '/')[1:n], '/') AS above FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS n FROM (SELECT DISTINCT dir FROM files))
+), near AS (
+  SELECT dir, licence, score, above FROM (SELECT up.dir, held.licence, held.score, above, row_number() OVER (PARTITION BY up.dir ORDER BY n DESC) AS r FROM up JOIN held ON held.dir = up.above) WHERE r = 1
+)
+SELECT files.path, coalesce(own.licence, near.licence) AS licence, coalesce(own.score, near.score) AS score,
+  CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN near.above IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN own.licence IS NOT NULL THEN files.dir ELSE near.above END AS directory
+FROM files LEFT JOIN own USING (path) LEFT JOIN near ON near.dir = files.dir
+"""
+
+
+ORACLES["op9_license_scan"] = _license_sql(0.7)
