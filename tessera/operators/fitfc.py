@@ -78,14 +78,19 @@ def cubic_weights(size: int, target: int, a: float = -0.75) -> list[tuple[int, i
     return [(o, i, w) for (o, i), w in out.items()]
 
 
-def resample(cells: DataFrame, column: str, axis: str, weights: list[tuple[int, int, float]], keys: list[str]) -> DataFrame:
-    """One-dimensional linear resampling by a weight table; missing cells are left out and weights renewed."""
-    table = F.broadcast(cells.sparkSession.createDataFrame(weights, "_out int, _in int, _w double"))  # image side x 5 rows
-    other = "x" if axis == "y" else "y"
-    joined = cells.join(table, F.col(axis) == F.col("_in"))
-    known = F.when(F.col(column).isNotNull(), F.col("_w"))
-    mean = F.try_divide(F.sum(known * F.col(column)), F.sum(known))
-    return joined.groupBy(*keys, F.col("_out").alias(axis), other).agg(mean.alias(column))
+def resample(cells: DataFrame, column: str, down: list[tuple[int, int, float]], across: list[tuple[int, int, float]], keys: list[str]) -> DataFrame:
+    """Linear resampling by weight tables for y and x, one axis after the other.
+
+    Missing cells are left out and the weights of the others renewed at the end.
+    """
+    known = F.col(column).isNotNull()
+    part = cells.select(*keys, "y", "x", F.coalesce(column, F.lit(0.0)).alias("_v"), F.when(known, 1.0).otherwise(0.0).alias("_n"))
+    for axis, weights in (("y", down), ("x", across)):
+        table = F.broadcast(cells.sparkSession.createDataFrame(weights, "_out int, _in int, _w double"))  # image side x 5 rows
+        other = "x" if axis == "y" else "y"
+        joined = part.join(table, F.col(axis) == F.col("_in"))
+        part = joined.groupBy(*keys, F.col("_out").alias(axis), other).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in ("_v", "_n")])
+    return part.select(*keys, "y", "x", F.try_divide(F.col("_v"), F.col("_n")).alias(column))
 
 
 def smooth_residual(cells: DataFrame, height: int, width: int, factor: float) -> DataFrame:
@@ -97,9 +102,9 @@ def smooth_residual(cells: DataFrame, height: int, width: int, factor: float) ->
     if min(height, width) < factor:
         raise SizeError("the image is smaller than the resolution factor")
     down_y, down_x = area_weights(height, factor), area_weights(width, factor)
-    small = resample(resample(r, "residual", "y", down_y, keys), "residual", "x", down_x, keys)
+    small = resample(r, "residual", down_y, down_x, keys)
     my, mx = max(o for o, *_ in down_y) + 1, max(o for o, *_ in down_x) + 1
-    return resample(resample(small, "residual", "y", cubic_weights(my, height), keys), "residual", "x", cubic_weights(mx, width), keys)
+    return resample(small, "residual", cubic_weights(my, height), cubic_weights(mx, width), keys)
 
 
 def filter_arrays(h1: np.ndarray, value: np.ndarray, ok: np.ndarray, o: FitFCOptions) -> np.ndarray:

@@ -489,11 +489,15 @@ _starfm("starfm_logscale", True, log_scale=1.0)
 _starfm("starfm_copyzero", True, copy_zero=True)
 
 
-@query("fitfc_regression", f"""WITH {_LOWPX}, v AS (SELECT * FROM al WHERE h1 IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL),
+_REGRESSED = f"""{_LOWPX}, v AS (SELECT * FROM al WHERE h1 IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL),
  m AS (SELECT a.pred_date, a.y, a.x, a.band, any_value(a.h1) AS h1, any_value(a.l1) AS l1, any_value(a.l2) AS l2, count(*)::DOUBLE AS n, sum(b.l1) AS sx, sum(b.l2) AS sy, sum(b.l1 * b.l1) AS sxx, sum(b.l1 * b.l2) AS sxy
    FROM v a JOIN v b ON a.pred_date = b.pred_date AND a.band = b.band AND b.x BETWEEN a.x - 3 AND a.x + 3 AND b.y BETWEEN a.y - 3 AND a.y + 3 GROUP BY 1, 2, 3, 4),
- r AS (SELECT *, abs(n * sxx - sx * sx) < 1e-14 AS flat, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS ga FROM m), q AS (SELECT *, (sy - ga * sx) / n AS gb FROM r)
- SELECT pred_date, y, x, band, round(CASE WHEN flat THEN h1 ELSE least(greatest(round_even(round(ga * h1 + gb, 9), 0), 0), 255) END, 6) + 0.0 AS frm, round(CASE WHEN flat THEN l2 - l1 ELSE l2 - (ga * l1 + gb) END, 6) + 0.0 AS residual FROM q""")
+ r AS (SELECT *, abs(n * sxx - sx * sx) < 1e-14 AS flat, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS ga FROM m), q AS (SELECT *, (sy - ga * sx) / n AS gb FROM r),
+ reg AS (SELECT pred_date, y, x, band, h1, CASE WHEN flat THEN h1 ELSE least(greatest(round_even(round(ga * h1 + gb, 9), 0), 0), 255) END AS frm, CASE WHEN flat THEN l2 - l1 ELSE l2 - (ga * l1 + gb) END AS residual FROM q)"""
+_CUBIC = ", ".join(f"({o}, {i}, {w!r}::DOUBLE)" for o, i, w in fitfc.cubic_weights(8, 32))
+
+
+@query("fitfc_regression", f"WITH {_REGRESSED} SELECT pred_date, y, x, band, round(frm, 6) + 0.0 AS frm, round(residual, 6) + 0.0 AS residual FROM reg")
 def fitfc_regression(spark, d):
     r = fitfc.regression(_aligned(spark, d, False), fitfc.FitFCOptions(window=7))
     return _rounded(r.filter("ok").select("pred_date", "y", "x", "band", "frm", "residual"), "pred_date", "y", "x", "band")
@@ -503,13 +507,21 @@ def fitfc_regression(spark, d):
 def fitfc_residual_downscale(spark, d):
     r = _aligned(spark, d, False).select("pred_date", "band", "y", "x", (F.col("l2") - F.col("l1")).alias("residual"))
     keys, w = ["pred_date", "band"], fitfc.area_weights(32, 4)
-    return _rounded(fitfc.resample(fitfc.resample(r, "residual", "y", w, keys), "residual", "x", w, keys), "pred_date", "band", "y", "x").select("pred_date", "band", "y", "x", "residual")
-
-
-@query("fitfc_predict")
+    return _rounded(fitfc.resample(r, "residual", w, w, keys), "pred_date", "band", "y", "x")
+
+
+@query("fitfc_predict", f"""WITH {_REGRESSED}, small AS (SELECT pred_date, band, y // 4 AS sy, x // 4 AS sx, avg(residual) AS r FROM reg GROUP BY 1, 2, 3, 4), cw AS (SELECT * FROM (VALUES {_CUBIC}) t(o, i, w)),
+ up AS (SELECT pred_date, band, a.o AS y, b.o AS x, sum(r * a.w * b.w) / sum(a.w * b.w) AS r FROM small JOIN cw a ON sy = a.i JOIN cw b ON sx = b.i GROUP BY 1, 2, 3, 4),
+ val AS (SELECT reg.*, frm + up.r AS v FROM reg JOIN up USING (pred_date, band, y, x)),
+ piv AS (SELECT pred_date, y, x, {', '.join(f'any_value(h1) FILTER (band = {c}) AS h{c}, any_value(v) FILTER (band = {c}) AS v{c}' for c in range(3))} FROM val GROUP BY 1, 2, 3 HAVING count(*) = 3),
+ near AS (SELECT a.pred_date, a.y, a.x, {', '.join(f'b.v{c}' for c in range(3))}, (b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x) AS d2,
+   row_number() OVER (PARTITION BY a.pred_date, a.y, a.x ORDER BY {' + '.join(f'(a.h{c} - b.h{c}) * (a.h{c} - b.h{c})' for c in range(3))}, (b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x), b.y - a.y, b.x - a.x) AS rank
+   FROM piv a JOIN piv b ON a.pred_date = b.pred_date AND b.x BETWEEN a.x - 3 AND a.x + 3 AND b.y BETWEEN a.y - 3 AND a.y + 3),
+ w AS (SELECT *, 1 / (1 + 2 * sqrt(d2) / 7) AS w FROM near WHERE rank <= 5)
+ {' UNION ALL '.join(f'SELECT pred_date, y, x, {c} AS band, round(sum(w * v{c}) / sum(w), 4) + 0.0 AS value FROM w GROUP BY 1, 2, 3' for c in range(3))}""")
 def fitfc_predict(spark, d):
-    out = fitfc.predict(_aligned(spark, d, False), 3, 32, 32, fitfc.FitFCOptions(window=7, neighbors=5, resolution_factor=4, tile=16))
-    return out.select("pred_date", "y", "x", F.posexplode("value").alias("band", "value"))
+    out = fitfc.predict(_aligned(spark, d, False), 3, 32, 32, fitfc.FitFCOptions(window=7, neighbors=5, resolution_factor=4, tile=16), cut=False)
+    return out.select("pred_date", "y", "x", F.posexplode("value").alias("band", "value")).filter("value is not null").withColumn("value", F.round("value", 4) + 0.0)
 
 
 def _banded(spark: SparkSession, d: str) -> DataFrame:
