@@ -46,7 +46,8 @@ def regression(aligned: DataFrame, options: FitFCOptions) -> DataFrame:
     gain = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), det)
     shift = F.try_divide(F.col("sy") - gain * F.col("sx"), F.col("n"))
     df = df.withColumn("_a", F.when(flat, 1.0).otherwise(gain)).withColumn("_b", F.when(flat, 0.0).otherwise(shift))
-    frm = F.when(flat, F.col("h1")).otherwise(saturate(F.col("_a") * F.col("h1") + F.col("_b"), options.dtype))
+    # nine places: an error of summation must not decide how a half is rounded
+    frm = F.when(flat, F.col("h1")).otherwise(saturate(F.round(F.col("_a") * F.col("h1") + F.col("_b"), 9), options.dtype))
     return df.select(*aligned.columns, v(frm).alias("frm"), v(b - (F.col("_a") * a + F.col("_b"))).alias("residual"))
 
 
