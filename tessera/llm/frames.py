@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,6 +70,7 @@ def _sweep() -> None:
 
 def _give_back() -> None:
     """Return freed memory to the system: idle workers stay alive beside busy ones."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -364,7 +364,8 @@ def _kept(tidy: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def repeated(docs: DataFrame, k: int = 20) -> DataFrame:
     """_id, start, stop: word ranges whose windows also start earlier."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a task holds all windows of its partition, so there are more partitions than usual
+    parts = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = _packed(docs, hot_symbols(docs, k), parts, k)
     return map_batches(packed.repartition(parts, "part").select("kind", "blob"), _repeats(k), "_id long, start long, stop long")
 
