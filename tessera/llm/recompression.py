@@ -298,12 +298,14 @@ def _repeats(k: int):
         busy |= count > k
         several = np.flatnonzero(~busy & (count > 1))
         if len(several):
-            for d in range(1, k):
-                rows = several[count[several] > d]
-                if not len(rows):
-                    break
-                # a text of period d repeats its first window d words later
-                busy[rows[(window[at[rows]] == window[at[rows] + d]).all(1)]] = True
+            # a row may start before its repeating part, so all its windows are compared, at most k of them
+            c = count[several]
+            wide = np.zeros((int(c.sum()), 8), np.uint8)
+            wide[:, :6] = window[_expand(at[several], c)]
+            w, own = wide.view(U64).ravel(), np.repeat(several, c)
+            for d in range(1, int(c.max())):
+                busy[own[d:][(w[d:] == w[:-d]) & (own[d:] == own[:-d])]] = True
+            del wide, w, own
         rows = np.flatnonzero(busy)
         if not len(rows):
             return

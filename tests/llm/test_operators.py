@@ -180,6 +180,19 @@ def test_substring_dedup_small_alphabets(spark, seed, monkeypatch):
     assert sorted(got, key=str) == dedup(rows, 6)
 
 
+def test_substring_dedup_short_periods(spark):
+    """Passages that repeat briefly between words that occur nowhere else."""
+    rows, new = [], itertools.count()
+    unique = lambda n: " ".join(f"u{next(new)}" for _ in range(n))
+    for period in (1, 2, 3, 5, 7, 10, 13, 19):
+        for length in range(21, 45, 4):
+            passage = (unique(period).split() * 45)[:length]
+            rows.append((len(rows), " ".join([unique(40), *passage, unique(40)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in recompression.dedup(df).select("doc_id", "n_words", "n_removed", "kept").collect()]
+    assert sorted(got, key=str) == dedup(rows, 20)
+
+
 def test_untouched_texts_keep_their_form(spark):
     df = spark.createDataFrame([(1, "a\n\nb  c")], "doc_id long, text string")
     assert recompression.dedup(df, tidy=False).first()["kept"] == "a\n\nb  c"
