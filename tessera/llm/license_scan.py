@@ -6,11 +6,14 @@ template; a file whose best segment reaches ``threshold`` states that licence.
 file that states none takes that of the nearest ancestor directory holding a licence
 file.  Everything is DataFrame functions; Python code runs on the driver alone.
 
-Texts are read once.  That pass keeps a file's template terms, for the frequencies,
-and the segments that hold a template term outside ``PLAIN``.  Afterwards the driver
-knows the weights and can tell whether, by Cauchy-Schwarz, a segment with plain terms
-alone could reach the threshold; only if it could are all segments read again.  Words outside the templates count
-into a segment's length with the weight of a term that no file has.
+A first pass keeps a file's template terms, for their frequencies, and the segments
+that hold a template term outside ``PLAIN``.  Afterwards the driver knows the weights
+of template terms and can tell whether, by Cauchy-Schwarz, a segment with plain terms
+alone could reach the threshold; only if it could are all segments read again.  Any
+other term weighs 1 at least, which bounds a segment's score from above; segments that
+could reach the threshold stay.  If they hold terms that no template has, another pass
+counts the files of those terms (a broadcast side, as large as the words of such
+segments), so every term has its weight among all files.
 
 Null or empty texts state nothing; a null path has no directory; ties go to the
 better score, then the licence's name, then the path; repeated rows are all
@@ -60,6 +63,7 @@ def _terms(text: str) -> list[str]:
 
 
 def _weights(files: int, df: dict[str, int]) -> tuple[dict[str, float], float]:
+    """Weights of terms by the files that have them, and that of a term that no file has."""
     rarest = math.log(1 + files) + 1
     return {t: math.log((1 + files) / (1 + n)) + 1 for t, n in df.items()}, rarest
 
@@ -88,7 +92,7 @@ def statements(files: DataFrame, threshold: float, templates: tuple[tuple[str, s
     counts = table.select("path", F.explode("met").alias("term")).distinct().groupBy("term").count()
     total = files.agg(F.countDistinct("path")).first()[0]
     df = dict.fromkeys(vocabulary, 0) | {r["term"]: r["count"] for r in counts.collect()}  # as many rows as template terms
-    idf, rarest = _weights(total, df)
+    idf, _ = _weights(total, df)
     vectors = []
     for ws in words:
         v: dict[str, float] = defaultdict(float)
@@ -100,9 +104,25 @@ def statements(files: DataFrame, threshold: float, templates: tuple[tuple[str, s
     rows = [(i, licence, w, x / math.sqrt(sum(y * y for y in v.values()))) for i, ((licence, _), v) in enumerate(zip(templates, vectors, strict=True)) for w, x in v.items()]
     template = spark.createDataFrame(rows, "template int, licence string, term string, part double")
     weight = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
-    near = table.select("path", F.explode("near").alias("words")).withColumn("segment", F.monotonically_increasing_id())
+    parts: dict[int, list[Column]] = defaultdict(list)
+    for i, _, w, part in rows:
+        parts[i] += [F.lit(w), F.lit(part)]
+    near = table.select("path", F.explode("near").alias("words")).withColumn("own", F.array_intersect("words", named))
+    near = near.withColumn("others", F.size(F.array_distinct("words")) - F.size("own"))
+    near = near.withColumn("own", F.transform("own", lambda t: F.struct(t.alias("term"), (F.size(F.filter("words", lambda w: w == t)) * F.element_at(weight, t)).alias("w"))))
+    add = lambda of: F.aggregate("own", F.lit(0.0), lambda sum_, t: sum_ + of(t))
+    dots = [add(lambda t, m=F.create_map(*p): t["w"] * F.coalesce(F.try_element_at(m, t["term"]), F.lit(0.0))) for p in parts.values()]
+    most = F.array_max(F.array(*dots)) / F.sqrt(add(lambda t: t["w"] * t["w"]) + F.col("others"))
+    near = settle(near.filter(most >= threshold - 1e-6).select("path", "words", F.monotonically_increasing_id().alias("segment")))
     each = near.select("path", "segment", F.explode("words").alias("term")).groupBy("path", "segment", "term").agg(F.count("*").alias("tf"))
-    each = each.withColumn("w", F.col("tf") * F.coalesce(F.try_element_at(weight, F.col("term")), F.lit(rarest)))
+    other = settle(near.select(F.explode(F.array_except("words", named)).alias("term")).distinct())
+    if other.limit(1).count():
+        held = files.select("path", F.explode(F.array_distinct(F.flatten(F.transform(F.split(F.lower("text"), _CUT), terms)))).alias("term"))
+        often = held.join(F.broadcast(other), "term").distinct().groupBy("term").agg(F.count("*").alias("n"))
+        each = each.join(settle(often), "term", "left")
+    else:
+        each = each.withColumn("n", F.lit(0))
+    each = each.withColumn("w", F.col("tf") * F.coalesce(F.try_element_at(weight, F.col("term")), F.log((1 + total) / (1 + F.col("n"))) + 1))
     length = each.groupBy("path", "segment").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dot = each.join(F.broadcast(template), "term").groupBy("path", "segment", "template", "licence").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
     found = dot.join(length, ["path", "segment"]).select("path", "licence", F.round(F.col("dot") / F.col("length"), 6).alias("score")).filter(F.col("score") >= threshold)

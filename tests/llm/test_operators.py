@@ -401,6 +401,32 @@ def test_license_scores(spark):
     assert got == best and got
 
 
+@pytest.mark.parametrize("size", [60, 1500])
+def test_license_words_outside_templates(spark, size):
+    """Words that no template has weigh what their frequency among all files gives them."""
+    import math
+
+    said = ["was released under the mit license", "page was licensed under cc by 4.0 was", "zebra released under the mit license", "was the mit page"]
+    rows = [(f"s/{i}", f"<p>{t}</p>") for i, t in enumerate(said)]
+    rows += [(f"f/{i}", ("was was here" if i % 12 < 7 else "is here") + ("\npage" if i % 2 else "")) for i in range(size)]
+    rows += [rows[0], rows[5]]
+    files = [license_scan._terms(" ".join(re.split(license_scan._CUT, t))) for _, t in dict(rows).items()]
+    often = Counter(w for ws in files for w in set(ws))
+    idf = lambda w: math.log((1 + len(files)) / (1 + often[w])) + 1
+    vector = lambda ws: {w: n * idf(w) for w, n in Counter(ws).items()}
+    want = {}
+    for i, t in enumerate(said):
+        v = vector(license_scan._terms(t))
+        for name, text in license_scan.TEMPLATES:
+            u = vector(license_scan._terms(text))
+            c = sum(x * u.get(w, 0) for w, x in v.items()) / math.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in u.values()))
+            if round(c, 6) >= 0.7:
+                want[f"s/{i}"] = min(want.get(f"s/{i}", (0, "")), (-round(c, 6), name))
+    got = {r["path"]: (r["score"], r["licence"]) for r in license_scan.statements(spark.createDataFrame(rows, "path string, text string"), 0.7).collect()}
+    assert {p: name for p, (_, name) in got.items()} == {p: name for p, (_, name) in want.items()} and {"s/0", "s/1"} <= set(got)
+    assert all(score == pytest.approx(-want[p][0], abs=2e-6) for p, (score, _) in got.items())
+
+
 # --- 10: token files -----------------------------------------------------------------------------
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=30), max_size=6))
