@@ -10,10 +10,12 @@ noise.  Images that share keys are candidates; they are
 copies if at least ``CONSENSUS`` distinct matches agree on one rotation, scale and
 shift, voted on two overlapping grids.
 
-In a key's bucket each image meets the least image of the bucket and its own
-predecessor, so a crowded bucket costs its size and no pairs of all.  Images equal
-in every pixel are one image with a weight.  Copies are connected, so an image that
-misses a direct match is found through another.
+A pair of copies has ``CONSENSUS`` or more keypoints on either side whose keys the
+other has.  With an image's shared keys in the order of how often they occur, the
+rarest one that such a pair shares comes before the last ``CONSENSUS`` - 1 entries of
+both, so pairs meet under the other entries alone; each then counts the keys it shares
+in full, and all matches of those that share enough vote.  No pair is left out.  Images
+equal in every pixel are one image with a weight.  Copies are connected.
 
 Null, unreadable or featureless images have no keypoints and are alone, but for
 exact copies of readable ones; images smaller than a patch have none; ids that
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -156,13 +158,19 @@ def copies(images: DataFrame) -> DataFrame:
     classes = table.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("points").alias("points"))
     points = settle(classes.select(F.col("digest").alias("im"), F.posexplode("points").alias("no", "p")).select("im", F.col("no").cast("smallint").alias("no"), "p.*"))
     keys = F.array(*[F.xxhash64(F.lit(c), F.col(c)) for c in ("b0", "b1")])
-    # a bucket is a range of rows: each image meets the first and the one before it
-    shelf = points.select("im", "no", F.explode(keys).alias("key")).repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    row = Window.partitionBy("key").orderBy("im")
-    met = shelf.groupBy("key", "im").agg(F.min("no").alias("no"))
-    met = met.withColumn("first", F.first(F.struct("im", "no")).over(row)).withColumn("before", F.lag(F.struct("im", "no")).over(row))
-    pair = met.filter("before is not null").select("im", "no", F.explode(F.array_distinct(F.array("first", "before"))).alias("o"))
-    pair = pair.select(F.col("o.im").alias("a"), F.col("o.no").alias("a_no"), F.col("im").alias("b"), F.col("no").alias("b_no")).distinct()
+    shelf = points.select("im", "no", F.explode(keys).alias("key"))
+    # keys of one image alone are shared by no pair
+    often = shelf.groupBy("key").agg(F.count("*").alias("often"), F.min("im").alias("low"), F.max("im").alias("high")).filter("low < high").select("key", "often")
+    held = shelf.join(often, "key").groupBy("im").agg(F.array_sort(F.collect_list(F.struct("often", "key", "no"))).alias("held"))
+    held = settle(held.filter(F.size("held") >= CONSENSUS))
+    # of the keys a pair shares, the rarest comes before the last CONSENSUS - 1 entries of either image
+    least = held.select("im", F.explode(F.array_distinct(F.slice("held.key", F.lit(1), F.size("held") - (CONSENSUS - 1)))).alias("key"))
+    near = least.withColumnRenamed("im", "a").join(least.withColumnRenamed("im", "b"), "key").filter("a < b").select("a", "b").distinct()
+    own = lambda s: held.select(F.col("im").alias(s), F.col("held.key").alias(f"{s}_keys"))
+    common = lambda s, t: F.size(F.filter(f"{s}_keys", lambda k: F.array_contains(f"{t}_keys", k))) >= CONSENSUS
+    near = settle(near.join(own("a"), "a").join(own("b"), "b").filter(common("a", "b") & common("b", "a")).select("a", "b"))
+    entry = lambda s: held.select(F.col("im").alias(s), F.explode("held").alias("e")).select(s, F.col("e.key").alias("key"), F.col("e.no").alias(f"{s}_no"))
+    pair = near.join(entry("a"), "a").join(entry("b"), ["b", "key"]).select("a", "a_no", "b", "b_no").distinct()
     side = lambda s: points.select(F.col("im").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("no", "x", "y", "scale", "angle", "b0", "b1")])
     flat = pair.join(side("a"), ["a", "a_no"]).join(side("b"), ["b", "b_no"])
     flat = flat.filter(_bits_apart("a_b", "b_b") <= NEAR)

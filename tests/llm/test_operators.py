@@ -311,6 +311,14 @@ def test_image_copies(spark):
     assert image_copies.copies(spark.createDataFrame([], "id long, image binary")).count() == 0
 
 
+def test_image_copies_all_pairs(spark):
+    """Every two crops of one picture link, though they share their keys with all the others."""
+    p = picture(3)
+    rows = [(i, image_copies.to_pgm(p[2 * i : 2 * i + 80, i : i + 80])) for i in range(8)] + [(i, image_copies.to_pgm(picture(i))) for i in range(8, 12)]
+    got = {r["id"]: (r["component_id"], r["n_links"]) for r in image_copies.copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    assert got == {i: (0, 7) if i < 8 else (i, 0) for i in range(12)}
+
+
 # --- 8: packing ----------------------------------------------------------------------------------
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=120), st.integers(40, 60))
