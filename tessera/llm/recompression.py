@@ -21,7 +21,7 @@ The sample decides how rows travel and never what is found.
 Windows are compared by 112 bits (symbol and window), 128 for hot ones: chance
 equality is below 1e-12 for a whole corpus.  Null texts have no words; a null
 doc_id sorts before all others; equal windows at the same place of rows that
-repeat a doc_id are all kept; other columns stay untouched; an empty table gives
+repeat a doc_id are all kept, and rows are told apart by doc_id and a digest of the text; other columns stay untouched; an empty table gives
 an empty result.
 """
 
@@ -132,14 +132,14 @@ def anchors(h: np.ndarray, doc: np.ndarray, valid: np.ndarray, own: np.ndarray,
 class _Rows:
     """Rows of a slice: a symbol, its document, the first window and how many follow."""
 
-    def __init__(self, column: pa.Array, doc_ids: np.ndarray, k: int):
+    def __init__(self, column: pa.Array, doc_ids: np.ndarray, digests: np.ndarray, k: int):
         data, bounds = wk.text_bytes(column)
         words = wk.split_words(data, bounds)
         h, doc = wk.word_hashes(words), words.doc()
         starts, per = wk.windows_inside(words.first, k)
         self.window = np.zeros(len(h), U64)
         if not len(starts):
-            self.name, self.doc, self.at, self.first, self.count = (np.zeros(0, t) for t in (U64, np.int64, np.int64, np.int64, np.int64))
+            self.name, self.doc, self.text, self.at, self.first, self.count = (np.zeros(0, t) for t in (U64, *[np.int64] * 5))
             return
         w = wk.window_hashes(h, k)
         self.window[: len(w)] = w
@@ -153,30 +153,34 @@ class _Rows:
         self.name, self.count = chosen[at], np.diff(np.append(at, len(starts)))
         self.at = starts[at]  # in the slice
         self.first = self.at - words.first[doc[self.at]]  # in its document
-        self.doc = doc_ids[doc[self.at]]
+        self.doc, self.text = doc_ids[doc[self.at]], digests[doc[self.at]]
 
 
 def _expand(at: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def _ranges(doc: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marked windows as word ranges of documents."""
-    order = np.lexsort((p, doc))
-    doc, p = doc[order], p[order]
+def _ranges(doc: np.ndarray, text: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Marked windows as word ranges of rows."""
+    order = np.lexsort((p, text, doc))
+    doc, text, p = doc[order], text[order], p[order]
     new = np.ones(len(p), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (p[1:] > p[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (p[1:] > p[:-1] + 1)
     at = np.flatnonzero(new)
     end = np.append(at[1:], len(p)) - 1
-    return doc[at], p[at], p[np.maximum(end, 0)] + k if len(at) else p[at]
+    return doc[at], text[at], p[at], p[np.maximum(end, 0)] + k if len(at) else p[at]
 
 
 def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id")
 
 
+def _digest() -> Column:
+    return F.xxhash64("text").alias("_digest")
+
+
 def _key(docs: DataFrame) -> DataFrame:
-    return docs.select(_id(), "text")
+    return docs.select(_id(), _digest(), "text")
 
 
 def hot_symbols(docs: DataFrame, k: int) -> np.ndarray:
@@ -185,7 +189,7 @@ def hot_symbols(docs: DataFrame, k: int) -> np.ndarray:
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in wk.slices(batch.column("text"), 1 << 19):
-                rows = _Rows(batch.column("text")[i:j], np.arange(j - i), k)
+                rows = _Rows(batch.column("text")[i:j], np.arange(j - i), np.zeros(j - i, np.int64), k)
                 name, n = np.unique(rows.name, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n)], names=["name", "n"])
 
@@ -205,28 +209,30 @@ def _packed(docs: DataFrame, hot: np.ndarray, parts: int, k: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size
-            name, doc, p, count, window = (np.concatenate(x) for x in zip(*held, strict=True))
+            name, doc, text, p, count, window = (np.concatenate(x) for x in zip(*held, strict=True))
             held, size = [], 0
             at = np.cumsum(count) - count
-            marked = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            marked = (np.zeros(0, np.int64),) * 3
             if len(hot):
                 i = np.minimum(np.searchsorted(hot, name), len(hot) - 1)
                 is_hot = hot[i] == name
                 if is_hot.any():
                     c = count[is_hot]
                     w = window[_expand(at[is_hot], c)]
-                    d, q = np.repeat(doc[is_hot], c), _expand(p[is_hot], c)
-                    order = np.lexsort((q, d, w))
-                    w, d, q = w[order], d[order], q[order]
+                    d, x, q = np.repeat(doc[is_hot], c), np.repeat(text[is_hot], c), _expand(p[is_hot], c)
+                    order = np.lexsort((x, q, d, w))
+                    w, d, x, q = w[order], d[order], x[order], q[order]
                     lead = np.ones(len(w), bool)
                     lead[1:] = w[1:] != w[:-1]
                     least = np.maximum.accumulate(np.where(lead, np.arange(len(w)), 0))
                     later = (d != d[least]) | (q != q[least])
-                    marked = (d[later], q[later])
+                    marked = (d[later], x[later], q[later])
+                    # rows of one doc_id that differ elsewhere may share the first place
+                    lead[1:] |= ~later[1:] & (x[1:] != x[:-1])
                     cold = ~is_hot
                     window = np.concatenate([window[_expand(at[cold], count[cold])], w[lead]])
                     name = np.concatenate([name[cold], wk.mix64(w[lead] ^ U64(0x14057B7EF767814F))])
-                    doc, p = np.concatenate([doc[cold], d[lead]]), np.concatenate([p[cold], q[lead]])
+                    doc, text, p = np.concatenate([doc[cold], d[lead]]), np.concatenate([text[cold], x[lead]]), np.concatenate([p[cold], q[lead]])
                     count = np.concatenate([count[cold], np.ones(int(lead.sum()), np.int64)])
                     at = np.cumsum(count) - count
             dest = (name % U64(parts)).astype(np.int64)
@@ -237,22 +243,22 @@ def _packed(docs: DataFrame, hot: np.ndarray, parts: int, k: int) -> DataFrame:
                 own = order[edge[d] : edge[d + 1]]
                 if len(own):
                     w = window[_expand(at[own], count[own])]
-                    blobs.append(b"".join([np.int64(len(own)).tobytes(), name[own].tobytes(), doc[own].tobytes(), p[own].astype(np.int32).tobytes(), count[own].astype(np.uint8).tobytes(), w.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()]))
+                    blobs.append(b"".join([np.int64(len(own)).tobytes(), name[own].tobytes(), doc[own].tobytes(), text[own].tobytes(), p[own].astype(np.int32).tobytes(), count[own].astype(np.uint8).tobytes(), w.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()]))
                     part.append(d)
                     kind.append(0)
             if len(marked[0]):
-                d, a, b = _ranges(*marked, k)
-                blobs.append(np.stack([d, a, b]).astype(np.int64).tobytes())
+                d, x, a, b = _ranges(*marked, k)
+                blobs.append(np.stack([d, x, a, b]).astype(np.int64).tobytes())
                 part.append(int(d[0] % parts))
                 kind.append(1)
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
 
         for batch in batches:
-            ids = batch.column("_id").to_numpy()
+            ids, digests = (batch.column(c).to_numpy() for c in ("_id", "_digest"))
             for i, j in wk.slices(batch.column("text"), 1 << 19):
-                rows = _Rows(batch.column("text")[i:j], ids[i:j], k)
+                rows = _Rows(batch.column("text")[i:j], ids[i:j], digests[i:j], k)
                 if len(rows.name):
-                    held.append((rows.name, rows.doc, rows.first, rows.count, rows.window[_expand(rows.at, rows.count)]))
+                    held.append((rows.name, rows.doc, rows.text, rows.first, rows.count, rows.window[_expand(rows.at, rows.count)]))
                     size += len(rows.name)
                 if size >= ROWS:
                     yield flush()
@@ -266,28 +272,29 @@ def _repeats(k: int):
     """Of one partition's windows, all but the first of equal ones, as word ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(d: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(d), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (d, a, b)], names=["_id", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (d, t, a, b)], names=["_id", "_digest", "start", "stop"])
 
-        names, docs, ps, counts, windows = [], [], [], [], []
+        names, docs, texts, ps, counts, windows = [], [], [], [], [], []
         for batch in batches:
             for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
                 raw = np.frombuffer(blob.as_buffer(), np.uint8)
                 if kind == 1:
-                    yield from out(*raw.view(np.int64).reshape(3, -1))
+                    yield from out(*raw.view(np.int64).reshape(4, -1))
                     continue
                 m = int(raw[:8].view(np.int64)[0])
                 names.append(raw[8 : 8 + 8 * m].view(U64).copy())
                 docs.append(raw[8 + 8 * m : 8 + 16 * m].view(np.int64).copy())
-                ps.append(raw[8 + 16 * m : 8 + 20 * m].view(np.int32).astype(np.int64))
-                counts.append(raw[8 + 20 * m : 8 + 21 * m].astype(np.int64))
-                windows.append(raw[8 + 21 * m :].reshape(-1, 6).copy())
+                texts.append(raw[8 + 16 * m : 8 + 24 * m].view(np.int64).copy())
+                ps.append(raw[8 + 24 * m : 8 + 28 * m].view(np.int32).astype(np.int64))
+                counts.append(raw[8 + 28 * m : 8 + 29 * m].astype(np.int64))
+                windows.append(raw[8 + 29 * m :].reshape(-1, 6).copy())
         if not names:
             return
-        name, doc, p, count = (np.concatenate(x) for x in (names, docs, ps, counts))
+        name, doc, text, p, count = (np.concatenate(x) for x in (names, docs, texts, ps, counts))
         window = np.concatenate(windows)
-        del names, docs, ps, counts, windows
+        del names, docs, texts, ps, counts, windows
         at = np.cumsum(count) - count
         order = np.argsort(name, kind="stable")
         edge = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
@@ -313,15 +320,15 @@ def _repeats(k: int):
         wide = np.zeros((int(c.sum()), 8), np.uint8)
         wide[:, :6] = window[_expand(at[rows], c)]
         w, g = wide.view(U64).ravel(), np.repeat(group[rows], c)
-        d, q = np.repeat(doc[rows], c), _expand(p[rows], c)
+        d, x, q = np.repeat(doc[rows], c), np.repeat(text[rows], c), _expand(p[rows], c)
         order = np.lexsort((q, d, w, g))
-        w, g, d, q = w[order], g[order], d[order], q[order]
+        w, g, d, x, q = w[order], g[order], d[order], x[order], q[order]
         lead = np.ones(len(w), bool)
         lead[1:] = (w[1:] != w[:-1]) | (g[1:] != g[:-1])
         least = np.maximum.accumulate(np.where(lead, np.arange(len(w)), 0))
         later = (d != d[least]) | (q != q[least])
         if later.any():
-            yield from out(*_ranges(d[later], q[later], k))
+            yield from out(*_ranges(d[later], x[later], q[later], k))
 
     return run
 
@@ -365,11 +372,11 @@ def _kept(tidy: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def repeated(docs: DataFrame, k: int = 20) -> DataFrame:
-    """_id, start, stop: word ranges whose windows also start earlier."""
+    """_id, _digest, start, stop: word ranges whose windows also start earlier."""
     # a task holds all windows of its partition, so there are more partitions than usual
     parts = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = _packed(docs, hot_symbols(docs, k), parts, k)
-    return map_batches(packed.repartition(parts, "part").select("kind", "blob"), _repeats(k), "_id long, start long, stop long")
+    return map_batches(packed.repartition(parts, "part").select("kind", "blob"), _repeats(k), "_id long, _digest long, start long, stop long")
 
 
 def dedup(docs: DataFrame, k: int = 20, tidy: bool = True) -> DataFrame:
@@ -378,9 +385,9 @@ def dedup(docs: DataFrame, k: int = 20, tidy: bool = True) -> DataFrame:
     Kept words are joined by one space; without ``tidy``, only in texts that lose some.
     Columns of docs that have those three names are replaced.
     """
-    ranges = settle(repeated(docs, k)).groupBy("_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    ranges = settle(repeated(docs, k)).groupBy("_id", "_digest").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     named = [f"`{c}`" for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept")]
-    rows = docs.select(F.struct(*named).alias("_row"), _id(), "text").join(ranges, "_id", "left")
+    rows = docs.select(F.struct(*named).alias("_row"), _id(), _digest(), "text").join(ranges, ["_id", "_digest"], "left")
     row_type = rows.schema["_row"].dataType.simpleString()
     kept = map_batches(rows, functools.partial(_kept, tidy), f"_row {row_type}, n_words long, n_removed long, kept string")
     return kept.select("_row.*", "n_words", "n_removed", "kept")

@@ -193,6 +193,22 @@ def test_substring_dedup_short_periods(spark):
     assert sorted(got, key=str) == dedup(rows, 20)
 
 
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_substring_dedup_rows_of_one_id(spark, hot, monkeypatch):
+    """Different texts without an id, or with the same one, lose their own repeats only."""
+    monkeypatch.setattr(recompression, "HOT_LEAST", hot)
+    monkeypatch.setattr(recompression, "SAMPLE", 1)
+    rng = random.Random(9)
+    part = [sentence(rng, 25) for _ in range(3)]
+    rows = [(None, " ".join([sentence(rng, 30), part[0], sentence(rng, 9), part[0]])), (None, sentence(rng, 22)), (None, None)]
+    rows += [(5, " ".join([part[0], part[1], "end"])), (5, sentence(rng, 24)), (5, " ".join([part[2], "tail"])), (5, part[2]), (6, "more " + part[2])]
+    rows += [(3, part[2]), (7, part[1]), (8, sentence(rng, 21))]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = [tuple(r) for r in recompression.dedup(df).select("doc_id", "n_words", "n_removed", "kept").collect()]
+        assert sorted(got, key=str) == dedup(rows, 20)
+
+
 def test_untouched_texts_keep_their_form(spark):
     df = spark.createDataFrame([(1, "a\n\nb  c")], "doc_id long, text string")
     assert recompression.dedup(df, tidy=False).first()["kept"] == "a\n\nb  c"
