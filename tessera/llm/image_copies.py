@@ -1,7 +1,7 @@
 """Copies of images by local descriptors.
 
-An image (binary PGM, 8 bits) is looked at in ``SCALES`` sizes.  Each gives its
-strongest Harris corners; a corner's patch is turned by the direction of its
+An image (binary PGM, 8 bits) is looked at in ``SCALES`` sizes.  Each gives the
+strongest Harris corners of every square of ``FIELD`` pixels; a corner's patch is turned by the direction of its
 intensity centroid and described by 128 comparisons of pixel pairs.  The 128 bits
 are cut into two keys: descriptors at a Hamming distance of 1 or less share one of
 them, others by chance.  An edit that changes more bits of most descriptors hides a
@@ -38,7 +38,10 @@ from tessera.llm.components import components
 from tessera.llm.frames import map_batches, settle
 
 SCALES = (1.0, 0.75, 0.5)
+#: Corners taken in each square of FIELD x FIELD pixels, and how many are described at a time.
 CORNERS = 24
+FIELD = 64
+AT_ONCE = 4096
 RADIUS = 9
 TESTS = 128
 NEAR = 24
@@ -101,24 +104,31 @@ def keypoints(images: np.ndarray) -> list[tuple[np.ndarray, ...]]:
                     peak &= strength >= shifted if (sy, sx) > (0, 0) else strength > shifted
         inner = np.zeros_like(peak)
         inner[:, edge:-edge, edge:-edge] = peak[:, edge:-edge, edge:-edge]
-        value = np.where(inner & (strength > 1.0), strength, -np.inf).reshape(len(small), -1)
-        k = min(CORNERS, value.shape[1])
-        top = np.argpartition(-value, k - 1, axis=1)[:, :k]
-        b, c = np.nonzero(np.isfinite(np.take_along_axis(value, top, 1)))
-        at = top[b, c]
-        y, x = at // w, at % w
+        value = np.where(inner & (strength > 1.0), strength, -np.inf)
+        found = []
+        for top in range(0, h, FIELD):
+            for left in range(0, w, FIELD):
+                field = value[:, top : top + FIELD, left : left + FIELD]
+                wide, field = field.shape[2], field.reshape(len(small), -1)
+                k = min(CORNERS, field.shape[1])
+                at = np.argpartition(-field, k - 1, axis=1)[:, :k]
+                i, c = np.nonzero(np.isfinite(np.take_along_axis(field, at, 1)))
+                found.append((i, top + at[i, c] // wide, left + at[i, c] % wide))
+        every = [np.concatenate(x) for x in zip(*found, strict=True)]
         span = np.arange(-RADIUS, RADIUS + 1)
         disc = (span[:, None] ** 2 + span[None, :] ** 2 <= RADIUS**2).astype(np.float32)
-        patch = small[b[:, None, None], y[:, None, None] + span[:, None], x[:, None, None] + span[None, :]] * disc
-        angle = np.arctan2((patch * span[:, None]).sum((1, 2)), (patch * span).sum((1, 2)))
-        cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
         blurred = _box(small, 1)
+        for j in range(0, len(every[0]), AT_ONCE):
+            b, y, x = (e[j : j + AT_ONCE] for e in every)
+            patch = small[b[:, None, None], y[:, None, None] + span[:, None], x[:, None, None] + span[None, :]] * disc
+            angle = np.arctan2((patch * span[:, None]).sum((1, 2)), (patch * span).sum((1, 2)))
+            cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
 
-        def probe(px: np.ndarray, py: np.ndarray, b=b, x=x, y=y, cos=cos, sin=sin, blurred=blurred) -> np.ndarray:
-            return blurred[b[:, None], y[:, None] + np.rint(sin * px + cos * py).astype(int), x[:, None] + np.rint(cos * px - sin * py).astype(int)]
+            def probe(px: np.ndarray, py: np.ndarray, b=b, x=x, y=y, cos=cos, sin=sin, blurred=blurred) -> np.ndarray:
+                return blurred[b[:, None], y[:, None] + np.rint(sin * px + cos * py).astype(int), x[:, None] + np.rint(cos * px - sin * py).astype(int)]
 
-        bits = np.packbits(probe(_TESTS[:, 0], _TESTS[:, 1]) < probe(_TESTS[:, 2], _TESTS[:, 3]), axis=1)
-        out.append((b, (x + 0.5) / scale, (y + 0.5) / scale, np.full(len(b), scale), angle, bits))
+            bits = np.packbits(probe(_TESTS[:, 0], _TESTS[:, 1]) < probe(_TESTS[:, 2], _TESTS[:, 3]), axis=1)
+            out.append((b, (x + 0.5) / scale, (y + 0.5) / scale, np.full(len(b), scale), angle, bits))
     return out
 
 
@@ -156,7 +166,7 @@ def copies(images: DataFrame) -> DataFrame:
     """id, n_keypoints, component_id, n_links of every image (id, image)."""
     table = settle(described(images))
     classes = table.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("points").alias("points"))
-    points = settle(classes.select(F.col("digest").alias("im"), F.posexplode("points").alias("no", "p")).select("im", F.col("no").cast("smallint").alias("no"), "p.*"))
+    points = settle(classes.select(F.col("digest").alias("im"), F.posexplode("points").alias("no", "p")).select("im", "no", "p.*"))
     keys = F.array(*[F.xxhash64(F.lit(c), F.col(c)) for c in ("b0", "b1")])
     shelf = points.select("im", "no", F.explode(keys).alias("key"))
     # keys of one image alone are shared by no pair

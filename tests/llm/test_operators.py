@@ -335,6 +335,16 @@ def test_image_copies_all_pairs(spark):
     assert got == {i: (0, 7) if i < 8 else (i, 0) for i in range(12)}
 
 
+def test_image_copies_small_crop(spark):
+    """A crop of a large image without any of its strongest corners."""
+    large = 100 + picture(21, 420) * 0.3
+    large[:150, :420] = picture(22, 420)[:150]
+    pgm = image_copies.to_pgm
+    rows = [(1, pgm(large)), (2, pgm(large[283:373, 217:307])), (3, pgm(picture(23)))]
+    got = {r["id"]: r["component_id"] for r in image_copies.copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 # --- 8: packing ----------------------------------------------------------------------------------
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=120), st.integers(40, 60))
