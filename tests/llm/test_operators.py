@@ -283,10 +283,49 @@ def test_held_out_accuracy(spark, op):
     t = found.join(labels, "doc_id").toPandas()
     held = t["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0 if op == "quality" else zlib.crc32(str(i).encode()) % 3 == 1)
     t = t[held]
-    assert auc(t["score"].to_numpy(), t[op].to_numpy()) > (0.97 if op == "quality" else 0.8)
+    assert auc(t["score"].to_numpy(), t[op].to_numpy()) > (0.97 if op == "quality" else 0.9)
     assert t["score"].between(0, 1).all() and found.count() == docs.count()
 
 
+def test_toxic_recall(spark):
+    """Of held-out toxic rows nine in ten reach the threshold, of others hardly any."""
+    from pyspark.sql import functions as F
+
+    sf = SF.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    part = quality.remainder(F.col("doc_id"), 3)
+    t = toxicity.classify(docs, labels, part != 1).filter(part == 1).join(labels, "doc_id").toPandas()
+    assert t[t["toxic"] == 1]["predicted"].mean() >= 0.9 and t[t["toxic"] == 0]["predicted"].mean() <= 0.01
+
+
+def test_toxic_dictionaries_hold_whole_texts():
+    """Every word of a sampled text is in the dictionary of its part and side, and remembered votes are those measured."""
+    texts = pa.array(["Alpha beta, gamma beta " * 50 + "last", "delta epsilon zeta alpha"])
+    codes, first = toxicity.coded(texts)
+    sample = [(0, 1, codes[first[0] : first[1]].tobytes()), (0, 0, codes[first[1] : first[2]].tobytes())]
+    pair = toxicity.train(sample)[0]
+    assert [len(x) // 8 // toxicity.WIDTH for x in pair] == [4, 4] and toxicity.train(sample[:1]) is None
+    votes = toxicity.Votes(toxicity.train(sample))
+    asked = np.unique(codes)
+    again = votes(asked[1:3]), votes(asked)
+    assert (again[0] == again[1][1:3]).all()
+    word = lambda w: again[1][np.flatnonzero(asked == toxicity.coded(pa.array([w]))[0][0])[0], 0]
+    assert [word(w) for w in ("last", "GAMMA", "zeta", "alpha")] == [1, 1, -1, 0]
+
+
+def test_toxic_repeated_rows(spark):
+    """Rows that repeat a doc_id are scored each, a row labelled twice is learnt from."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, 40) + (" vile nasty" if i % 3 == 0 else "")) for i in range(90)] + [(3, "calm words"), (None, "vile nasty"), (None, "calm words")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(3, 1)], "doc_id long, toxic int")
+    got = toxicity.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(True)).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] == 3 for r in got) == 2
+    of = sorted(r["score"] for r in got if r["doc_id"] is None)
+    assert of[1] > 0.5 > of[0]
+
+
 @pytest.mark.parametrize("classify", [quality.classify, toxicity.classify])
 def test_classifier_edges(spark, docs, texts, classify):
     from pyspark.sql import functions as F
