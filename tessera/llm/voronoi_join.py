@@ -16,11 +16,17 @@ That document is the pivot of a Voronoi region, and the documents whose windows
 name it, boundary documents included, are replicated there.  A region of more than
 ``LEAF`` documents is split by pivots of its own: a document goes to the region of
 its nearest pivot, its home, and by the triangle inequality to every region whose
-pivot is at most 2r farther.  That recurs ``DEPTH`` times; what the inequality can't
-split (a ball smaller than r) is tiled, so nothing is capped.
-
-Inside a region all intersections are counted by matrix products over the shingles
-it shares; a pair belongs to one region only, so links are counted once.  Documents
+pivot is at most 2r farther.  A split is kept where it leaves at most ``WORTH`` of the
+region's pairs, and the parts are split again, ``DEPTH`` times in all; a ball narrower
+than r can't be split by any pivot and stays whole, in tiles of ``TILE`` documents.
+Nothing is capped.
+
+*Certain links.*  In a whole region of more than ``LEAF`` documents the member with the
+greatest total overlap with a few others is the pivot of a core: documents within r/2
+of it are, by the triangle inequality, all linked with each other, and their pairs are
+counted without being looked at.  All other intersections are counted by matrix products
+over the shingles the region shares; a pair belongs to one region only, so links are
+counted once.  Documents
 with equal sets are one point with a weight.  Sets are told apart by 64-bit digests
 and shingles by 64-bit hashes: a pair is misjudged with a probability near 1e-13.
 
@@ -39,15 +45,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm import wordkernel as wk
 from tessera.llm.components import components
-from tessera.llm.frames import map_batches, settle
+from tessera.llm.frames import columns, fresh, map_batches, settle
 from tessera.llm.wordkernel import U64
 
-LEAF = 3000
+LEAF = 16
 DEPTH = 2
 PIVOTS = 8
+DRAWN = 64
+#: The share of a region's pairs that a split may leave.
+WORTH = 0.7
+#: Documents of a region that no pivot splits, beyond which it is tiled.
+TILE = 3000
 #: A shingle this frequent among the documents of one chunk is hot everywhere.
 HOT = 64
 CHUNK = 1_000_000
@@ -196,47 +208,86 @@ def members(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
                 s, first = shingle_sets(batch.column("text")[i:j], width)
                 raw = s.tobytes()
                 own = wk.fold_rows(s, first).view(np.int64)
-                want = batch.column("k")[i:j].to_numpy()
-                ok = np.flatnonzero(own == want)  # a doc_id may have several rows
+                asked = batch.column("k")[i:j]
+                ok = own == asked.fill_null(0).to_numpy()  # a doc_id may have several rows
+                ok = np.flatnonzero((ok | ~np.asarray(asked.is_valid())) & (np.diff(first) > 0))
                 blobs = [raw[8 * first[d] : 8 * first[d + 1]] for d in ok.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(blobs, pa.binary())], names=["k", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.hint("shuffle_hash"), "doc_id")
-    return settle(map_batches(texts.select("k", "text"), run, "k long, shingles binary").dropDuplicates(["k"]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = rows.join(chosen.filter("doc_id is not null").hint("shuffle_hash"), "doc_id").select("k", "text")
+    # classes without any id: the digests of rows without one tell whether they are wanted
+    lost = rows.filter("doc_id is null").select(F.lit(None).cast("long").alias("k"), "text")
+    known = map_batches(texts, run, "k long, shingles binary")
+    found = map_batches(lost, run, "k long, shingles binary").join(chosen.filter("doc_id is null").select("k"), "k", "left_semi")
+    return settle(known.unionByName(found).dropDuplicates(["k"]))
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of all pairs of sets, by products over the shingles they share."""
+def _overlaps(sets: list[np.ndarray], rows: np.ndarray | None = None) -> np.ndarray:
+    """Intersection sizes of sets (or those in ``rows``) with all sets, by products over the shingles they share."""
     n = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), n)
     _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = often[column] > 1
     owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    if not len(column):
-        return total
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    step = max(64, min(4096, (1 << 23) // len(sets)))
-    for a in range(0, int(column[-1]) + 1, step):
-        lo, hi = np.searchsorted(column, (a, a + step))
-        m = np.zeros((len(sets), min(step, int(column[-1]) + 1 - a)), np.float32)
-        m[owner[lo:hi], column[lo:hi] - a] = 1
-        total += m @ m.T
+    total = np.zeros((len(sets) if rows is None else len(rows), len(sets)), np.float32)
+    if len(column):
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        step = max(64, min(4096, (1 << 23) // len(sets)))
+        for a in range(0, int(column[-1]) + 1, step):
+            lo, hi = np.searchsorted(column, (a, a + step))
+            m = np.zeros((len(sets), min(step, int(column[-1]) + 1 - a)), np.float32)
+            m[owner[lo:hi], column[lo:hi] - a] = 1
+            total += (m if rows is None else m[rows]) @ m.T
+    # a set shares all of itself with itself, shingles that no other has included
+    total[np.arange(len(total)), np.arange(len(sets)) if rows is None else rows] = n if rows is None else n[rows]
     return total
 
 
 LINK_SCHEMA = "k long, root long, links long"
 
 
-def _join_region(percent: int):
+def _core(sets: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+    """Members that the triangle inequality links with each other: those within r/2 of one pivot."""
+    tried = [_common(s, sets) for s in sets[:PIVOTS]]
+    both = max(tried, key=lambda b: int(b.sum()))
+    size = n[int(np.argmax([b.sum() for b in tried]))]
+    # 1 - both / union <= r / 2, in integers
+    return 200 * both >= (100 + percent) * (n + size - both)
+
+
+def _common(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of an ascending set with each of others."""
+    flat, n = np.concatenate(sets), np.array([len(s) for s in sets])
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    return np.bincount(np.repeat(np.arange(len(sets)), n), hit, len(sets)).astype(np.int64)
+
+
+def _linked(sets: list[np.ndarray], percent: int, leaf: int) -> np.ndarray:
+    """Which members link; pairs inside a core are known without their intersection."""
+    n = np.array([len(s) for s in sets])
+    core = _core(sets, n, percent) if len(sets) > leaf else np.zeros(len(sets), bool)
+    if core.sum() < 2:
+        both = _overlaps(sets)
+        return 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    inside, rest = np.flatnonzero(core), np.flatnonzero(~core)
+    out = np.zeros((len(sets), len(sets)), bool)
+    out[np.ix_(inside, inside)] = True
+    if len(rest):
+        both = _overlaps(sets, rest)
+        hit = 100 * both >= percent * (n[rest][:, None] + n[None, :] - both)
+        out[rest] = hit
+        out[:, rest] = hit.T
+    return out
+
+
+def _join_region(percent: int, leaf: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
         sets = [np.frombuffer(b, np.int64) for b in pdf["shingles"]]
         k, weight = pdf["k"].to_numpy(), pdf["weight"].to_numpy()
-        n = np.array([len(s) for s in sets])
-        both = _overlaps(sets)
-        linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        linked = _linked(sets, percent, leaf)
         np.fill_diagonal(linked, False)
         # components inside the region
         label = np.arange(len(k))
@@ -267,13 +318,9 @@ def _join_region(percent: int):
     return run
 
 
-def _distance_to(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
-    out = np.empty((len(sets), len(pivots)))
-    for i, s in enumerate(sets):
-        for j, p in enumerate(pivots):
-            common = len(s) + len(p) - len(np.union1d(s, p))
-            out[i, j] = 1 - common / (len(s) + len(p) - common)
-    return out
+def _distances(one: np.ndarray, pivots: list[np.ndarray]) -> np.ndarray:
+    both = _common(one, pivots)
+    return 1 - both / (len(one) + np.array([len(p) for p in pivots]) - both)
 
 
 CELL = "p long, k long, lows array<int>, homes array<int>"
@@ -287,7 +334,7 @@ def _split(radius: float):
             row, lows, homes = [], [], []
             for i in range(batch.num_rows):
                 own = np.frombuffer(batch.column("shingles")[i].as_buffer(), np.int64)
-                d = _distance_to([own], [np.frombuffer(b.as_buffer(), np.int64) for b in batch.column("around")[i].values])[0]
+                d = _distances(own, [np.frombuffer(b.as_buffer(), np.int64) for b in batch.column("around")[i].values])
                 near = int(d.argmin())
                 low, home = batch.column("lows")[i].as_py(), batch.column("homes")[i].as_py()
                 for j in np.flatnonzero(d <= d[near] + 2 * radius + 1e-9).tolist():
@@ -301,54 +348,72 @@ def _split(radius: float):
     return run
 
 
-def _cells(near: DataFrame, point: DataFrame, leaf: int, radius: float) -> DataFrame:
-    """Cells of at most about ``leaf`` documents: p, k, lows, homes, a, b, block."""
+def _cells(near: DataFrame, point: DataFrame, leaf: int, radius: float, tile: int = TILE) -> DataFrame:
+    """Cells p, k, lows, homes, a, b, block: small ones, ones that no pivot splits, and tiles of those that are large."""
     none = F.array().cast("array<int>")
+    cell = ["p", "lows"]
     open_ = near.select("p", "k", none.alias("lows"), none.alias("homes"))
     shingles, done = point.select("k", "shingles"), []
     whole = [F.lit(0).alias(c) for c in ("a", "b", "block")]
-    for depth in range(DEPTH + 1):
-        sizes = open_.groupBy("p", "lows").agg(F.count("*").alias("size"))
-        done.append(open_.join(sizes.filter(F.col("size") <= leaf).drop("size"), ["p", "lows"], "left_semi").select("*", *whole))
-        sizes = settle(sizes.filter(F.col("size") > leaf))
-        if not sizes.limit(1).count():
-            break
-        large = open_.join(sizes, ["p", "lows"])
-        if depth < DEPTH:
-            order = F.xxhash64("k", F.lit(depth))
-            # a sixteenth of a large cell is enough to draw its pivots from; a small one may give but its least
-            mark = F.struct(order.alias("o"), "k")
-            drawn = F.array_sort(F.collect_set(F.when(F.pmod(order, F.lit(16)) == 0, mark)))
-            chosen = large.groupBy("p", "lows").agg(F.slice(F.array_union(drawn, F.array(F.min(mark))), 1, PIVOTS).alias("c"))
-            around = chosen.select("p", "lows", F.explode("c.k").alias("k")).join(shingles, "k").groupBy("p", "lows").agg(F.collect_list("shingles").alias("around"))
-            open_ = settle(map_batches(large.drop("size").join(shingles, "k").join(around, ["p", "lows"]), _split(radius), CELL))
-            continue
-        # what no pivot splits: tiles of two blocks, each pair of documents in one of them
-        dealt = large.withColumn("n", F.ceil(F.col("size") * 2 / leaf).cast("int")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
+
+    def close(rows: DataFrame) -> None:
+        """Rows of cells with their ``size``: whole if they fit a tile, otherwise tiles of two blocks, each pair of documents in one of them."""
+        done.append(rows.filter(F.col("size") <= tile).select("p", "k", "lows", "homes", *whole))
+        large = rows.filter(F.col("size") > tile)
+        dealt = large.withColumn("n", F.ceil(F.col("size") * 2 / tile).cast("int")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         done.append(dealt.select("p", "k", "lows", "homes", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block"))
+
+    for depth in range(DEPTH + 1):
+        sizes = settle(open_.groupBy(*cell).agg(F.count("*").alias("size")))
+        rows = open_.join(sizes, cell)
+        large = rows.filter(F.col("size") > leaf)
+        if depth == DEPTH or not sizes.filter(F.col("size") > leaf).limit(1).count():
+            close(rows)
+            break
+        close(rows.filter(F.col("size") <= leaf))
+        order = F.xxhash64("k", F.lit(depth))
+        # pivots are drawn from about DRAWN members, however large the cell is
+        mark = F.struct(order.alias("o"), "k")
+        drawn = F.array_sort(F.collect_set(F.when(F.pmod(order, F.col("size")) < DRAWN, mark)))
+        many = F.least(F.lit(PIVOTS), F.greatest(F.lit(2), F.floor(F.max("size") / 4))).cast("int")
+        chosen = large.groupBy(*cell).agg(F.slice(F.array_union(drawn, F.array(F.min(mark))), F.lit(1), many).alias("c"))
+        around = chosen.select(*cell, F.explode("c.k").alias("k")).join(shingles, "k").groupBy(*cell).agg(F.collect_list("shingles").alias("around"))
+        split = settle(map_batches(large.join(shingles, "k").join(around, cell), _split(radius), CELL))
+        # the pairs of all parts against those of the cell
+        part = split.groupBy("p", "lows").agg(F.count("*").alias("n"))
+        left = part.groupBy("p", F.slice("lows", 1, depth).alias("lows")).agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+        kept = settle(sizes.join(left, cell).filter(F.col("pairs") <= F.col("size") * F.col("size") * WORTH).select(*cell))
+        close(large.join(kept, cell, "left_anti"))
+        above = kept.select("p", F.col("lows").alias("above"))
+        open_ = split.withColumn("above", F.slice("lows", 1, depth)).join(above, ["p", "above"], "left_semi").select("p", "k", "lows", "homes")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every document."""
-    spark = docs.sparkSession
+def _solved(docs: DataFrame, width: int, percent: int, leaf: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, n, k) and the classes of equal sets (k, n, doc_id, weight, root, links)."""
     table = points(docs, width, percent)
     classes = settle(table.filter("k is not null").groupBy("k").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("weight")))
     near = regions(table, classes, percent)
     lists = near.groupBy("k").agg(F.collect_list("p").alias("pivots"))
     sets = members(docs, lists.select("k").join(classes.select("k", "doc_id"), "k"), width)
     point = settle(sets.join(lists, "k").join(classes.select("k", "weight"), "k"))
-    full = _cells(near, point, leaf, 1 - percent / 100).join(point, "k")
-    found = settle(full.groupBy("p", "lows", "a", "b").applyInPandas(_join_region(percent), LINK_SCHEMA))
+    full = _cells(near, point, leaf, 1 - percent / 100, tile).join(point, "k")
+    found = settle(full.groupBy("p", "lows", "a", "b").applyInPandas(_join_region(percent, leaf), LINK_SCHEMA))
     roots = components(found.filter("k <> root").select(F.col("k").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
     known = classes.join(roots.withColumnRenamed("u", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    return table, known.join(links, "k", "left")
+
+
+def join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every document."""
+    table, known = _solved(docs, width, percent, leaf, tile)
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    known = known.join(least, "root").join(links, "k", "left").select("k", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    known = known.join(least, "root").select("k", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = table.select("doc_id", "n", "k").join(known, "k", "left")
     alone = F.col("k").isNull()
     return out.select(
@@ -356,3 +421,37 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF) -
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
+
+
+def one_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, but one row only of each component.
+
+    The row with the smallest doc_id stays (without any id, one of the least digest of its
+    set; of several alike, any); rows that have no shingles all stay.  Where an id has
+    several rows, or none, rows are told apart by their sets.
+    """
+    table, known = _solved(docs, width, percent, LEAF, TILE)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    best = known.groupBy("root").agg(F.min(first).alias("b")).select("b.doc_id", "b.k")
+    rows = table.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("k").isNull()).alias("bare"))
+    picked = rows.join(best.filter("doc_id is not null").select("doc_id", F.lit(True).alias("best")).distinct(), "doc_id", "left")
+    picked = picked.filter("bare or best").select(F.col("doc_id").alias("_id"), (F.col("rows") == 1).alias("_sure"))
+    id_, sure, key = (fresh(docs, c) for c in ("_id", "_sure", "_k"))
+    own = docs.withColumn(id_, F.col("doc_id").cast("long"))
+    named = own.filter(F.col(id_).isNotNull()).join(picked.toDF(id_, sure), id_)
+    certain = named.filter(sure).select(*columns(docs))
+    doubtful = named.filter(~F.col(sure)).select(id_, *columns(docs)).unionByName(own.filter(F.col(id_).isNull()).select(id_, *columns(docs)))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in wk.slices(batch.column("text"), 1 << 20):
+                s, at = shingle_sets(batch.column("text")[i:j], width)
+                k = pa.array(wk.fold_rows(s, at).view(np.int64), mask=np.diff(at) == 0)
+                yield pa.RecordBatch.from_arrays([batch.column("row")[i:j], batch.column("id")[i:j], k], names=["row", "id", "k"])
+
+    tagged = doubtful.select(F.struct(*columns(docs)).alias("row"), F.col(id_).alias("id"), "text")
+    kinds = StructType([tagged.schema["row"], StructField("id", LongType()), StructField("k", LongType())])
+    told = map_batches(tagged, digest, kinds)
+    bare = told.filter("k is null").select("row.*")
+    kept = told.filter("k is not null").join(best.select(F.col("doc_id").alias("_d"), F.col("k").alias("_b")), (F.col("k") == F.col("_b")) & F.col("id").eqNullSafe(F.col("_d")), "left_semi")
+    return certain.unionByName(bare).unionByName(kept.dropDuplicates(["k"]).select("row.*"))

@@ -106,9 +106,9 @@ def jaccard(rows):
     return sorted(((d, len(s), least.get(root(i)) if s else d, links[i]) for i, (d, s) in enumerate(sets)), key=str)
 
 
-@pytest.mark.parametrize("leaf", [3000, 3])
-def test_jaccard_join(docs, texts, leaf):
-    got = [tuple(r) for r in voronoi_join.join(docs, leaf=leaf).collect()]
+@pytest.mark.parametrize(("leaf", "tile"), [(3000, 3000), (16, 3000), (3, 8), (2, 3)])
+def test_jaccard_join(docs, texts, leaf, tile):
+    got = [tuple(r) for r in voronoi_join.join(docs, leaf=leaf, tile=tile).collect()]
     assert sorted(got, key=str) == jaccard(list(enumerate(texts)))
 
 
@@ -122,10 +122,41 @@ def test_jaccard_join_hot_and_repeated(spark, monkeypatch):
         w = list(base)
         w[rng.randrange(40)] = f"new{i % 25}"
         rows.append((i, " ".join(w)))
-    rows += [(3, rows[3][1]), (None, rows[0][1]), (None, "quite alone here with six words")]
+    rows += [(3, rows[3][1]), (None, rows[0][1]), (None, "quite alone here with six words"), (None, " ".join(base + ["tail"])), (None, " ".join(base + ["tail"]))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted((tuple(r) for r in voronoi_join.join(df, leaf=6).collect()), key=str)
-    assert got == jaccard(rows)
+    for leaf, tile in ((6, 6), (6, 3000), (3000, 3000), (16, 20)):
+        got = sorted((tuple(r) for r in voronoi_join.join(df, leaf=leaf, tile=tile).collect()), key=str)
+        assert got == jaccard(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_join_chains(spark, seed):
+    """Chains of edits in which neighbours link and ends don't, so that pivots split regions and cores don't hold all."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(3):
+        w = sentence(rng, 60, 5000).split()
+        for _ in range(40):
+            rows.append((len(rows), " ".join(w)))
+            for _ in range(rng.randrange(1, 3)):
+                w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for leaf in (4, 16):
+        got = sorted((tuple(r) for r in voronoi_join.join(df, leaf=leaf, tile=24).collect()), key=str)
+        assert got == jaccard(rows)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6))
+def test_core_pairs_link(seed):
+    """What the triangle inequality takes for linked is linked."""
+    rng = np.random.default_rng(seed)
+    base = rng.choice(10**6, 50, replace=False)
+    sets = [np.unique(np.concatenate([rng.choice(base, 50 - int(rng.integers(0, 8)), replace=False), rng.integers(10**6, 10**7, int(rng.integers(0, 6)))])) for _ in range(30)]
+    n = np.array([len(s) for s in sets])
+    both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    want = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    assert (voronoi_join._linked(sets, 80, 4) == want).all() and (voronoi_join._linked(sets, 80, 99) == want).all()
 
 
 # --- 2: substring dedup --------------------------------------------------------------------------
@@ -557,6 +588,7 @@ def test_pipeline_stages(spark, docs, texts):
     left = cp.without_repeats(spark, table, SF)
     want = {d: kept for d, n, gone, kept in dedup(list(enumerate(texts)), 20) if not gone or gone < n}
     assert left.columns == table.columns and {r["doc_id"]: " ".join(words(r["text"])) for r in left.collect()} == want
+    assert Counter(r["doc_id"] for r in one.collect()) == Counter(groups)
     mixed = cp.mixed(spark, table, SF)
     taken = {r["doc_id"]: r["copies"] for r in cube_mix.mix(table).collect() if r["copies"]}
     assert mixed.columns == table.columns and Counter(r["doc_id"] for r in mixed.collect()) == taken
@@ -564,6 +596,45 @@ def test_pipeline_stages(spark, docs, texts):
         assert stage(spark, table.limit(0), SF).count() == 0
 
 
+def test_pipeline_stages_decide_by_row(spark):
+    """Rows that share an id, or have none, are kept, judged and drawn one by one."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    same = sentence(rng, 30)
+    rows = [(1, sentence(rng, 500), "a"), (5, sentence(rng, 500), "a"), (5, "three short words", "a"), (None, sentence(rng, 40), "b"), (None, sentence(rng, 41), "b"), (None, None, "b"), (None, "", None)]
+    rows += [(7, same, "b"), (7, same, "b"), (7, same + " end", "b"), (3, same, "c"), (7, "wholly other words here now", "c"), (9, None, "a"), (9, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    one = Counter((r["doc_id"], r["text"]) for r in cp.one_of_each_group(spark, df, SF).collect())
+    want = Counter((d, t) for d, t, _ in rows)
+    for gone in ((7, same), (7, same), (7, same + " end")):
+        want[gone] -= 1
+    assert one == +want
+    left = cp.without_repeats(spark, df, SF)
+    assert Counter(r["doc_id"] for r in left.collect()) == Counter(d for d, _, n, g in ((d, k, n, g) for d, n, g, k in dedup([r[:2] for r in rows], 20)) if not g or g < n)
+    drawn = cube_mix.mix(df).collect()
+    mixed = cp.mixed(spark, df, SF).collect()
+    count = lambda r: len(words(r["text"]))
+    want = Counter()
+    for r in drawn:
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert Counter((r["doc_id"], r["source"], count(r)) for r in mixed) == +want
+    assert max(Counter((r["doc_id"], r["text"], r["source"]) for r in mixed).values()) <= 4
+    # a row the classifier rejects goes, though its namesake passes
+    junk = " ".join(["###", "|||", "$$$"] * 60)
+    good = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1"), "doc_id").first()["text"]
+    both = spark.createDataFrame([(1, good), (1, junk), (None, good), (None, junk)], "doc_id long, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    kept = cp.good_quality(spark, docs.unionByName(both.withColumn("doc_id", F_col("doc_id") - 2)), SF)
+    assert Counter((r["doc_id"], r["text"]) for r in kept.filter("doc_id < 0 or doc_id is null").collect()) == {(-1, good): 1, (None, good): 1}
+
+
+def F_col(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline as cp
 
