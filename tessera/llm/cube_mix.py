@@ -26,11 +26,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import wordkernel as wk
-from tessera.llm.frames import map_batches, settle
+from tessera.llm.frames import columns, fresh, map_batches, settle
 
 BLOCK = 2000
 TINY = 1e-9
@@ -145,8 +145,32 @@ def _flight(level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return flight
 
 
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """Each row of docs, with all its columns, as many times as the mix takes it.
+
+    Rows are told apart by doc_id, source and size.  Rows that have all three alike are
+    all the same to the mix; what it takes of them is dealt out among them evenly.
+    """
+    key = ["_id", "_source", "_size"]
+    names = {c: fresh(docs, c) for c in (*key, "_many", "_rows", "_rank")}
+    id_, source, size, many, rows, rank = names.values()
+    words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0)))
+    taken = mix(docs, weights, share, most).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias(many), F.count("*").alias(rows)).filter(F.col(many) > 0)
+    taken = taken.toDF("_t_id", "_t_source", "_t_size", many, rows)
+    own = docs.select("*", F.col("doc_id").cast("long").alias(id_), F.col("source").cast("string").alias(source), words.cast("long").alias(size))
+    same = own[id_].eqNullSafe(taken["_t_id"]) & own[source].eqNullSafe(taken["_t_source"]) & (own[size] == taken["_t_size"])
+    found = own.join(taken, same).drop(*(taken[c] for c in ("_t_id", "_t_source", "_t_size")))
+    alone = found.filter(F.col(rows) == 1)
+    # rows alike in all three: the first ones take one more
+    order = Window.partitionBy(id_, source, size).orderBy(F.xxhash64(*columns(docs)))
+    alike = found.filter(F.col(rows) > 1).withColumn(rank, F.row_number().over(order))
+    each = (F.floor(F.col(many) / F.col(rows)) + F.when(F.col(rank) <= F.col(many) % F.col(rows), 1).otherwise(0)).cast("long")
+    spread = alone.select(*columns(docs), F.col(many)).unionByName(alike.select(*columns(docs), each.alias(many)).filter(F.col(many) > 0))
+    return spread.select(*columns(docs), F.explode(F.sequence(F.lit(1), F.col(many))).alias(rank)).drop(rank)
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken of every document.
+    """doc_id, source, size, source_size, target, copies, taken of every document.
 
     The driver gathers one row per source.
     """
@@ -184,4 +208,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     for more in done[1:]:
         out = out.unionByName(more)
     copies = (F.col("base") + F.round("p").cast("int")).alias("copies")
-    return out.select("doc_id", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))

@@ -9,7 +9,8 @@ have not seen the row.
 
 Null and empty texts have the statistics of a text without words and get a
 score like any other.  Without labelled rows every score is 0.5.  Labels that are
-null are not learnt from; a document labelled twice counts twice; other columns
+null are not learnt from; a document labelled twice counts twice; rows that repeat a
+doc_id, or have none, are scored each by their own text; other columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -21,13 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm import wordkernel as wk
-from tessera.llm.frames import map_batches, settle
+from tessera.llm.frames import columns, forget, map_batches, settle
 
 FEATURES = 192
 FOLDS = 4
 BINS = 2000
+#: Labelled rows whose equations one task sums at least, beyond sixteen tasks.
+ROWS = 50_000
 RIDGES = (1e-3, 1e-2, 1e-1, 1.0)
 _SIGNS = ("|", "!", "#$%&*", ".", ",", "@/\\_", "<>{}[]=", "?;:'\"()-")
 
@@ -191,7 +195,8 @@ def fit(stats: DataFrame, target: str) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel()[cells])], names=["cell", "v"])
 
     total = np.zeros(FOLDS * (dim + 1) ** 2)
-    cells = map_batches(rows.coalesce(16), equations, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
+    # a partition's sums take FOLDS x FEATURES^2 numbers, so partitions are as few as the rows are worth
+    cells = map_batches(rows.coalesce(max(16, int(n) // ROWS)), equations, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
     total[cells["cell"].to_numpy()] = cells["v"].to_numpy()
     total = total.reshape(FOLDS, dim + 1, dim + 1)
     whole = total.sum(0)
@@ -239,8 +244,33 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % modulus
 
 
+def _known(labels: DataFrame, learnt: Column, label: str) -> DataFrame:
+    return labels.filter(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), label).filter(learnt)
+
+
 def classify(docs: DataFrame, labels: DataFrame, learnt: Column, label: str = "quality", threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted of every document; learns only where ``learnt`` holds of doc_id."""
     stats = settle(described(docs))
-    known = labels.filter(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), label).filter(learnt)
-    return scored(stats, fit(stats.join(known, "doc_id"), label), threshold)
+    return scored(stats, fit(stats.join(_known(labels, learnt, label), "doc_id"), label), threshold)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, learnt: Column, label: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, that ``classify`` predicts as 1.
+
+    Each row is judged by its own text where it is read, so rows that share a doc_id
+    have nothing to do with each other and no text is shuffled.
+    """
+    stats = settle(described(docs))
+    model = docs.sparkSession.sparkContext.broadcast(fit(stats.join(_known(labels, learnt, label), "doc_id"), label))
+    forget(stats)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in wk.slices(batch.column("text"), 1 << 20):
+                good = model.value.score(statistics(batch.column("text")[i:j])) >= threshold
+                rows = batch.column("row")[i:j].filter(pa.array(good))
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([rows], names=["row"])
+
+    rows = docs.select(F.struct(*columns(docs)).alias("row"), "text")
+    return map_batches(rows, run, StructType([rows.schema["row"]])).select("row.*")
