@@ -12,57 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import best_fit, cube_mix, quality, recompression, voronoi_join
-from tessera.llm.frames import settle
+from tessera.llm.frames import columns, settle
 from tessera.llm.queries import vocabulary
 
 ORACLE_SQL = None
 
 
-def _fresh(docs: DataFrame, name: str) -> str:
-    """A column name that docs doesn't have."""
-    while name.lower() in map(str.lower, docs.columns):
-        name += "_"
-    return name
-
-
-def _columns(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
-
-
-def _chosen(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is decided, a null one included."""
-    key = _fresh(docs, "key")
-    return docs.join(decided.select(F.col("doc_id").alias(key)), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject, each judged by its own text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    learnt = quality.remainder(F.col("doc_id"), 5) != 0
-    found = quality.classify(docs, labels, learnt, threshold=0.3)
-    return _chosen(docs, found.filter("predicted = 1"))
+    return quality.accepted(docs, labels, quality.remainder(F.col("doc_id"), 5) != 0, threshold=0.3)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component."""
-    found = voronoi_join.join(docs, width=5, percent=80)
-    return _chosen(docs, found.filter("doc_id <=> component_id")).dropDuplicates(["doc_id"])
+    """One row, that with the smallest id, of each near-duplicate component; unlike texts stay whatever their ids."""
+    return voronoi_join.one_each(docs, width=5, percent=80)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words that long repeats cover; a text that loses all its words goes."""
-    found = recompression.dedup(docs.select("doc_id", "text", F.struct(*_columns(docs)).alias("row")), k=20, tidy=False)
+    found = recompression.dedup(docs.select("doc_id", "text", F.struct(*columns(docs)).alias("row")), k=20, tidy=False)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return found.filter("n_removed = 0 or n_removed < n_words").select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    found = cube_mix.mix(docs, weights=(3, 1, 2), share=1.5, most=2.0).filter("copies > 0")
-    key, times, copy = (_fresh(docs, n) for n in ("key", "times", "copy"))
-    taken = found.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(key)))
-    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*_columns(docs))
+    """Each row as many times as the mix takes it."""
+    return cube_mix.mixed_rows(docs, weights=(3, 1, 2), share=1.5, most=2.0)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
