@@ -8,11 +8,15 @@ rest: a slab goes if |q| |c| can't reach it (Cauchy-Schwarz), a pair goes if the
 partial sum over the first rotated coordinates plus the product of the residual
 lengths can't.  What is left is scored in integers, so results are exact.
 
-Queries meet candidates block by block; a block pair yields at most k rows for
-each query.  Vectors that are null or hold null or non-finite components take no
-part; shorter vectors are padded with zeros; a query's own vec_id is never its
-candidate; rows that repeat a vec_id are candidates each; null vec_ids are
-dropped; empty tables give empty results.
+A query block meets candidates slab group by slab group: the group's slabs are in
+one task, the block is sent there once, goes through them in the order of their norms
+and raises its thresholds on the way.  Vectors travel as integers of the smallest width
+that holds them.  A block gives at most k rows for each query and group.
+
+A query is a row, not an id: rows that repeat a vec_id are queries and candidates
+each, and all rows but the query's own are its candidates.  Vectors that are null or hold
+null or non-finite components take no part; shorter vectors are padded with zeros; ties go
+to the smaller vec_id; null vec_ids are dropped; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,16 +34,18 @@ SLAB = 4096
 QUERIES = 1024
 LEAD = 16
 SLACK = 1e-6
-PACKED = "block long, most double, n int, ids binary, vectors binary"
+#: Slabs a task holds at most.
+HELD = 16
+PACKED = "block long, most double, rows binary, ids binary, kind string, vectors binary"
 
 
 def quantise(vectors: DataFrame, scale: float) -> DataFrame:
-    """vec_id, v (array of long): floor(scale * x); unusable vectors are gone."""
+    """row (a number of its own), vec_id, v (array of long): floor(scale * x); unusable vectors are gone."""
     x = F.col("embedding").cast("array<double>")
     # NaN equals NaN in Spark SQL, so both tests are plain comparisons
     usable = F.forall(x, lambda e: e.isNotNull() & (F.abs(e) < F.lit(float("inf"))))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(usable)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale)).alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale)).alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -70,51 +76,69 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(g.reshape(dim, dim))[1][:, ::-1].copy()
 
 
+def _smallest(m: np.ndarray) -> np.ndarray:
+    """Integers in the narrowest type that holds them all."""
+    most = float(np.abs(m).max(initial=0.0))
+    return m.astype(next((t for t, top in (("<i1", 127), ("<i2", 32767), ("<i4", 2**31 - 1)) if most <= top), "<f8"))
+
+
 def pack(vectors: DataFrame, dim: int, size: int) -> DataFrame:
     """Blocks of vectors in descending order of length."""
     from pyspark import TaskContext
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, ids, rows = TaskContext.get().partitionId(), 0, [], []
+        part, made, held, n = TaskContext.get().partitionId(), 0, [], 0
 
-        def out(i: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        def out(rows: np.ndarray, ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
             nonlocal made
             made += 1
-            most = float(np.sqrt((m * m).sum(1).max()))
-            row = [(part << 32) + made - 1, most, len(i), i.tobytes(), m.tobytes()]
-            kinds = [pa.int64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
+            small = _smallest(m)
+            row = [(part << 32) + made - 1, float(np.sqrt((m * m).sum(1).max())), rows.tobytes(), ids.tobytes(), small.dtype.str, small.tobytes()]
+            kinds = [pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.string(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in PACKED.split(", ")])
 
         for batch in batches:
-            ids.append(batch.column("vec_id").to_numpy())
-            rows.append(_matrix(batch.column("v"), dim))
-            if sum(map(len, ids)) >= size:
-                i, m = np.concatenate(ids), np.concatenate(rows)
-                for a in range(0, len(i) - size + 1, size):
-                    yield out(i[a : a + size], m[a : a + size])
-                left = len(i) % size
-                ids, rows = [i[len(i) - left :]], [m[len(i) - left :]]
-        if sum(map(len, ids)):
-            yield out(np.concatenate(ids), np.concatenate(rows))
+            held.append((batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), dim)))
+            n += batch.num_rows
+            if n >= size:
+                every = [np.concatenate(x) for x in zip(*held, strict=True)]
+                for a in range(0, n - size + 1, size):
+                    yield out(*(e[a : a + size] for e in every))
+                held, n = [tuple(e[n - n % size :] for e in every)], n % size
+        if n:
+            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     length = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
-    ordered = vectors.withColumn("length", length).repartitionByRange(F.desc("length"), F.col("vec_id")).sortWithinPartitions(F.desc("length"), "vec_id")
-    return settle(map_batches(ordered.select("vec_id", "v"), blocks, PACKED), per_file=16)
+    ordered = vectors.withColumn("length", length).repartitionByRange(F.desc("length"), F.col("vec_id")).sortWithinPartitions(F.desc("length"), "vec_id", "row")
+    return settle(map_batches(ordered.select("row", "vec_id", "v"), blocks, PACKED), per_file=16)
 
 
-def best(scores: np.ndarray, qi: np.ndarray, cand: np.ndarray, k: int) -> np.ndarray:
+def best(scores: np.ndarray, qi: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of each query's k best (score down, id up)."""
-    order = np.lexsort((cand, -scores, qi))
+    order = np.lexsort((ids, -scores, qi))
     q = qi[order]
     first = np.searchsorted(q, q)
     return order[np.arange(len(q)) - first < k]
 
 
-def meet(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, floor: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact best pairs of two blocks that reach each query's floor."""
+class Block:
+    """Vectors with their rotated leading parts and the lengths of what is left of them."""
+
+    def __init__(self, row: dict, dim: int, turn: np.ndarray):
+        self.rows, self.ids = np.frombuffer(row["rows"], np.int64), np.frombuffer(row["ids"], np.int64)
+        self.most = row["most"]
+        self.v = np.frombuffer(row["vectors"], row["kind"]).astype(np.float64).reshape(-1, dim)
+        h = min(LEAD, dim)
+        turned = self.v @ turn
+        self.lead, self.rest = turned[:, :h], np.sqrt((turned[:, h:] ** 2).sum(1))
+        self.length = float(np.sqrt((self.v**2).sum(1).max()))
+
+
+def meet(q: Block, c: Block, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact best pairs of two blocks that reach each query's floor: positions in both and scores."""
     if np.isneginf(floor).all():
-        s = q @ c.T
-        s[q_ids[:, None] == c_ids[None, :]] = -np.inf
+        s = q.v @ c.v.T
+        s[q.rows[:, None] == c.rows[None, :]] = -np.inf
         if s.shape[1] > k:
             kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
             qi, ci = np.nonzero((s >= kth[:, None]) & ~np.isneginf(s))
@@ -122,81 +146,109 @@ def meet(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, flo
             qi, ci = np.nonzero(~np.isneginf(s))
         score = s[qi, ci]
     else:
-        h = min(LEAD, q.shape[1])
-        qr, cr = q @ turn, c @ turn
-        rest_q, rest_c = np.sqrt((qr[:, h:] ** 2).sum(1)), np.sqrt((cr[:, h:] ** 2).sum(1))
-        bound = qr[:, :h] @ cr[:, :h].T
-        bound += rest_q[:, None] * rest_c[None, :]
+        bound = q.lead @ c.lead.T
+        bound += q.rest[:, None] * c.rest[None, :]
         bound *= 1 + SLACK
         bound += SLACK
         qi, ci = np.nonzero(bound >= floor[:, None])
         if len(qi) * 8 > bound.size:  # few were pruned: one matrix product is cheaper
-            score = (q @ c.T)[qi, ci]
+            score = (q.v @ c.v.T)[qi, ci]
         else:
-            score = np.concatenate([np.einsum("ij,ij->i", q[qi[a : a + 65536]], c[ci[a : a + 65536]]) for a in range(0, len(qi), 65536)] or [np.zeros(0)])
-        keep = (score >= floor[qi]) & (q_ids[qi] != c_ids[ci])
+            score = np.concatenate([np.einsum("ij,ij->i", q.v[qi[a : a + 65536]], c.v[ci[a : a + 65536]]) for a in range(0, len(qi), 65536)] or [np.zeros(0)])
+        keep = (score >= floor[qi]) & (q.rows[qi] != c.rows[ci])
         qi, ci, score = qi[keep], ci[keep], score[keep]
-    top = best(score, qi, c_ids[ci], k)
+    top = best(score, qi, c.ids[ci], k)
     return qi[top], ci[top], score[top]
 
 
+def through(q: Block, slabs: list[Block], floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A query block's best pairs with slabs in descending order of norms; the floors rise on the way.
+
+    Positions of queries, vec_ids and scores, at most k of each query.
+    """
+    found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    floor = floor.copy()
+    for c in slabs:
+        if (q.length * c.length * (1 + SLACK) + SLACK < floor).all():
+            break  # Cauchy-Schwarz: no later slab is longer
+        qi, ci, s = meet(q, c, floor, k)
+        merged = [np.concatenate(x) for x in zip(found, (qi, c.ids[ci], s), strict=True)]
+        top = best(merged[2], merged[0], merged[1], k)
+        found = tuple(m[top] for m in merged)
+        full = np.bincount(found[0], minlength=len(floor)) >= k
+        least = np.full(len(floor), np.inf)
+        np.minimum.at(least, found[0], found[2])
+        floor = np.where(full, np.maximum(floor, least), floor)
+    return found
+
+
+FOUND = "query long, query_id long, vec_id long, score long"
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each query."""
     spark = vectors.sparkSession
     rows = settle(quantise(vectors, scale))
     dim = rows.agg(F.max(F.size("v"))).first()[0] or 1
-    turn = rotation(rows, dim)
+    turn = spark.sparkContext.broadcast(rotation(rows, dim))
     slabs = pack(rows, dim, SLAB)
     asks = pack(rows.filter(F.col("vec_id") % every == 0), dim, QUERIES)
-    shared = spark.sparkContext.broadcast(turn)
-    query = asks.select(*[F.col(c).alias(f"q_{c}") for c in ("block", "most", "ids", "vectors")])
-    slab = slabs.select(*[F.col(c).alias(f"c_{c}") for c in ("block", "most", "ids", "vectors")])
-    schema = "query_id long, vec_id long, score long"
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                get = lambda c, b=batch, r=r: b.column(c)[r].as_py()
-                q_ids, c_ids = np.frombuffer(get("q_ids"), np.int64), np.frombuffer(get("c_ids"), np.int64)
-                q, c = (np.frombuffer(get(f"{s}_vectors"), np.float64).reshape(-1, dim) for s in "qc")
-                floor = np.full(len(q_ids), -np.inf)
-                if "floors" in batch.schema.names and get("floors"):
-                    known = {f["query_id"]: f["score"] for f in get("floors")}
-                    floor = np.array([known.get(i, -np.inf) for i in q_ids.tolist()])
-                qi, ci, s = meet(q, q_ids, c, c_ids, floor, shared.value, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(c_ids[ci]), pa.array(s.astype(np.int64))], names=["query_id", "vec_id", "score"])
+    blocks = slabs.agg(F.min("block"), F.count("*")).first()
+    if blocks[0] is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many slabs for a task as it may hold, but tasks enough for all cores
+    width = max(1, min(HELD, blocks[1] // (2 * spread)))
+    lead, fields = F.col("block") == blocks[0], ("block", "most", "rows", "ids", "kind", "vectors")
 
     def ranked(df: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
         return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Blocks, not rows: the stated query set against all slabs."""
-        return left.crossJoin(right)
-
-    lead = slabs.agg(F.min("block")).first()[0]
-    if lead is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = settle(map_batches(pairs(query, slab.filter(F.col("c_block") == lead)).repartition(spread, "q_block"), scored, schema))
-    reach = ranked(first).filter(F.col("rank") == k).select("query_id", F.col("score"))
-    owner = map_batches(asks.select("block", "ids"), _owners, "block long, query_id long")
-    floors = owner.join(reach, "query_id", "left").groupBy("block").agg(
-        F.collect_list(F.when(F.col("score").isNotNull(), F.struct("query_id", "score"))).alias("floors"),
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by group: its slabs by descending norms, then query blocks."""
+        group, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["team"] != group:
+                    group, held = row["team"], []
+                block = Block(row, dim, turn.value)
+                if row["query"] == 0:
+                    held.append(block)
+                    continue
+                floor = np.full(len(block.rows), -np.inf)
+                if row["floors"]:
+                    known = {f["query"]: f["score"] for f in row["floors"]}
+                    floor = np.array([known.get(i, -np.inf) for i in block.rows.tolist()])
+                qi, ids, s = through(block, held, floor, k)
+                yield pa.RecordBatch.from_arrays([pa.array(block.rows[qi]), pa.array(block.ids[qi]), pa.array(ids), pa.array(s.astype(np.int64))], names=[c.split()[0] for c in FOUND.split(", ")])
+
+    def against(group: DataFrame, queries: DataFrame) -> DataFrame:
+        """Results of query blocks (team, floors and fields) with the slabs of their team."""
+        none = F.lit(None).cast("array<struct<query:long,score:long>>")
+        both = group.select("team", F.lit(0).alias("query"), *fields, none.alias("floors")).unionByName(queries.select("team", F.lit(1).alias("query"), *fields, "floors"))
+        return map_batches(both.repartition(spread * 2, "team").sortWithinPartitions("team", "query", F.desc("most"), "block"), scored, FOUND)
+
+    # the leading slab gives thresholds; blocks of queries are dealt to as many copies of it as there are tasks
+    none = F.lit(None).cast("array<struct<query:long,score:long>>").alias("floors")
+    copies = spark.range(spread).select(F.col("id").alias("team"))
+    first_slab = slabs.filter(lead).crossJoin(F.broadcast(copies))  # one block for each task
+    first = settle(against(first_slab, asks.select(F.pmod(F.xxhash64("block"), F.lit(spread)).alias("team"), *fields, none)))
+    reach = ranked(first).filter(F.col("rank") == k).select("query", "score")
+    owner = map_batches(asks.select("block", "rows"), _owners, "block long, query long")
+    floors = owner.join(reach, "query", "left").groupBy("block").agg(
+        F.collect_list(F.when(F.col("score").isNotNull(), F.struct("query", "score"))).alias("floors"),
         F.min(F.coalesce("score", F.lit(-(1 << 62)))).alias("least"),
     )
-    near = pairs(
-        asks.select(F.col("block").alias("q_block"), F.col("most").alias("q_most")).join(floors.select(F.col("block").alias("q_block"), "least"), "q_block"),
-        slabs.filter(F.col("block") != lead).select(F.col("block").alias("c_block"), F.col("most").alias("c_most")),
-    ).filter((F.col("q_most") * F.col("c_most") * (1 + SLACK) + SLACK >= F.col("least")))
-    work = (
-        near.select("q_block", "c_block")
-        .join(query.drop("q_most"), "q_block")
-        .join(floors.select(F.col("block").alias("q_block"), "floors"), "q_block")
-        .join(slab.drop("c_most"), "c_block")
-        .repartition(spread * 2, "q_block", "c_block")
-    )
-    rest = map_batches(work, scored, schema)
+    # neighbours in the order of norms: a block's number is its range partition and its place there
+    place = F.col("block") % (1 << 32)
+    others = slabs.filter(~lead).withColumn("team", F.col("block") - place + F.floor(place / width))
+    longest = others.groupBy("team").agg(F.max("most").alias("t_most"))
+    sent = asks.join(floors, "block")
+    # blocks, not rows: the stated query set against groups of slabs, where the product of lengths can reach a threshold
+    near = F.col("most") * F.col("t_most") * (1 + SLACK) + SLACK >= F.col("least")
+    pairs = sent.select("block", "most", "least").crossJoin(F.broadcast(longest)).filter(near).select("block", "team")
+    rest = against(others, pairs.join(sent, "block"))
     found = ranked(ranked(first).drop("rank").unionByName(rest))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -204,5 +256,5 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0)
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
-            ids = np.frombuffer(batch.column("ids")[r].as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), batch.column("block")[r].as_py())), pa.array(ids)], names=["block", "query_id"])
+            rows = np.frombuffer(batch.column("rows")[r].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), batch.column("block")[r].as_py())), pa.array(rows)], names=["block", "query"])

@@ -284,14 +284,18 @@ def test_exact_topk(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(i, (rng.normal(size=12) * rng.choice([0.1, 1, 3])).tolist()) for i in range(400)]
     rows += [(400 + i, [1.0] * 12) for i in range(60)]
+    rows += [(40, rows[40][1]), (40, [2.0] * 12), (41, [5.0] * 12), (41, [5.0] * 12)]
     rows += [(500, None), (501, [float("nan")] * 12), (502, [None] * 12), (503, [float("inf")] * 12), (504, [1.0] * 5), (505, []), (None, [9.0] * 12)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    used = {i: np.pad(np.floor(64 * np.array(v)), (0, 12 - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    used = [(i, np.pad(np.floor(64 * np.array(v)), (0, 12 - len(v)))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in used if i % 20 == 0):
-        order = sorted(((-int(used[q] @ v), i) for i, v in used.items() if i != q))[:20]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(order)]
-    assert sorted(tuple(r) for r in norm_topk.top_k(df).collect()) == sorted(want)
+    for a, (q, u) in enumerate(used):
+        if q % 20 == 0:
+            order = sorted(((-int(u @ v), i) for b, (i, v) in enumerate(used) if a != b))[:20]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(order)]
+    for held in (1, 3):
+        monkeypatch.setattr(norm_topk, "HELD", held)
+        assert sorted(tuple(r) for r in norm_topk.top_k(df).collect()) == sorted(want)
     assert norm_topk.top_k(df.limit(0)).collect() == []
 
 
