@@ -12,11 +12,14 @@ entries whatever the corpus, so the driver solves it whole:
    handled together as a pattern with a count.
 
 The solution is a list of segments (length, ranks, sequences, offset); pieces
-are ranked within their length and looked up there.  Ranks come from counts by
-length and salt, so no task holds all pieces of one length.
+are ranked within their length and looked up there.  A piece's rank is its number
+among those of its length in the task that cut it, plus the count of those of earlier
+tasks, so no task holds all pieces of one length and nothing is sorted.  The driver
+sees one count for each length.
 
 A null text is empty.  Empty token lists are given by no one: every document has
-at least its end id.  Repeated doc_ids are all packed; extra columns ignored.
+at least its end id.  Repeated and null doc_ids are all packed, row by row; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +38,7 @@ from tessera.llm import wordkernel as wk
 from tessera.llm.frames import map_batches, settle
 from tessera.llm.unit_encoder import encoder
 
-SALTS = 64
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
+PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
 class Solution:
@@ -93,14 +96,16 @@ class Solution:
                     self._fix(self.left[a], a)
                 elif self._two_shortest(others) > room:
                     b = max((k for k, v in others.items() if v and k <= room), default=0)
+                    # as many at once as there are: taking more away only lengthens the two shortest
                     if not b:
-                        self._fix(1, a)
+                        self._fix(self.left[a], a)
                     elif a == b:
-                        self._place(a, 2, self.sequences, 2, 0)
-                        self.sequences += 1
-                        self.fixed += 1
+                        many = self.left[a] // 2
+                        self._place(a, 2 * many, self.sequences, 2, 0)
+                        self.sequences += many
+                        self.fixed += many
                     else:
-                        self._fix(min(self.left[a], self.left[b]), a, b)  # taking more away only lengthens the two shortest
+                        self._fix(min(self.left[a], self.left[b]), a, b)
                 else:
                     break
                 changed = True
@@ -150,10 +155,14 @@ class Solution:
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, keeps_space: bool = False) -> DataFrame:
-    """Pieces of at most ``capacity`` ids of every document; only longer documents are cut."""
+    """Pieces of at most ``capacity`` ids of every document; only longer documents are cut.
+
+    ``part`` is the task and ``place`` the number of the piece among those of its length there.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(vocabulary, keeps_space)
+        code, part = encoder(vocabulary, keeps_space), TaskContext.get().partitionId()
+        met = np.zeros(capacity + 1, np.int64)
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = batch.column("text")
@@ -172,9 +181,13 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, keeps_s
                     for a, b, e in zip(first.tolist(), last.tolist(), bounds[1:][doc].tolist(), strict=True)
                 ]
                 doc_id = batch.column("doc_id")[i:j].take(pa.array(doc))
-                salt = (wk.mix64(doc_id.fill_null(-1).to_numpy().astype(wk.U64) + piece.astype(wk.U64)) % wk.U64(SALTS)).astype(np.int32)
+                order = np.argsort(length, kind="stable")
+                run = np.searchsorted(length[order], length[order])
+                place = np.empty(len(length), np.int64)
+                place[order] = met[length[order]] + np.arange(len(length)) - run
+                met += np.bincount(length, minlength=capacity + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [doc_id, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(np.array(crc, np.int64)), pa.array(salt)],
+                    [doc_id, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(np.array(crc, np.int64)), pa.array(np.full(len(doc), part, np.int32)), pa.array(place)],
                     names=[c.split()[0] for c in PIECE_SCHEMA.split(", ")],
                 )
 
@@ -184,23 +197,16 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, keeps_s
 def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048, keeps_space: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
-    The driver gathers at most capacity x SALTS counts.
+    The driver gathers one count for each length, at most capacity.
     """
     table = settle(pieces(docs, vocabulary, end_id, capacity, keeps_space))
-    counts = table.groupBy("length", "salt").count().collect()
-    by_length: dict[int, int] = defaultdict(int)
-    before = []
-    for r in sorted(counts, key=lambda r: (r["length"], r["salt"])):
-        before.append((r["length"], r["salt"], by_length[r["length"]]))
-        by_length[r["length"]] += r["count"]
-    found = Solution(dict(by_length), capacity).table()
+    counts = settle(table.groupBy("length", "part").agg(F.count("*").alias("n")))
+    by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    found = Solution(by_length, capacity).table()
     spark = docs.sparkSession
-    offsets = spark.createDataFrame(before, "length long, salt int, before long")
-    ranked = (
-        table.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")))
-        .join(F.broadcast(offsets), ["length", "salt"])  # capacity x SALTS rows at most
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank") - 1).alias("rank"))
-    )
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    offsets = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    ranked = table.join(offsets, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
     shared = spark.sparkContext.broadcast(found)
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
