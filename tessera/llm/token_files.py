@@ -2,12 +2,15 @@
 
 ``write_tokens`` range-partitions by doc_id, encodes each text and writes files
 of about ``PER_FILE`` ids; each is one blob in the layout of ``dac``, stored as
-a row of a Parquet table so that any store Spark can write will do.
+a row of a Parquet table so that any store Spark can write will do.  The table is
+not compressed: a token is read by its address, without decoding a block.
 ``read_tokens`` reads the blobs back.  A document is never split over two blobs.
+With a ``path`` the table is written there and stays; without, it is an intermediate
+one and goes with the session.
 
 Null texts are empty and get the end id alone; a null doc_id sorts first; rows
-with the same doc_id are all written; other columns are ignored; an empty table
-gives an empty result.
+with the same doc_id are all written, in any order among themselves but never over two
+range partitions; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ FILE_SCHEMA = "part long, piece long, start_in_part long, n_tokens long, doc_ids
 ROW_SCHEMA = "part long, doc_id long, start_in_part long, n_tokens long, ids_crc32 long"
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, keeps_space: bool = True) -> DataFrame:
-    """The table of written files."""
+def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, keeps_space: bool = True, path: str | None = None) -> DataFrame:
+    """The table of written files, at ``path`` if one is given."""
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(vocabulary, keeps_space), TaskContext.get().partitionId()
@@ -67,7 +70,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, keeps_space: boo
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return settle(map_batches(ordered, files, FILE_SCHEMA), codec="zstd", per_file=4)
+    table = map_batches(ordered, files, FILE_SCHEMA)
+    if path is None:
+        return settle(table, codec="uncompressed", per_file=4)
+    table.write.option("compression", "uncompressed").option("maxRecordsPerFile", 4).parquet(path)
+    return docs.sparkSession.read.schema(FILE_SCHEMA).parquet(path)
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -92,12 +99,12 @@ def read_tokens(files: DataFrame) -> DataFrame:
     return map_batches(files, rows, ROW_SCHEMA)
 
 
-def token_table(docs: DataFrame, vocabulary: str, end_id: int, keeps_space: bool = True) -> DataFrame:
+def token_table(docs: DataFrame, vocabulary: str, end_id: int, keeps_space: bool = True, path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the written files.
 
     The driver sees one total for each range partition.
     """
-    files = write_tokens(docs, vocabulary, end_id, keeps_space)
+    files = write_tokens(docs, vocabulary, end_id, keeps_space, path)
     totals = sorted(files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     before = np.concatenate([[0], np.cumsum([r["n"] for r in totals])]).tolist()
     spark = docs.sparkSession
