@@ -130,6 +130,26 @@ def statements(files: DataFrame, threshold: float, templates: tuple[tuple[str, s
     return found.groupBy("path").agg(F.min_by("licence", order).alias("licence"), F.max("score").alias("score"))
 
 
+#: A key of more than one in so many rows is joined by broadcast; there are fewer than this many of them.
+HOT = 1000
+
+
+def _join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """left join right, whose keys are unique; rows of crowded keys don't travel to one task.
+
+    Crowded keys are fewer than HOT, so their rows of ``right`` are a broadcast side of
+    a known size; the others are joined by a shuffle.
+    """
+    often = settle(left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")))
+    least = (often.agg(F.sum("_n")).first()[0] or 0) / HOT
+    hot = often.filter(F.col("_n") > least).select(key, F.lit(True).alias("_hot"))
+    marked = left.join(F.broadcast(hot), key, "left")
+    crowded = F.broadcast(right.join(F.broadcast(hot.select(key)), key, "left_semi"))
+    none = F.col(key).isNull()
+    warm = marked.filter(F.col("_hot") | none).drop("_hot").join(crowded, key, how)
+    return marked.filter(F.col("_hot").isNull() & ~none).drop("_hot").join(right, key, how).unionByName(warm)
+
+
 def directory(path: Column) -> Column:
     """The directory of a path, without its last step; empty at the top."""
     return F.regexp_replace(path, r"/?[^/]*$", "")
@@ -145,12 +165,12 @@ def scan(files: DataFrame, threshold: float = 0.7, licence_file: Column | None =
     speak = own if licence_file is None else own.filter(licence_file)
     order = F.struct(-F.col("score"), F.col("licence"), F.col("path"))
     held = speak.withColumn("dir", directory(F.col("path"))).groupBy("dir").agg(F.min_by(F.struct("licence", "score"), order).alias("held"))
-    # inheritance is settled once for each directory, so a crowded one is no crowded key
+    # inheritance is settled once for each directory
     dirs = rows.filter("path is not null").select(directory(F.col("path")).alias("dir")).distinct()
     steps = F.split("dir", "/")
     up = dirs.select("dir", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("depth", "above"))
-    nearest = up.join(held.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max_by(F.struct("held", "above"), "depth").alias("near"))
-    table = rows.select("path").withColumn("dir", directory(F.col("path"))).join(own, "path", "left").join(nearest, "dir", "left")
+    nearest = _join(up, held.withColumnRenamed("dir", "above"), "above", "inner").groupBy("dir").agg(F.max_by(F.struct("held", "above"), "depth").alias("near"))
+    table = _join(_join(rows.withColumn("dir", directory(F.col("path"))), own, "path"), settle(nearest), "dir")
     stated = F.col("licence").isNotNull()
     return table.select(
         "path",
