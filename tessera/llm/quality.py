@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tessera.llm import wordkernel as wk
-from tessera.llm.frames import columns, forget, map_batches, settle
+from tessera.llm.frames import forget, map_batches, settle
 
 FEATURES = 192
 FOLDS = 4
@@ -268,9 +267,7 @@ def accepted(docs: DataFrame, labels: DataFrame, learnt: Column, label: str = "q
         for batch in batches:
             for i, j in wk.slices(batch.column("text"), 1 << 20):
                 good = model.value.score(statistics(batch.column("text")[i:j])) >= threshold
-                rows = batch.column("row")[i:j].filter(pa.array(good))
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([rows], names=["row"])
+                if good.any():
+                    yield batch.slice(i, j - i).filter(pa.array(good))
 
-    rows = docs.select(F.struct(*columns(docs)).alias("row"), "text")
-    return map_batches(rows, run, StructType([rows.schema["row"]])).select("row.*")
+    return map_batches(docs, run, docs.schema)
