@@ -5,43 +5,81 @@ All take and return pixels; every prediction of a call is one lazy plan.
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.errors import InvalidArgument, NotFound
+from tessera.errors import InvalidArgument, NotFound, SizeError
+from tessera.functions import masks
 from tessera.functions.intervals import IntervalSet, ordered_set
-from tessera.operators import estarfm, fitfc, interpolation, starfm
+from tessera.operators import aggregates, estarfm, fitfc, interpolation, starfm
 from tessera.plans import planner
 
 KEYS = ["pred_date", "y", "x", "band"]
+Steps = list[tuple[str, IntervalSet]]
 
 
-def _image(pixels: DataFrame, tag: str, name: str) -> DataFrame:
-    return pixels.filter(F.col("tag") == tag).select("date", "y", "x", "band", F.col("value").alias(name), F.col("valid").alias(f"_{name}"))
+@dataclass(frozen=True)
+class JobMasks:
+    """What narrows the validity of a job's images.
 
+    ``images`` are mask tables (y, x, valid, and band if bands differ), all of which must
+    hold; a cell a mask doesn't have is invalid.  ``ranges`` are ordered ("valid" or
+    "invalid", set) steps for both tags, ``high_ranges`` and ``low_ranges`` for one;
+    ``nodata`` is each tag's value for missing data.
+    """
+
+    images: tuple[DataFrame, ...] = ()
+    ranges: Steps | None = None
+    high_ranges: Steps | None = None
+    low_ranges: Steps | None = None
+    nodata: dict[str, float] | None = None
+    integral: bool = True
 
-def align_jobs(pixels: DataFrame, jobs: DataFrame, double: bool, high: str = "high", low: str = "low") -> DataFrame:
-    """Rows per pred_date, y, x and band with h1, l1, l2 (h3, l3) and ok for all jobs (date, date1, date3)."""
-    plan = F.broadcast(jobs.select(F.col("date").alias("pred_date"), "date1", "date3"))  # a row per predicted image
-    spots = ["y", "x", "band"]
 
-    def pick(tag: str, name: str, key: str) -> DataFrame:
-        return _image(pixels, tag, name).join(plan, F.col("date") == F.col(key)).select("pred_date", *spots, name, f"_{name}")
+def _jobs_of(jobs: DataFrame) -> list[tuple[int, int, int | None]]:
+    """date, date1, date3: a row per predicted image."""
+    return sorted((r["date"], r["date1"], r["date3"]) for r in jobs.select("date", "date1", "date3").collect())
 
-    out = pick(low, "l2", "pred_date").join(pick(high, "h1", "date1"), KEYS).join(pick(low, "l1", "date1"), KEYS)
-    names = ["l2", "h1", "l1"]
-    if double:
-        out = out.join(pick(high, "h3", "date3"), KEYS).join(pick(low, "l3", "date3"), KEYS)
-        names += ["h3", "l3"]
-    ok = F.lit(True)
-    for n in names:
-        ok = ok & F.col(f"_{n}") & F.col(n).isNotNull()
-    return out.select(*KEYS, *names, ok.alias("ok"))
 
+def align_jobs(pixels: DataFrame, jobs: DataFrame, double: bool, high: str = "high", low: str = "low", grid: tuple[int, int, int] | None = None) -> DataFrame:
+    """Rows per pred_date, y, x and band with h1, l1, l2 (h3, l3) and ok for all jobs (date, date1, date3).
 
-def use_ranges(pixels: DataFrame, tag: str, steps: list[tuple[str, IntervalSet]], integral: bool = True) -> DataFrame:
+    One shuffle brings all images of all jobs together by cell; jobs are laid out after
+    it.  A cell that an image lacks has a null there and is not ok.  With a ``grid``
+    (height, width, bands) every one of its cells has a row.
+    """
+    rows = _jobs_of(jobs)
+    if not rows:
+        columns = ["l2", "h1", "l1", *(["h3", "l3"] if double else [])]
+        return pixels.filter("false").select(F.lit(0).alias("pred_date"), "y", "x", "band", *[F.col("value").alias(c) for c in columns], F.lit(False).alias("ok"))
+    roles = [{"l2": (low, d), "h1": (high, a), "l1": (low, a)} | ({"h3": (high, b), "l3": (low, b)} if double else {}) for d, a, b in rows]
+    images = sorted({i for r in roles for i in r.values()})
+    here = lambda t, d: (F.col("tag") == t) & (F.col("date") == d)
+    cells = pixels.filter(reduce(lambda a, b: a | b, (here(*i) for i in images))).select("tag", "date", "y", "x", "band", "value", "valid")
+    if grid is not None:
+        height, width, bands = grid
+        n = F.col("id")
+        empty = pixels.sparkSession.range(height * width * bands).select(
+            F.lit(None).cast("string").alias("tag"), F.lit(None).cast("int").alias("date"), (F.floor(n / (width * bands))).cast("int").alias("y"), (F.floor(n / bands) % width).cast("int").alias("x"), (n % bands).cast("int").alias("band"),
+            F.lit(None).cast("double").alias("value"), F.lit(False).alias("valid"),
+        )
+        cells = cells.unionByName(empty)
+    name = {i: f"_{n}" for n, i in enumerate(images)}
+    values = [F.max(F.when(here(*i), F.col("value"))).alias(name[i]) for i in images]
+    valid = [F.max(F.when(here(*i), F.col("valid") & F.col("value").isNotNull())).alias(f"{name[i]}v") for i in images]
+    together = cells.groupBy("y", "x", "band").agg(*values, *valid)
+    laid = []
+    for (d, _, _), role in zip(rows, roles, strict=True):
+        ok = reduce(lambda a, b: a & b, (F.coalesce(F.col(f"{name[i]}v"), F.lit(False)) for i in role.values()))
+        laid.append(F.struct(F.lit(d).alias("pred_date"), *[F.col(name[i]).alias(c) for c, i in role.items()], ok.alias("ok")))
+    out = together.select("y", "x", "band", F.explode(F.array(*laid)).alias("j"))
+    return out.select("j.pred_date", "y", "x", "band", *[f"j.{c}" for c in roles[0]], "j.ok")
+
+
+def use_ranges(pixels: DataFrame, tag: str, steps: Steps, integral: bool = True) -> DataFrame:
     """Narrow the validity of a tag's images by ordered valid and invalid ranges; no ranges, no change."""
     if not steps:
         return pixels
@@ -58,10 +96,42 @@ def use_nodata(pixels: DataFrame, nodata: dict[str, float]) -> DataFrame:
     return pixels.withColumn("valid", F.col("valid") & test)
 
 
+def narrowed(pixels: DataFrame, job: JobMasks | None, high: str, low: str) -> DataFrame:
+    """Pixels with the ranges and missing values of a job; mask images come after alignment."""
+    if job is None:
+        return pixels
+    for tag, own in ((high, job.high_ranges), (low, job.low_ranges)):
+        pixels = use_ranges(pixels, tag, [*(job.ranges or []), *(own or [])], job.integral)
+    return use_nodata(pixels, job.nodata or {})
+
+
+def masked(aligned: DataFrame, job: JobMasks | None) -> DataFrame:
+    for mask in job.images if job else ():
+        aligned = masks.combine(aligned.withColumnRenamed("ok", "valid"), mask.select(*[c for c in ("y", "x", "band", "valid") if c in mask.columns])).withColumnRenamed("valid", "ok")
+    return aligned
+
+
+def check_sizes(pixels: DataFrame, jobs: DataFrame, double: bool, high: str, low: str) -> None:
+    """All images of the jobs are there and of one size; one row per image comes to the driver."""
+    rows = _jobs_of(jobs)
+    wanted = {(t, d) for p, a, b in rows for t, d in ((low, p), (high, a), (low, a), *(((high, b), (low, b)) if double else ()))}
+    sizes = pixels.filter(F.col("date").isin(sorted({d for _, d in wanted})) & F.col("tag").isin(high, low)).groupBy("tag", "date").agg(F.max("y").alias("h"), F.max("x").alias("w"), F.max("band").alias("b")).collect()
+    found = {(r["tag"], r["date"]): (r["h"], r["w"], r["b"]) for r in sizes if (r["tag"], r["date"]) in wanted}
+    if missing := sorted(wanted - set(found)):
+        raise NotFound(f"no image {missing[0][0]!r} of {missing[0][1]}")
+    if len(set(found.values())) > 1:
+        raise SizeError(f"images of different sizes: {sorted(set(found.values()))}")
+
+
 def _labelled(out: DataFrame) -> DataFrame:
     return out.select(F.lit("predicted").alias("tag"), F.col("pred_date").alias("date"), "y", "x", "band", "value", F.col("value").isNotNull().alias("valid"))
 
 
+def _mask_of(aligned: DataFrame) -> DataFrame:
+    """The mask of each prediction: cells valid in all its images and masks."""
+    return aligned.select(F.lit("mask").alias("tag"), F.col("pred_date").alias("date"), "y", "x", "band", F.col("ok").alias("valid"))
+
+
 def _banded(aligned: DataFrame, names: list[str]) -> DataFrame:
     return aligned.groupBy("pred_date", "y", "x").agg(*[estarfm.by_band(n).alias(n) for n in names])
 
@@ -85,27 +155,51 @@ def _jobs(pixels: DataFrame, dates: list[int], date1: int | None, date3: int | N
     return pixels.sparkSession.createDataFrame(rows, "date int, date1 int, date3 int"), two
 
 
-def starfm_job(pixels: DataFrame, dates: list[int], options: starfm.StarfmOptions = starfm.StarfmOptions(), date1: int | None = None, date3: int | None = None, double: bool | None = None, high: str = "high", low: str = "low") -> DataFrame:
+def _aligned(pixels: DataFrame, jobs: DataFrame, double: bool, high: str, low: str, job: JobMasks | None, check: bool, grid: tuple[int, int, int] | None = None) -> DataFrame:
+    if check:
+        check_sizes(pixels, jobs, double, high, low)
+    return masked(align_jobs(narrowed(pixels, job, high, low), jobs, double, high, low, grid), job)
+
+
+def starfm_job(pixels: DataFrame, dates: list[int], options: starfm.StarfmOptions = starfm.StarfmOptions(), date1: int | None = None, date3: int | None = None, double: bool | None = None, high: str = "high", low: str = "low", job_masks: JobMasks | None = None, output_masks: bool = False, check: bool = True):
+    """Predictions of all dates; with ``output_masks`` (predictions, masks)."""
     jobs, two = _jobs(pixels, dates, date1, date3, high, low, double)
-    return _labelled(starfm.predict(align_jobs(pixels, jobs, two, high, low), options, two))
+    aligned = _aligned(pixels, jobs, two, high, low, job_masks, check)
+    out = _labelled(starfm.predict(aligned, options, two))
+    return (out, _mask_of(aligned)) if output_masks else out
 
 
-def estarfm_job(pixels: DataFrame, dates: list[int], bands: int, options: estarfm.EstarfmOptions | None = None, date1: int | None = None, date3: int | None = None, high: str = "high", low: str = "low") -> DataFrame:
+def estarfm_job(pixels: DataFrame, dates: list[int], bands: int, options: estarfm.EstarfmOptions | None = None, date1: int | None = None, date3: int | None = None, high: str = "high", low: str = "low", job_masks: JobMasks | None = None, output_masks: bool = False, check: bool = True):
+    """Predictions of all dates; with ``output_masks`` (predictions, masks)."""
     options = options or estarfm.EstarfmOptions(classes=64 ** (1 / bands))
     jobs, _ = _jobs(pixels, dates, date1, date3, high, low, True)
-    return _labelled(_exploded(estarfm.predict(_banded(align_jobs(pixels, jobs, True, high, low), ["h1", "h3", "l1", "l3", "l2", "ok"]), bands, options)))
+    aligned = _aligned(pixels, jobs, True, high, low, job_masks, check)
+    out = _labelled(_exploded(estarfm.predict(_banded(aligned, ["h1", "h3", "l1", "l3", "l2", "ok"]), bands, options)))
+    return (out, _mask_of(aligned)) if output_masks else out
 
 
-def fitfc_job(pixels: DataFrame, dates: list[int], bands: int, height: int, width: int, options: fitfc.FitFCOptions = fitfc.FitFCOptions(), date1: int | None = None, high: str = "high", low: str = "low") -> DataFrame:
-    jobs, _ = _jobs(pixels, dates, date1, None, high, low, False)
-    return _labelled(_exploded(fitfc.predict(align_jobs(pixels, jobs, False, high, low), bands, height, width, options)))
+def fitfc_job(pixels: DataFrame, dates: list[int], bands: int, height: int, width: int, options: fitfc.FitFCOptions = fitfc.FitFCOptions(), date1: int | None = None, date3: int | None = None, high: str = "high", low: str = "low", job_masks: JobMasks | None = None, output_masks: bool = False, check: bool = True):
+    """Predictions of all dates from the pair of ``date1`` and, if there is a second, from that of ``date3``.
+
+    ``pair`` names the pair's date.  With ``output_masks`` (predictions, masks).
+    """
+    jobs, _ = _jobs(pixels, dates, date1, date3, high, low, None if date1 is None and date3 is None else date3 is not None)
+    first = _jobs_of(jobs)[0]
+    parts, kept = [], []
+    for pair in dict.fromkeys(d for d in first[1:] if d is not None):
+        own = jobs.select("date", F.lit(pair).alias("date1"), F.lit(None).cast("int").alias("date3"))
+        aligned = _aligned(pixels, own, False, high, low, job_masks, check, (height, width, bands))
+        parts.append(_labelled(_exploded(fitfc.predict(aligned, bands, height, width, options))).withColumn("pair", F.lit(pair)))
+        kept.append(_mask_of(aligned).withColumn("pair", F.lit(pair)))
+    out, mask = (reduce(DataFrame.unionByName, x) for x in (parts, kept))
+    return (out, mask) if output_masks else out
 
 
 def _exploded(out: DataFrame) -> DataFrame:
     return out.select("pred_date", "y", "x", F.posexplode("value").alias("band", "value"))
 
 
-def imagefusion_task(
+def fusion_task(
     pixels: DataFrame,
     dates: list[int],
     bands: int,
@@ -117,38 +211,50 @@ def imagefusion_task(
     options=None,
     high: str = "high",
     low: str = "low",
+    job_masks: JobMasks | None = None,
+    check: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Predict all dates that can be; returns pixels of predictions and the task table."""
+    """Predict all dates that can be; returns pixels of predictions and the task table.
+
+    ``pair`` is the date of the pair a prediction comes from where a method takes one pair
+    and two are there (Fit-FC, one prediction from each); null otherwise.
+    """
     planner.check(method, singlepair_mode, high_date_prediction_mode)
     spark = pixels.sparkSession
     have = lambda t: pixels.filter(F.col("tag") == t).select("date").distinct()
     task = planner.with_intervals(planner.task_table(have(high), have(low), spark.createDataFrame([(d,) for d in dates], "date int")), singlepair_mode)
     jobs = planner.job_map(task, singlepair_mode)
+    none = F.lit(None).cast("int")
     parts = []
-    for two in (True, False):
-        some = jobs.filter(F.col("date3").isNotNull() if two else F.col("date3").isNull())
-        if not two and method == "estarfm":
-            continue
-        if two and method == "fitfc":
-            # two pairs give two predictions; the nearer pair's is kept
-            near = F.when(F.col("date") - F.col("date1") <= F.col("date3") - F.col("date"), F.col("date1")).otherwise(F.col("date3"))
-            some = some.select("date", near.alias("date1"), F.lit(None).cast("int").alias("date3"))
-        parts.append(_run(pixels, some, two and method != "fitfc", method, bands, height, width, options, high, low))
+
+    def add(source: DataFrame, some: DataFrame, double: bool, pair: Column = none) -> None:
+        out = _run(source, some, double, method, bands, height, width, options, high, low, job_masks, check)
+        parts.append(out.withColumn("pair", pair))
+
+    two, one = jobs.filter("date3 is not null"), jobs.filter("date3 is null")
+    if method == "fitfc":
+        for side in ("date1", "date3"):
+            own = two.select("date", F.col(side).alias("date1"), none.alias("date3"))
+            # dates of one pair share an interval, so each pair is a job of its own
+            for pair in sorted({r[0] for r in own.select("date1").distinct().collect()}):
+                add(pixels, own.filter(F.col("date1") == pair), False, F.lit(pair))
+    else:
+        add(pixels, two, True)
+    if method != "estarfm":
+        add(pixels, one, False)
     if high_date_prediction_mode == "copy":
-        parts.append(planner.copy_high(pixels, task.filter("pred_case in (4, 5)"), high).select("tag", "date", "y", "x", "band", "value", "valid"))
+        parts.append(planner.copy_high(pixels, task.filter("pred_case in (4, 5)"), high).select("tag", "date", "y", "x", "band", "value", "valid", none.alias("pair")))
     elif high_date_prediction_mode == "force":
         # the image stands for the high and the low side of a pair with itself
         own = planner.high_dates(task, "force").select("date", F.col("date").alias("date1"), F.col("date").alias("date3"))
         mirror = pixels.filter(F.col("tag") == high).unionByName(pixels.filter(F.col("tag") == high).withColumn("tag", F.lit(low)))
-        parts.append(_run(mirror, own, method == "estarfm", method, bands, height, width, options, high, low))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, task
+        add(mirror, own, method == "estarfm")
+    return reduce(DataFrame.unionByName, parts), task
 
 
-def _run(pixels: DataFrame, jobs: DataFrame, double: bool, method: str, bands: int, height: int, width: int, options, high: str, low: str) -> DataFrame:
-    aligned = align_jobs(pixels, jobs, double, high, low)
+def _run(pixels: DataFrame, jobs: DataFrame, double: bool, method: str, bands: int, height: int, width: int, options, high: str, low: str, job_masks: JobMasks | None = None, check: bool = True) -> DataFrame:
+    grid = (height, width, bands) if method == "fitfc" else None
+    aligned = _aligned(pixels, jobs, double, high, low, job_masks, check, grid)
     if method == "starfm":
         return _labelled(starfm.predict(aligned, options or starfm.StarfmOptions(), double))
     if method == "estarfm":
@@ -160,16 +266,22 @@ def _run(pixels: DataFrame, jobs: DataFrame, double: bool, method: str, bands: i
 def imginterp_task(
     pixels: DataFrame,
     interp_ranges: IntervalSet = IntervalSet(),
-    valid_steps: list[tuple[str, IntervalSet]] | None = None,
+    valid_steps: Steps | None = None,
     layers: DataFrame | None = None,
     mask_layers: DataFrame | None = None,
     nodata: float | None = None,
     options: interpolation.InterpolationOptions = interpolation.InterpolationOptions(),
+    only_layered: bool = False,
+    choose_nodata: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Fill gaps; returns pixels with states, and counts per image.
 
     ``layers`` (tag, date, y, x, flag) ask for interpolation, ``mask_layers`` (tag,
     date, y, x, mask) are AND-ed into the validity; an empty tag holds for all tags.
+    With ``only_layered`` only dates that a layer covers are given back, though all
+    dates lend values.  ``choose_nodata`` finds each tag a value that none of its
+    remaining cells has, where ``nodata`` names none; a tag without a free one keeps
+    its cells as they were, as their state tells.
     """
     df = pixels
     for name, table, fold in (("flag", layers, "or"), ("mask", mask_layers, "and")):
@@ -181,4 +293,11 @@ def imginterp_task(
         valid = valid & (F.col("value") != nodata)
     df = df.withColumn("valid", valid)
     out = interpolation.interpolate(df, F.col("flag") | interp_ranges.contains(F.col("value")), replace(options, nodata=nodata))
+    if only_layered:
+        named = layers.select("tag", "date").distinct() if layers is not None else pixels.filter("false").select("tag", "date")
+        own, every = named.filter("tag <> ''"), named.filter("tag = ''").select("date").distinct()
+        # a row per image
+        out = out.join(F.broadcast(own.withColumn("_own", F.lit(True))), ["tag", "date"], "left").join(F.broadcast(every.withColumn("_all", F.lit(True))), "date", "left").filter("_own or _all").select("tag", "date", "y", "x", "band", "value", "state")
+    if choose_nodata and nodata is None:
+        out = aggregates.with_nodata(out, options.dtype)
     return out, interpolation.statistics(out)

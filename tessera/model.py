@@ -68,20 +68,6 @@ def densify(pixels: DataFrame, height: int, width: int, keys: DataFrame) -> Data
     return out.select("tag", "date", "y", "x", "band", "value", F.coalesce("valid", F.lit(False)).alias("valid"))
 
 
-def align(pixels: DataFrame, images: dict[str, tuple[str, int]]) -> DataFrame:
-    """One row per cell with a column for each named image, by one shuffle.
-
-    ``images`` maps a column name to (tag, date); a further column ``ok`` tells
-    where all of them are valid.
-    """
-    pick = [F.max(F.when((F.col("tag") == t) & (F.col("date") == d), F.col("value"))).alias(name) for name, (t, d) in images.items()]
-    wanted = F.lit(False)
-    for t, d in images.values():
-        wanted = wanted | ((F.col("tag") == t) & (F.col("date") == d))
-    ok = (F.sum(F.when(F.col("valid"), 1).otherwise(0)) == len(set(images.values()))).alias("ok")
-    return pixels.filter(wanted).groupBy("y", "x", "band").agg(*pick, ok)
-
-
 def fine_raster(spark: SparkSession, sf_dir: str, side: int = 32) -> DataFrame:
     """A wide raster (x, y, d, b0, b1, b2, qa, ok) derived from lineitem."""
     cell = F.col("l_orderkey") % (side * side)

@@ -32,8 +32,8 @@ def unique_counts(pixels: DataFrame) -> DataFrame:
 def unused_value(pixels: DataFrame, dtype: str) -> float | None:
     """A value to stand for missing data that no valid cell has; None if there is none.
 
-    At most the type's range of small integers is looked at; the test for wide types
-    is a count.
+    At most the type's range of small integers is looked at.  Of wide types (int32 and
+    floats) the customary value is given without looking, whatever the cells hold.
     """
     t = base_type(dtype)
     values = pixels.filter("valid").select("value").distinct()
@@ -53,3 +53,18 @@ def free_values(pixels: DataFrame, low: int, high: int) -> DataFrame:
     """Integers of a range that no valid cell has."""
     span = pixels.sparkSession.range(low, high + 1).select(F.col("id").cast("double").alias("value"))
     return span.join(pixels.filter("valid").select("value").distinct(), "value", "left_anti")
+
+
+def with_nodata(filled: DataFrame, dtype: str) -> DataFrame:
+    """Cells of state 0 and 64 of each tag get a value that none of its other cells has.
+
+    A row per tag comes to the driver, and one value with it.
+    """
+    lost = F.col("state").isin(0, 64)
+    left = filled.filter(~lost).withColumn("valid", F.col("value").isNotNull())
+    chosen = F.lit(None).cast("double")
+    for r in filled.select("tag").distinct().collect():
+        value = unused_value(left.filter(F.col("tag") == r["tag"]), dtype)
+        if value is not None:
+            chosen = F.when(F.col("tag") == r["tag"], F.lit(value)).otherwise(chosen)
+    return filled.withColumn("value", F.when(lost, F.coalesce(chosen, F.col("value"))).otherwise(F.col("value")))

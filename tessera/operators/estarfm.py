@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.errors import InvalidArgument
 from tessera.functions.geo import Rectangle
 from tessera.model import base_type
-from tessera.operators.neighborhood import TILE, Tile, by_tile, shifted
+from tessera.operators.neighborhood import TILE, Tile, by_tile
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def _window_sum(a: np.ndarray, r: int) -> np.ndarray:
 
 
 def predict_arrays(h1, h3, l1, l3, l2, ok, tolerance: tuple[np.ndarray, np.ndarray], o: EstarfmOptions, cut: bool = True) -> np.ndarray:
-    """All bands (C, H, W) of a padded tile at once; cells not ok are NaN."""
+    """The inner cells of all bands (C, H, W) of a tile padded by half a window; cells not ok are NaN."""
     r = o.window // 2
     zero = lambda a: np.where(ok, a, 0.0)
     lw = local_weight([l1, l3], [h1, h3], ok)
@@ -113,28 +113,38 @@ def predict_arrays(h1, h3, l1, l3, l2, ok, tolerance: tuple[np.ndarray, np.ndarr
             tol = [np.sqrt(np.maximum(_window_sum(zero(h) ** 2, r) / n - (_window_sum(zero(h), r) / n) ** 2, 0)) * 2 / o.classes for h in (h1, h3)]
     else:
         tol = [np.broadcast_to(t[:, None, None], h1.shape) for t in tolerance]
-    sum1, sum2, sum3 = (_window_sum(zero(v), r) for v in (l1, l2, l3))
-    c, h, w = h1.shape
-    count, sw = np.zeros((h, w)), np.zeros((h, w))
-    acc = {k: np.zeros((c, h, w)) for k in ("d1", "d3", "h1", "h3", "x", "y", "xx", "xy", "yy")}
+    height, width = h1.shape[1] - 2 * r, h1.shape[2] - 2 * r
+    inner = (..., slice(r, r + height), slice(r, r + width))
+    sum1, sum2, sum3 = (_window_sum(zero(v), r)[inner] for v in (l1, l2, l3))
+    c = len(h1)
     every = ok.all(0)
-    for dy in range(-r, r + 1):
-        for dx in range(-r, r + 1):
-            a1, a3 = shifted(h1, dy, dx, np.nan), shifted(h3, dy, dx, np.nan)
-            with np.errstate(invalid="ignore"):
-                use = shifted(every, dy, dx, False) & every & ((np.abs(h1 - a1) <= tol[0]) & (np.abs(h3 - a3) <= tol[1])).all(0)
-            if not use.any():
-                continue
-            d = 1 + 2 * math.hypot(dx, dy) / o.window
-            weight = np.where(use, 1 / ((1 - shifted(lw, dy, dx, 0.0)) * d + 1e-7), 0.0)
-            b1, b2, b3 = (shifted(v, dy, dx, np.nan) for v in (l1, l2, l3))
-            pick = lambda v, use=use: np.where(use, v, 0.0)
-            count += use
-            sw += weight
-            for k, v in (("d1", b2 - b1), ("d3", b2 - b3), ("h1", a1), ("h3", a3)):
-                acc[k] += weight * pick(v)
-            for k, v in (("x", b1 + b3), ("y", a1 + a3), ("xx", b1 * b1 + b3 * b3), ("xy", b1 * a1 + b3 * a3), ("yy", a1 * a1 + a3 * a3)):
-                acc[k] += pick(v)
+    z1, z2, z3, y1, y3 = (np.where(every, v, 0.0) for v in (l1, l2, l3, h1, h3))
+    weighed = np.concatenate([z2 - z1, z2 - z3, y1, y3])
+    plain = np.concatenate([z1 + z3, y1 + y3, z1 * z1 + z3 * z3, z1 * y1 + z3 * y3, y1 * y1 + y3 * y3])
+    # a cell that is not ok in all bands is like no other
+    near = np.where(every, np.concatenate([h1, h3]), np.nan)
+    limit = np.concatenate(tol)[inner]
+    apart = 1 - np.where(every, lw, 0.0)
+    count, sw = np.zeros((height, width)), np.zeros((height, width))
+    sums, moments = np.zeros((4 * c, height, width)), np.zeros((5 * c, height, width))
+    difference, buffer = np.empty(limit.shape), np.empty(moments.shape)
+    with np.errstate(invalid="ignore"):
+        for dy in range(2 * r + 1):
+            for dx in range(2 * r + 1):
+                at = (..., slice(dy, dy + height), slice(dx, dx + width))
+                np.subtract(near[at], near[inner], out=difference)
+                np.abs(difference, out=difference)
+                use = (difference <= limit).all(0)
+                if not use.any():
+                    continue
+                mask = use.astype(float)
+                weight = mask / (apart[at] * (1 + 2 * math.hypot(dx - r, dy - r) / o.window) + 1e-7)
+                count += mask
+                sw += weight
+                sums += np.multiply(weighed[at], weight, out=buffer[: 4 * c])
+                moments += np.multiply(plain[at], mask, out=buffer)
+    acc = {k: sums[i * c : (i + 1) * c] for i, k in enumerate(("d1", "d3", "h1", "h3"))} | {k: moments[i * c : (i + 1) * c] for i, k in enumerate(("x", "y", "xx", "xy", "yy"))}
+    h1, h3, every = h1[inner], h3[inner], every[inner]
     t1, t3 = 1 / (np.abs(sum1 - sum2) + 1e-10), 1 / (np.abs(sum3 - sum2) + 1e-10)
     t1, t3 = t1 / (t1 + t3), t3 / (t1 + t3)
     n = 2 * count
@@ -179,7 +189,9 @@ def predict(aligned: DataFrame, bands: int, options: EstarfmOptions = EstarfmOpt
         tol = tuple(np.nan_to_num(np.array([np.nan if v is None else v for v in t.pdf[f"tol_{n}"].iloc[0]], float)) for n in ("h1", "h3"))
         out = predict_arrays(*(t.bands(n, bands) for n in ("h1", "h3", "l1", "l3", "l2")), ok, tol, options, cut)
         rows = t.inner() & t.pdf["_write"].to_numpy()
-        values = out[:, t.y[rows], t.x[rows]].T
-        return pd.DataFrame({"pred_date": t.pdf["pred_date"].to_numpy()[rows], "y": t.pdf["y"].to_numpy()[rows], "x": t.pdf["x"].to_numpy()[rows], "value": [[None if np.isnan(e) else float(e) for e in v] for v in values]})
+        values = out[:, t.y[rows] - r, t.x[rows] - r].T
+        return pd.DataFrame({"pred_date": t.pdf["pred_date"].to_numpy()[rows], "y": t.pdf["y"].to_numpy()[rows], "x": t.pdf["x"].to_numpy()[rows], "value": list(np.ascontiguousarray(values))})
 
-    return by_tile(cells, r, SCHEMA, kernel, ["pred_date"], options.tile)
+    out = by_tile(cells, r, SCHEMA, kernel, ["pred_date"], options.tile)
+    # a missing value leaves the kernel as NaN
+    return out.withColumn("value", F.transform("value", lambda e: F.when(~F.isnan(e), e)))

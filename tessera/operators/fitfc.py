@@ -14,7 +14,7 @@ from tessera.errors import InvalidArgument, SizeError
 from tessera.functions.geo import Rectangle
 from tessera.model import base_type, saturate
 from tessera.operators.estarfm import by_band
-from tessera.operators.neighborhood import TILE, Tile, box_sum, by_tile, shifted
+from tessera.operators.neighborhood import TILE, Tile, box_sum, by_tile
 
 
 @dataclass(frozen=True)
@@ -108,31 +108,55 @@ def smooth_residual(cells: DataFrame, height: int, width: int, factor: float) ->
     return resample(small, "residual", cubic_weights(my, height), cubic_weights(mx, width), keys)
 
 
+#: Cells whose neighbours are ranked together; bounds the table of scores.
+STRIP = 1024
+
+
 def filter_arrays(h1: np.ndarray, value: np.ndarray, ok: np.ndarray, o: FitFCOptions) -> np.ndarray:
-    """Mean over the most similar neighbours of (C, H, W) values, nearer ones weighing more."""
-    r = o.window // 2
-    shape = (o.neighbors, *ok.shape)
-    score, dist = np.full(shape, np.inf), np.full(shape, np.inf)
-    kept = np.full((o.neighbors, *value.shape), np.nan)
-    # offsets in order of distance, then row, then column: a later one displaces only if it is strictly better
-    cells = sorted(((dy * dy + dx * dx, dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)))
-    for d2, dy, dx in cells:
-        there = shifted(ok, dy, dx, False)
-        diff = np.where(there, ((shifted(h1, dy, dx, np.nan) - h1) ** 2).sum(0), np.inf)
-        cand_s, cand_d, cand_v = diff, np.where(np.isfinite(diff), d2, np.inf), shifted(value, dy, dx, np.nan)
-        better = np.zeros(ok.shape, bool)
-        for k in range(o.neighbors):  # insertion into the sorted list of the best; what it displaces moves on
-            better = better | (cand_s < score[k])
-            if not better.any():
-                continue
-            cand_s, score[k] = np.where(better, score[k], cand_s), np.where(better, cand_s, score[k])
-            cand_d, dist[k] = np.where(better, dist[k], cand_d), np.where(better, cand_d, dist[k])
-            cand_v, kept[k] = np.where(better, kept[k], cand_v), np.where(better, cand_v, kept[k])
-    some = np.isfinite(score)
-    w = np.where(some, 1 / (1 + 2 * np.sqrt(np.where(some, dist, 0)) / o.window), 0)
-    total = np.where(some[:, None], w[:, None] * np.nan_to_num(kept), 0).sum(0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(ok, total / w.sum(0), np.nan)
+    """Mean over the most similar neighbours of (C, H, W) values, nearer ones weighing more, for the inner cells."""
+    r, n = o.window // 2, o.neighbors
+    bands = len(h1)
+    height, width = ok.shape[0] - 2 * r, ok.shape[1] - 2 * r
+    # offsets in order of distance, then row, then column: of equally similar neighbours the first ones stay
+    cells = sorted((dy * dy + dx * dx, dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1))
+    d2, off_y, off_x = (np.array(v) for v in zip(*cells, strict=True))
+    weight = 1 / (1 + 2 * np.sqrt(d2) / o.window)
+    n = min(n, len(cells))
+    # small integers are exact in half the memory
+    t = base_type(o.dtype)
+    kind = np.float32 if t.integral and bands * (t.high - t.low) ** 2 < 1 << 24 and (np.where(ok, h1, 0) == np.rint(np.where(ok, h1, 0))).all() else np.float64
+    near = np.where(ok, h1, np.nan).astype(kind)
+    values = value.reshape(bands, -1)
+    out = np.full((bands, height, width), np.nan)
+    step = max(1, STRIP // width)
+    for top in range(0, height, step):
+        rows = min(step, height - top)
+        center = near[:, r + top : r + top + rows, r : r + width]
+        score = np.empty((len(cells), rows, width), kind)
+        part = np.empty((rows, width), kind)
+        for j in range(len(cells)):
+            there = near[:, r + top + off_y[j] : r + top + off_y[j] + rows, r + off_x[j] : r + off_x[j] + width]
+            np.subtract(there[0], center[0], out=score[j])
+            np.square(score[j], out=score[j])
+            for b in range(1, bands):
+                np.subtract(there[b], center[b], out=part)
+                np.square(part, out=part)
+                score[j] += part
+        score = score.reshape(len(cells), -1)
+        score[np.isnan(score)] = np.inf
+        last = np.partition(np.ascontiguousarray(score.T), n - 1, axis=1)[:, n - 1]
+        # a missing neighbour is never taken, not even where there are fewer than n others
+        j, cell = np.nonzero(score <= np.minimum(last, np.finfo(kind).max))
+        order = np.lexsort((j, score[j, cell] == last[cell], cell))
+        j, cell = j[order], cell[order]
+        first = np.arange(len(cell)) - np.searchsorted(cell, cell) < n
+        j, cell = j[first], cell[first]
+        at = (r + top + cell // width + off_y[j]) * ok.shape[1] + r + cell % width + off_x[j]
+        total = np.bincount(cell, weight[j], rows * width)
+        for b in range(bands):
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[b, top : top + rows] = (np.bincount(cell, weight[j] * np.nan_to_num(values[b][at]), rows * width) / total).reshape(rows, width)
+    return np.where(ok[r : r + height, r : r + width], out, np.nan)
 
 
 SCHEMA = "pred_date int, y int, x int, value array<double>"
@@ -156,7 +180,9 @@ def predict(aligned: DataFrame, bands: int, height: int, width: int, options: Fi
         if cut and t.integral:
             out = np.clip(np.rint(out), t.low, t.high)
         rows = tile.inner() & tile.pdf["_write"].to_numpy()
-        values = out[:, tile.y[rows], tile.x[rows]].T
-        return pd.DataFrame({"pred_date": tile.pdf["pred_date"].to_numpy()[rows], "y": tile.pdf["y"].to_numpy()[rows], "x": tile.pdf["x"].to_numpy()[rows], "value": [[None if np.isnan(e) else float(e) for e in v] for v in values]})
+        values = out[:, tile.y[rows] - r, tile.x[rows] - r].T
+        return pd.DataFrame({"pred_date": tile.pdf["pred_date"].to_numpy()[rows], "y": tile.pdf["y"].to_numpy()[rows], "x": tile.pdf["x"].to_numpy()[rows], "value": list(np.ascontiguousarray(values))})
 
-    return by_tile(cells.withColumn("_write", write), r, SCHEMA, kernel, ["pred_date"], options.tile)
+    out = by_tile(cells.withColumn("_write", write), r, SCHEMA, kernel, ["pred_date"], options.tile)
+    # a missing value leaves the kernel as NaN
+    return out.withColumn("value", F.transform("value", lambda e: F.when(~F.isnan(e), e)))

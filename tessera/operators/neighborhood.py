@@ -42,11 +42,12 @@ def neighbours(cells: DataFrame, dx: int, dy: int, columns: list[str], keys: lis
 
 
 def tiles(cells: DataFrame, halo: int, tile: int = TILE) -> DataFrame:
-    """Copy each cell to every tile whose padded extent holds it: adds ty, tx."""
+    """Copy each cell to every tile whose padded extent holds it: adds ty, tx.
+
+    Tiles around the image hold halo cells alone; they have nothing to write.
+    """
     span = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int"))
-    own = cells.select(F.floor(F.col("y") / tile).cast("int").alias("ty"), F.floor(F.col("x") / tile).cast("int").alias("tx")).distinct()
-    spread = cells.withColumn("ty", F.explode(span("y"))).withColumn("tx", F.explode(span("x")))
-    return spread.join(F.broadcast(own), ["ty", "tx"], "left_semi")  # one row per tile
+    return cells.withColumn("ty", F.explode(span("y"))).withColumn("tx", F.explode(span("x")))
 
 
 class Tile:
@@ -67,7 +68,11 @@ class Tile:
     def bands(self, column: str, count: int) -> np.ndarray:
         """(bands, side, side) from an array column."""
         out = np.full((count, self.side, self.side), np.nan)
-        rows = np.array([np.full(count, np.nan) if v is None else np.array([np.nan if e is None else e for e in v], float) for v in self.pdf[column]]).reshape(-1, count)
+        column = self.pdf[column]
+        if column.notna().all() and (flat := np.concatenate(column.to_numpy())).dtype.kind in "fib" and len(flat) == count * len(column):
+            out[:, self.y, self.x] = flat.reshape(-1, count).T
+            return out
+        rows = np.array([np.full(count, np.nan) if v is None else np.array([np.nan if e is None else e for e in v], float) for v in column]).reshape(-1, count)
         out[:, self.y, self.x] = rows.T
         return out
 
@@ -82,21 +87,14 @@ class Tile:
         return (self.y >= h) & (self.y < n) & (self.x >= h) & (self.x < n)
 
 
-def shifted(a: np.ndarray, dy: int, dx: int, fill) -> np.ndarray:
-    """a[..., y + dy, x + dx], with ``fill`` beyond the edge."""
-    out = np.full_like(a, fill)
-    h, w = a.shape[-2:]
-    ys, yd = slice(max(dy, 0), min(h, h + dy)), slice(max(-dy, 0), min(h, h - dy))
-    xs, xd = slice(max(dx, 0), min(w, w + dx)), slice(max(-dx, 0), min(w, w - dx))
-    if ys.start < ys.stop and xs.start < xs.stop:
-        out[..., yd, xd] = a[..., ys, xs]
-    return out
-
-
 def by_tile(cells: DataFrame, halo: int, schema: str, kernel: Callable[[Tile], pd.DataFrame], keys: list[str], tile: int = TILE) -> DataFrame:
     """Run a kernel on every padded tile of every image named by keys."""
 
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return kernel(Tile(pdf, halo, tile))
+        t = Tile(pdf, halo, tile)
+        writes = t.inner() & (pdf["_write"].to_numpy() if "_write" in pdf else True)
+        return kernel(t) if writes.any() else pd.DataFrame({n: [] for n in names}, dtype=object)
 
     return tiles(cells, halo, tile).groupBy(*keys, "ty", "tx").applyInPandas(run, schema)

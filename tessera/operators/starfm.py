@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.errors import InvalidArgument
 from tessera.functions.geo import Rectangle
 from tessera.model import base_type
-from tessera.operators.neighborhood import TILE, Tile, by_tile, shifted
+from tessera.operators.neighborhood import TILE, Tile, by_tile
 
 
 @dataclass(frozen=True)
@@ -53,40 +53,61 @@ def _truncate(a: np.ndarray, dtype: str) -> np.ndarray:
 
 
 def predict_arrays(high: list[np.ndarray], low: list[np.ndarray], now: np.ndarray, ok: np.ndarray, tolerance: list[float], o: StarfmOptions, cut: bool = True) -> np.ndarray:
-    """One band of a padded tile; cells that are not ok are NaN."""
+    """The inner cells of one band of a tile padded by half a window; cells that are not ok are NaN.
+
+    A neighbour's weight is near / d + flat, d from the offset alone: both parts and their
+    products with the neighbour's value are made once, and an offset only adds views of them.
+    """
     double = len(high) == 2
     weigh_time = double if o.temporal_weight is None else o.temporal_weight
     s_t, s_s = o.sigma("temporal"), o.sigma("spectral")
     s_dt, s_ds = s_t * math.sqrt(2), math.sqrt(s_t**2 + s_s**2)
     s_c = math.sqrt(s_ds**2 + s_dt**2)
+    r = o.window // 2
+    height, width = now.shape[0] - 2 * r, now.shape[1] - 2 * r
+    inner = (slice(r, r + height), slice(r, r + width))
     spectral = [np.abs(l_ - h) for h, l_ in zip(high, low, strict=True)]
     temporal = [np.abs(l_ - now) for l_ in low]
     local = [_saturate(h + now - l_, o.dtype) for h, l_ in zip(high, low, strict=True)]
-    t_most = _saturate(np.minimum.reduce([t + s_dt for t in temporal]), o.dtype)
-    s_most = _saturate(np.minimum.reduce([s + s_ds for s in spectral]), o.dtype)
-    weights, total = np.zeros_like(now), np.zeros_like(now)
-    r = o.window // 2
-    for dy in range(-r, r + 1):
-        for dx in range(-r, r + 1):
-            there = shifted(ok, dy, dx, False)
-            if not there.any():
-                continue
-            d = 1 + 2 * math.hypot(dx, dy) / o.window
-            for k in range(len(high)):
-                t, s = shifted(temporal[k], dy, dx, np.nan), shifted(spectral[k], dy, dx, np.nan)
-                near = np.abs(high[k] - shifted(high[k], dy, dx, np.nan)) < tolerance[k]
-                small_t, small_s = t < t_most, s < s_most
-                use = there & near & ((small_t & small_s) if o.strict else (small_t | small_s))
-                if not use.any():
-                    continue
-                tw = t if weigh_time else np.zeros_like(t)
-                if o.log_scale > 0:
-                    w = 1 / (np.log(2 + tw * o.log_scale) * np.log(2 + s * o.log_scale) * d)
-                else:
-                    both = (1 + tw) * (1 + s)
-                    w = np.where(both >= s_c, 1 / (d * both), 1.0)
-                weights += np.where(use, w, 0)
-                total += np.where(use, w * shifted(local[k], dy, dx, np.nan), 0)
+    t_most = _saturate(np.minimum.reduce([t[inner] + s_dt for t in temporal]), o.dtype)
+    s_most = _saturate(np.minimum.reduce([s[inner] + s_ds for s in spectral]), o.dtype)
+    sides = []
+    for k in range(len(high)):
+        tw = temporal[k] if weigh_time else np.zeros_like(now)
+        with np.errstate(invalid="ignore"):
+            if o.log_scale > 0:
+                near = 1 / (np.log(2 + tw * o.log_scale) * np.log(2 + spectral[k] * o.log_scale))
+                flat = np.zeros_like(near)
+            else:
+                both = (1 + tw) * (1 + spectral[k])
+                near, flat = np.where(both >= s_c, 1 / both, 0.0), (both < s_c).astype(float)
+        near, flat, value = (np.where(ok, a, 0.0) for a in (near, flat, local[k]))
+        # a cell that is not ok is like no other
+        sides.append((np.where(ok, high[k], np.nan), temporal[k], spectral[k], near, near * value, flat if flat.any() else None, flat * value))
+    weights, total = np.zeros((height, width)), np.zeros((height, width))
+    difference, use, small, other = np.empty_like(total), np.empty(total.shape, bool), np.empty(total.shape, bool), np.empty(total.shape, bool)
+    share = np.empty_like(total)
+    join = np.logical_and if o.strict else np.logical_or
+    with np.errstate(invalid="ignore"):
+        for dy in range(2 * r + 1):
+            for dx in range(2 * r + 1):
+                at = (slice(dy, dy + height), slice(dx, dx + width))
+                closer = 1 / (1 + 2 * math.hypot(dx - r, dy - r) / o.window)
+                for k, (h, t, s, near, near_value, flat, flat_value) in enumerate(sides):
+                    np.subtract(h[at], h[inner], out=difference)
+                    np.abs(difference, out=difference)
+                    np.less(difference, tolerance[k], out=use)
+                    np.less(t[at], t_most, out=small)
+                    np.less(s[at], s_most, out=other)
+                    join(small, other, out=small)
+                    np.logical_and(use, small, out=use)
+                    np.multiply(use, closer, out=share)
+                    weights += np.multiply(near[at], share, out=difference)
+                    total += np.multiply(near_value[at], share, out=difference)
+                    if flat is not None:
+                        weights += np.multiply(flat[at], use, out=difference)
+                        total += np.multiply(flat_value[at], use, out=difference)
+    high, spectral, temporal, local, now, ok = ([v[inner] for v in a] if isinstance(a, list) else a[inner] for a in (high, spectral, temporal, local, now, ok))
     with np.errstate(invalid="ignore", divide="ignore"):
         out = np.where(weights > 0, total / weights, np.mean(local, axis=0))
     if cut:
@@ -130,7 +151,7 @@ def predict(aligned: DataFrame, options: StarfmOptions = StarfmOptions(), double
         tolerance = [float(t.pdf[f"tol_{n}"].iloc[0]) if t.pdf[f"tol_{n}"].notna().iloc[0] else 0.0 for n in names]
         out = predict_arrays([t.array(n) for n in names], [t.array(n) for n in lows], t.array("l2"), ok, tolerance, options, cut)
         rows = t.inner() & t.pdf["_write"].to_numpy()
-        values = out[t.y[rows], t.x[rows]]
-        return pd.DataFrame({"pred_date": t.pdf["pred_date"].to_numpy()[rows], "y": t.pdf["y"].to_numpy()[rows], "x": t.pdf["x"].to_numpy()[rows], "band": t.pdf["band"].to_numpy()[rows], "value": pd.array(np.where(np.isnan(values), None, values), "Float64")})
+        values = out[t.y[rows] - r, t.x[rows] - r]
+        return pd.DataFrame({"pred_date": t.pdf["pred_date"].to_numpy()[rows], "y": t.pdf["y"].to_numpy()[rows], "x": t.pdf["x"].to_numpy()[rows], "band": t.pdf["band"].to_numpy()[rows], "value": pd.arrays.FloatingArray(np.ascontiguousarray(values), np.isnan(values))})
 
     return by_tile(cells, r, SCHEMA, kernel, ["pred_date", "band"], options.tile)

@@ -392,7 +392,7 @@ def distance_weights(spark, d):
 
 @query("tile_halo", f"WITH {FINE} SELECT ty, tx, d, count(*) AS n, CAST(sum(b0) AS BIGINT) AS s FROM fine, (SELECT unnest([0, 1, 2, 3]) AS ty) a, (SELECT unnest([0, 1, 2, 3]) AS tx) b WHERE y BETWEEN ty * 8 - 2 AND ty * 8 + 9 AND x BETWEEN tx * 8 - 2 AND tx * 8 + 9 GROUP BY 1, 2, 3")
 def tile_halo(spark, d):
-    return neighborhood.tiles(fine_raster(spark, d), 2, 8).groupBy("ty", "tx", "d").agg(F.count("*").alias("n"), F.sum("b0").alias("s"))
+    return neighborhood.tiles(fine_raster(spark, d), 2, 8).filter("ty between 0 and 3 and tx between 0 and 3").groupBy("ty", "tx", "d").agg(F.count("*").alias("n"), F.sum("b0").alias("s"))
 
 
 @query("bilinear_shift", f"""WITH {DENSE} SELECT a.x, a.y, a.d, a.b0 * 0.375::DOUBLE + b.b0 * 0.125::DOUBLE + c.b0 * 0.375::DOUBLE + e.b0 * 0.125::DOUBLE AS value FROM dense a

@@ -281,7 +281,7 @@ def test_task(spark, method, mode):
     im["low", 7] = im["low", 5]
     o = {"starfm": starfm.StarfmOptions(window=3, tile=8), "fitfc": fitfc.FitFCOptions(window=3, neighbors=2, resolution_factor=4, tile=8), "estarfm": estarfm.EstarfmOptions(window=3, tile=8)}[method]
     single = "ignore" if method == "estarfm" else "mixed"
-    got, task = api.imagefusion_task(pixels_of(spark, im), [1, 3, 6, 7], 2, 12, 12, method, single, mode, o)
+    got, task = api.fusion_task(pixels_of(spark, im), [1, 3, 6, 7], 2, 12, 12, method, single, mode, o)
     cases = {r["date"]: r["pred_case"] for r in task.collect()}
     assert cases == {1: 4, 3: 1, 5: 0, 6: 3, 7: 2}
     dates = {3} | ({7} if single == "mixed" else set()) | ({1} if mode != "ignore" else set())
