@@ -1,12 +1,13 @@
 """Copies of images by local descriptors.
 
-An image (binary PGM, 8 bits) is looked at in ``SCALES`` sizes.  Each gives the
-strongest Harris corners of every square of ``FIELD`` pixels; a corner's patch is turned by the direction of its
-intensity centroid and described by 128 comparisons of pixel pairs.  The 128 bits
-are cut into two keys: descriptors at a Hamming distance of 1 or less share one of
+An image (binary PGM, or PNG without interlacing, 8 bits a channel) is looked at in
+``SCALES`` sizes.  Each gives the strongest Harris corners of every square of ``FIELD``
+pixels; a corner's patch is turned by the direction of its intensity centroid and
+described by ``TESTS`` comparisons of pairs of means over five by five pixels.  The 128
+bits are cut into two keys: descriptors at a Hamming distance of 1 or less share one of
 them, others by chance.  An edit that changes more bits of most descriptors hides a
-copy; enough corners survive crops, turns by right angles, tone changes and light
-noise.  Images that share keys are candidates; they are
+copy; enough corners survive crops, turns by right angles, scales, tone changes and
+noise (recall of each in the README).  Images that share keys are candidates; they are
 copies if at least ``CONSENSUS`` distinct matches agree on one rotation, scale and
 shift, voted on two overlapping grids.
 
@@ -14,18 +15,22 @@ A pair of copies has ``CONSENSUS`` or more keypoints on either side whose keys t
 other has.  With an image's shared keys in the order of how often they occur, the
 rarest one that such a pair shares comes before the last ``CONSENSUS`` - 1 entries of
 both, so pairs meet under the other entries alone; each then counts the keys it shares
-in full, and all matches of those that share enough vote.  No pair is left out.  Images
-equal in every pixel are one image with a weight.  Copies are connected.
+in full, and all matches of those that share enough vote.  No pair of a bucket is left
+out, however large it is.  Images equal in every pixel are one image with a weight.
+Copies are connected.
 
 Null, unreadable or featureless images have no keypoints and are alone, but for
 exact copies of readable ones; images smaller than a patch have none; ids that
-repeat are reported row by row; other columns are ignored; an empty table gives an
+repeat, with one picture or several, are reported row by row; a null id is reported,
+but lends none to a component; other columns are ignored; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
 import re
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +54,7 @@ CONSENSUS = 4
 _rng = np.random.default_rng(7)
 _TESTS = np.clip(_rng.uniform(-RADIUS, RADIUS, (TESTS, 4)), -RADIUS + 2, RADIUS - 2)
 _HEAD = re.compile(rb"^P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
+PNG = b"\x89PNG\r\n\x1a\n"
 POINT = "x: float, y: float, scale: float, angle: float, b0: bigint, b1: bigint"
 
 
@@ -65,6 +71,73 @@ def from_pgm(blob: bytes | None) -> np.ndarray | None:
     return np.frombuffer(body, np.uint8, w * h).reshape(h, w) if w and h and len(body) >= w * h else None
 
 
+def to_png(pixels: np.ndarray) -> bytes:
+    """Gray (H, W) or colour (H, W, 3) pixels of 8 bits."""
+    h, w = pixels.shape[:2]
+    rows = np.ascontiguousarray(pixels, np.uint8).reshape(h, -1)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if pixels.ndim == 2 else 2, 0, 0, 0)
+    return PNG + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(np.column_stack([np.zeros(h, np.uint8), rows]).tobytes())) + chunk(b"IEND", b"")
+
+
+def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
+    """Rows of a PNG without their filters; ``step`` bytes make a pixel."""
+    out = np.zeros((len(raw), raw.shape[1] - 1), np.uint8)
+    above = np.zeros(out.shape[1], np.uint8)
+    for y, (kind, row) in enumerate(zip(raw[:, 0], raw[:, 1:], strict=True)):
+        if kind == 1:
+            row = np.cumsum(row.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+        elif kind == 2:
+            row = row + above
+        elif kind in (3, 4):
+            now, up = row.astype(int).tolist(), above.tolist()
+            for i in range(len(now)):
+                left = now[i - step] if i >= step else 0
+                if kind == 3:
+                    guess = (left + up[i]) // 2
+                else:
+                    corner = up[i - step] if i >= step else 0
+                    base = left + up[i] - corner
+                    guess = min((abs(base - left), 0, left), (abs(base - up[i]), 1, up[i]), (abs(base - corner), 2, corner))[2]
+                now[i] = (now[i] + guess) & 255
+            row = np.array(now, np.uint8)
+        elif kind:
+            raise ValueError("no such filter")
+        out[y] = above = row
+    return out
+
+
+def from_png(blob: bytes) -> np.ndarray | None:
+    """Brightness of a PNG of 8 bits a channel, without interlacing; None if it is another or broken."""
+    at, data, palette, head = 8, [], None, None
+    try:
+        while at < len(blob):
+            size, kind = struct.unpack_from(">I4s", blob, at)
+            body = blob[at + 8 : at + 8 + size]
+            if kind == b"IHDR":
+                head = struct.unpack(">IIBBBBB", body)
+            elif kind == b"PLTE":
+                palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+            elif kind == b"IDAT":
+                data.append(body)
+            at += 12 + size
+        w, h, depth, color, _, _, interlaced = head
+        channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
+        if depth != 8 or interlaced or not w or not h:
+            return None
+        raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(h, 1 + w * channels)
+        pixels = _unfiltered(raw, channels).reshape(h, w, channels)
+        if color == 3:
+            pixels = palette[pixels[..., 0]]
+    except (ValueError, TypeError, KeyError, IndexError, struct.error, zlib.error):
+        return None
+    return pixels[..., 0] if color in (0, 4) else np.rint(pixels[..., :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
+
+
+def decoded(blob: bytes | None) -> np.ndarray | None:
+    return from_png(blob) if blob and blob[:8] == PNG else from_pgm(blob)
+
+
 def _resize(n: int, factor: float) -> np.ndarray:
     """Rows of weights that average n cells down to round(n x factor)."""
     m = max(1, round(n * factor))
@@ -117,7 +190,7 @@ def keypoints(images: np.ndarray) -> list[tuple[np.ndarray, ...]]:
         every = [np.concatenate(x) for x in zip(*found, strict=True)]
         span = np.arange(-RADIUS, RADIUS + 1)
         disc = (span[:, None] ** 2 + span[None, :] ** 2 <= RADIUS**2).astype(np.float32)
-        blurred = _box(small, 1)
+        blurred = _box(small, 2)
         for j in range(0, len(every[0]), AT_ONCE):
             b, y, x = (e[j : j + AT_ONCE] for e in every)
             patch = small[b[:, None, None], y[:, None, None] + span[:, None], x[:, None, None] + span[None, :]] * disc
@@ -139,20 +212,20 @@ def described(images: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                pixels = [from_pgm(v.as_py()) for v in part.column("image")]
+                pixels = [decoded(v.as_py()) for v in part.column("image")]
                 digest = [xxhash.xxh3_64_intdigest(repr(p.shape).encode() + p.tobytes()) - (1 << 63) if p is not None else None for p in pixels]
-                points: list[list[dict]] = [[] for _ in pixels]
                 shapes: dict[tuple[int, int], list[int]] = {}
                 for n, p in enumerate(pixels):
                     if p is not None:
                         shapes.setdefault(p.shape, []).append(n)
-                for rows in shapes.values():
-                    for b, x, y, scale, angle, bits in keypoints(np.stack([pixels[n] for n in rows]).astype(np.float32)):
-                        two = np.ascontiguousarray(bits).view(np.int64)
-                        for j in range(len(b)):
-                            points[rows[b[j]]].append({"x": x[j], "y": y[j], "scale": scale[j], "angle": angle[j], "b0": two[j, 0], "b1": two[j, 1]})
-                kind = pa.list_(pa.struct([*((c, pa.float32()) for c in ("x", "y", "scale", "angle")), ("b0", pa.int64()), ("b1", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digest, pa.int64()), pa.array(points, kind)], names=["id", "digest", "points"])
+                found = [(np.array(rows)[b], *rest) for rows in shapes.values() for b, *rest in keypoints(np.stack([pixels[n] for n in rows]).astype(np.float32))]
+                owner, x, y, scale, angle, bits = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), *np.zeros((4, 0)), np.zeros((0, TESTS // 8), np.uint8))
+                order = np.argsort(owner, kind="stable")
+                two = np.ascontiguousarray(bits[order]).view(np.int64).reshape(-1, 2)
+                fields = [pa.array(c[order].astype(np.float32)) for c in (x, y, scale, angle)] + [pa.array(two[:, 0]), pa.array(two[:, 1])]
+                bounds = pa.array(np.searchsorted(owner[order], np.arange(len(pixels) + 1)).astype(np.int32))
+                points = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(fields, names=["x", "y", "scale", "angle", "b0", "b1"]))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digest, pa.int64()), points], names=["id", "digest", "points"])
 
     return map_batches(images.select(F.col("id").cast("long").alias("id"), "image"), run, f"id long, digest long, points array<struct<{POINT}>>")
 
@@ -201,19 +274,61 @@ def copies(images: DataFrame) -> DataFrame:
     return out.select("id", "n_keypoints", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def painted(vectors: DataFrame, side: int = 8, cell: int = 7) -> DataFrame:
-    """id and image: each vector painted as side x side spots of gray that run into each other, as a media column to scan."""
+SIDE = 64
+#: Edits that planted copies show, by the last digit of the id.
+EDITS = {1: "crop", 2: "turn", 3: "scale", 4: "tone", 5: "noise"}
+
+
+def picture(vector: np.ndarray) -> np.ndarray:
+    """A vector as rectangles whose places, sizes and grays are digits of its components."""
+    digits = np.mod(np.abs(np.concatenate([vector * 1009, vector * 331.7])), 1.0)
+    digits = np.resize(digits, (max(1, len(digits) // 4), 4))
+    out = np.full((SIDE, SIDE), 128.0)
+    for y, x, size, gray in digits.tolist():
+        top, left = int(y * (SIDE - 4)), int(x * (SIDE - 4))
+        out[top : top + 4 + int(size * 18), left : left + 4 + int(size * 7919 % 1 * 18)] = round(gray * 255)
+    return out
+
+
+def edited(pixels: np.ndarray, edit: str | None) -> np.ndarray:
+    if edit == "crop":
+        return pixels[5 : SIDE - 3, 3 : SIDE - 5]
+    if edit == "turn":
+        return np.rot90(pixels)
+    if edit == "scale":
+        return np.rint(_resize(SIDE, 0.75) @ pixels @ _resize(SIDE, 0.75).T)
+    if edit == "tone":
+        return np.rint(pixels * 0.8 + 20)
+    if edit == "noise":
+        seed = zlib.crc32(pixels.tobytes())
+        return np.clip(np.rint(pixels + np.random.default_rng(seed).normal(0, 5, pixels.shape)), 0, 255)
+    return pixels
+
+
+def painted(vectors: DataFrame) -> DataFrame:
+    """id and image of every vector, as a media column to scan.
+
+    An id that ends in 0 is painted from its vector; the five after it, if that id is
+    there, are its copies, edited as ``EDITS`` says, every second one of them as PNG.  Others
+    are painted from their own vectors.  Missing and non-finite components are 0.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("own"))
+    digit = F.pmod("id", F.lit(10))
+    lent = rows.filter(digit == 0).groupBy(F.col("id").alias("source")).agg(F.min("own").alias("other"))
+    copy = F.when(digit.isin(*EDITS), F.col("id") - digit)
+    rows = rows.withColumn("source", copy).join(lent, "source", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = (np.arange(side * cell) + 0.5) / cell - 0.5
-        run_in = np.clip(1 - np.abs(at[:, None] - np.arange(side)), 0, None)
-        run_in /= run_in.sum(1, keepdims=True)
         for batch in batches:
             blobs = []
-            for v in batch.column("embedding"):
+            for i, own, other in zip(*(batch.column(c) for c in ("id", "own", "other")), strict=True):
+                v, edit = (other, EDITS[i.as_py() % 10]) if other.is_valid else (own, None)
                 x = np.array([e if e is not None and np.isfinite(e) else 0.0 for e in v.as_py()], float) if v.is_valid else np.zeros(0)
-                x = np.resize(x, side * side) if len(x) else None
-                blobs.append(None if x is None else to_pgm(run_in @ np.clip(128 + 300 * x, 0, 255).reshape(side, side) @ run_in.T))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(blobs, pa.binary())], names=["id", "image"])
-
-    return map_batches(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")), run, "id long, image binary")
+                if not len(x):
+                    blobs.append(None)
+                    continue
+                pixels = edited(picture(x), edit)
+                blobs.append(to_png(pixels) if edit and i.as_py() % 2 else to_pgm(pixels))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(blobs, pa.binary())], names=["id", "image"])
+
+    return map_batches(rows.select("id", "own", "other"), run, "id long, image binary")

@@ -116,7 +116,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table holds images, so every vector of embeddings is painted as one."""
+    """No table holds images, so every vector of embeddings is painted as one; half of them are edited copies of another."""
     from tessera.llm.image_copies import copies, painted
 
     return copies(painted(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))).withColumnRenamed("id", "vec_id")

@@ -401,6 +401,48 @@ def test_image_copies(spark):
     assert image_copies.copies(spark.createDataFrame([], "id long, image binary")).count() == 0
 
 
+def test_image_copies_recall(spark):
+    """Of planted copies nine in ten are found, for each edit, and pictures of different vectors stay apart."""
+    rng = np.random.default_rng(0)
+    rows = [(i, (rng.normal(size=64) * 0.125).tolist()) for i in range(600)]
+    images = image_copies.painted(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r["id"]: r["component_id"] for r in image_copies.copies(images).collect()}
+    for digit in image_copies.EDITS:
+        assert np.mean([got[i] == i - digit for i in range(600) if i % 10 == digit]) >= 0.9, image_copies.EDITS[digit]
+    assert np.mean([got[i] == i for i in range(600) if i % 10 not in image_copies.EDITS]) >= 0.98
+
+
+def test_image_formats():
+    gray = picture(3).astype(np.uint8)
+    assert (image_copies.decoded(image_copies.to_png(gray)) == gray).all() and (image_copies.decoded(image_copies.to_pgm(gray)) == gray).all()
+    color = np.stack([gray, gray, gray], 2)
+    assert (image_copies.decoded(image_copies.to_png(color)) == gray).all()
+    # every filter, undone
+    pixels = gray[:5, :8].astype(int)
+    raw = np.zeros((5, 9), np.uint8)
+    for y in range(5):
+        for x in range(8):
+            left, up, corner = (pixels[y, x - 1] if x else 0), (pixels[y - 1, x] if y else 0), (pixels[y - 1, x - 1] if x and y else 0)
+            base = left + up - corner
+            paeth = min((abs(base - left), 0, left), (abs(base - up), 1, up), (abs(base - corner), 2, corner))[2]
+            raw[y, x + 1] = (pixels[y, x] - (0, left, up, (left + up) // 2, paeth)[y]) & 255
+        raw[y, 0] = y
+    assert (image_copies._unfiltered(raw, 1) == pixels).all()
+    blob = image_copies.to_png(gray)
+    for broken in (blob[:30], blob[:8], blob[:60] + b"x" + blob[61:], image_copies.PNG + b"\0" * 40, b"", None):
+        assert image_copies.decoded(broken) is None
+
+
+def test_image_copies_clashing_columns_and_ids(spark):
+    """Extra columns are ignored; an id with two pictures is two rows, each with its own copies."""
+    p, q = picture(3), picture(4)
+    pgm, png = image_copies.to_pgm, image_copies.to_png
+    rows = [(1, pgm(p)), (2, png(p.astype(np.uint8))), (2, pgm(q)), (3, pgm(q[4:90, 2:92])), (None, pgm(q)), (4, png(p.astype(np.uint8)[:, :70])), (5, None)]
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "id long, image binary, digest long, key long, points string")
+    got = Counter((r["id"], r["component_id"]) for r in image_copies.copies(df).collect())
+    assert got == {(1, 1): 1, (2, 1): 1, (2, 2): 1, (3, 2): 1, (None, 2): 1, (4, 1): 1, (5, 5): 1}
+
+
 def test_image_copies_all_pairs(spark):
     """Every two crops of one picture link, though they share their keys with all the others."""
     p = picture(3)
