@@ -36,6 +36,7 @@ LEAD = 16
 SLACK = 1e-6
 #: Slabs a task holds at most.
 HELD = 16
+NO_LIMIT = np.iinfo(np.int64).max
 PACKED = "block long, most double, rows binary, ids binary, kind string, vectors binary"
 
 
@@ -134,8 +135,8 @@ class Block:
         self.length = float(np.sqrt((self.v**2).sum(1).max()))
 
 
-def meet(q: Block, c: Block, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact best pairs of two blocks that reach each query's floor: positions in both and scores."""
+def meet(q: Block, c: Block, floor: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact best pairs of two blocks above each query's floor, or at it with an id below ``limit``: positions in both and scores."""
     if np.isneginf(floor).all():
         s = q.v @ c.v.T
         s[q.rows[:, None] == c.rows[None, :]] = -np.inf
@@ -155,30 +156,32 @@ def meet(q: Block, c: Block, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.
             score = (q.v @ c.v.T)[qi, ci]
         else:
             score = np.concatenate([np.einsum("ij,ij->i", q.v[qi[a : a + 65536]], c.v[ci[a : a + 65536]]) for a in range(0, len(qi), 65536)] or [np.zeros(0)])
-        keep = (score >= floor[qi]) & (q.rows[qi] != c.rows[ci])
+        keep = ((score > floor[qi]) | ((score == floor[qi]) & (c.ids[ci] < limit[qi]))) & (q.rows[qi] != c.rows[ci])
         qi, ci, score = qi[keep], ci[keep], score[keep]
     top = best(score, qi, c.ids[ci], k)
     return qi[top], ci[top], score[top]
 
 
-def through(q: Block, slabs: list[Block], floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def through(q: Block, slabs: list[Block], floor: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A query block's best pairs with slabs in descending order of norms; the floors rise on the way.
 
     Positions of queries, vec_ids and scores, at most k of each query.
     """
     found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    floor = floor.copy()
+    floor, limit = floor.copy(), limit.copy()
     for c in slabs:
         if (q.length * c.length * (1 + SLACK) + SLACK < floor).all():
             break  # Cauchy-Schwarz: no later slab is longer
-        qi, ci, s = meet(q, c, floor, k)
+        qi, ci, s = meet(q, c, floor, limit, k)
         merged = [np.concatenate(x) for x in zip(found, (qi, c.ids[ci], s), strict=True)]
         top = best(merged[2], merged[0], merged[1], k)
         found = tuple(m[top] for m in merged)
-        full = np.bincount(found[0], minlength=len(floor)) >= k
-        least = np.full(len(floor), np.inf)
-        np.minimum.at(least, found[0], found[2])
-        floor = np.where(full, np.maximum(floor, least), floor)
+        # the last of k found ones is the new floor: what ties with it needs a smaller id
+        count = np.bincount(found[0], minlength=len(floor))
+        full, last = np.flatnonzero(count >= k), (np.cumsum(count) - 1)[count >= k]
+        score, ids = found[2][last], found[1][last]
+        up = (score > floor[full]) | ((score == floor[full]) & (ids < limit[full]))
+        floor[full[up]], limit[full[up]] = score[up], ids[up]
     return found
 
 
@@ -216,28 +219,26 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0)
                 if row["query"] == 0:
                     held.append(block)
                     continue
-                floor = np.full(len(block.rows), -np.inf)
-                if row["floors"]:
-                    known = {f["query"]: f["score"] for f in row["floors"]}
-                    floor = np.array([known.get(i, -np.inf) for i in block.rows.tolist()])
-                qi, ids, s = through(block, held, floor, k)
+                known = {f["query"]: (f["score"], f["vec_id"]) for f in row["floors"] or ()}
+                floor, limit = (np.array(x) for x in zip(*(known.get(i, (-np.inf, NO_LIMIT)) for i in block.rows.tolist()), strict=True))
+                qi, ids, s = through(block, held, floor.astype(float), limit.astype(np.int64), k)
                 yield pa.RecordBatch.from_arrays([pa.array(block.rows[qi]), pa.array(block.ids[qi]), pa.array(ids), pa.array(s.astype(np.int64))], names=[c.split()[0] for c in FOUND.split(", ")])
 
     def against(group: DataFrame, queries: DataFrame) -> DataFrame:
         """Results of query blocks (team, floors and fields) with the slabs of their team."""
-        none = F.lit(None).cast("array<struct<query:long,score:long>>")
+        none = F.lit(None).cast("array<struct<query:long,score:long,vec_id:long>>")
         both = group.select("team", F.lit(0).alias("query"), *fields, none.alias("floors")).unionByName(queries.select("team", F.lit(1).alias("query"), *fields, "floors"))
         return map_batches(both.repartition(spread * 2, "team").sortWithinPartitions("team", "query", F.desc("most"), "block"), scored, FOUND)
 
     # the leading slab gives thresholds; blocks of queries are dealt to as many copies of it as there are tasks
-    none = F.lit(None).cast("array<struct<query:long,score:long>>").alias("floors")
+    none = F.lit(None).cast("array<struct<query:long,score:long,vec_id:long>>").alias("floors")
     copies = spark.range(spread).select(F.col("id").alias("team"))
     first_slab = slabs.filter(lead).crossJoin(F.broadcast(copies))  # one block for each task
     first = settle(against(first_slab, asks.select(F.pmod(F.xxhash64("block"), F.lit(spread)).alias("team"), *fields, none)))
-    reach = ranked(first).filter(F.col("rank") == k).select("query", "score")
+    reach = ranked(first).filter(F.col("rank") == k).select("query", "score", "vec_id")
     owner = map_batches(asks.select("block", "rows"), _owners, "block long, query long")
     floors = owner.join(reach, "query", "left").groupBy("block").agg(
-        F.collect_list(F.when(F.col("score").isNotNull(), F.struct("query", "score"))).alias("floors"),
+        F.collect_list(F.when(F.col("score").isNotNull(), F.struct("query", "score", "vec_id"))).alias("floors"),
         F.min(F.coalesce("score", F.lit(-(1 << 62)))).alias("least"),
     )
     # neighbours in the order of norms: a block's number is its range partition and its place there
