@@ -151,7 +151,8 @@ class Solution:
     def table(self) -> dict[str, np.ndarray]:
         rows = sorted(self.segments)
         names = ("length", "rank", "sequence", "each", "offset")
-        return {n: np.array([r[i] for r in rows], np.int64) for i, n in enumerate(names)}
+        # as narrow as the values allow: the table goes to every task
+        return {n: (v := np.array([r[i] for r in rows], np.int64)).astype(np.min_scalar_type(int(v.max(initial=0)))) for i, n in enumerate(names)}
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, keeps_space: bool = False) -> DataFrame:
@@ -215,9 +216,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048, ke
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             at = np.searchsorted(key, length.astype(float) * 2.0**40 + rank, "right") - 1
-            within = rank - s["rank"][at]
-            sequence = s["sequence"][at] + within // s["each"][at]
-            offset = s["offset"][at] + within % s["each"][at] * length
+            first, sequence, each, offset = (s[c][at].astype(np.int64) for c in ("rank", "sequence", "each", "offset"))
+            within = rank - first
+            sequence, offset = sequence + within // each, offset + within % each * length
             kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
