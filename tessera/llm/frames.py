@@ -56,6 +56,15 @@ def forget(*frames: DataFrame) -> None:
                 _delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a short job may never live to see.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import wordkernel as wk
-from tessera.llm.frames import map_batches, settle
+from tessera.llm.frames import map_batches, release, settle
 from tessera.llm.wordkernel import U64
 
 ROUNDS = 3
@@ -385,7 +385,9 @@ def dedup(docs: DataFrame, k: int = 20, tidy: bool = True) -> DataFrame:
     Kept words are joined by one space; without ``tidy``, only in texts that lose some.
     Columns of docs that have those three names are replaced.
     """
-    ranges = settle(repeated(docs, k)).groupBy("_id", "_digest").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    marked = settle(repeated(docs, k))
+    release(docs.sparkSession)  # the windows have been shuffled and read: their files can go before texts are
+    ranges = marked.groupBy("_id", "_digest").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     named = [f"`{c}`" for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept")]
     rows = docs.select(F.struct(*named).alias("_row"), _id(), _digest(), "text").join(ranges, ["_id", "_digest"], "left")
     row_type = rows.schema["_row"].dataType.simpleString()
