@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.errors import InvalidArgument, NotFound, SizeError
 from tessera.functions import masks
 from tessera.functions.intervals import IntervalSet, ordered_set
-from tessera.operators import aggregates, estarfm, fitfc, interpolation, starfm
+from tessera.operators import aggregates, estarfm, fitfc, interpolation, staarch, starfm
 from tessera.plans import planner
 
 KEYS = ["pred_date", "y", "x", "band"]
@@ -263,6 +263,45 @@ def _run(pixels: DataFrame, jobs: DataFrame, double: bool, method: str, bands: i
     return _labelled(_exploded(fitfc.predict(aligned, bands, height, width, options or fitfc.FitFCOptions())))
 
 
+def staarch_job(
+    pixels: DataFrame,
+    dates: list[int],
+    left: int,
+    right: int,
+    options: staarch.StaarchOptions = staarch.StaarchOptions(),
+    starfm_options: starfm.StarfmOptions = starfm.StarfmOptions(),
+    high: str = "high",
+    low: str = "low",
+    classes: DataFrame | None = None,
+    job_masks: JobMasks | None = None,
+    check: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """Predictions between two dates with both images, and y, x, dod, the dates of disturbance.
+
+    Undisturbed cells are predicted from both pairs; a disturbed one from the left pair
+    before its date and from the right pair from it on.
+    """
+    if not dates or any(not left <= d <= right for d in dates):
+        raise InvalidArgument("dates to predict lie between the pairs")
+    pixels = narrowed(pixels, job_masks, high, low)
+    for mask in job_masks.images if job_masks else ():
+        pixels = masks.combine(pixels, mask.select(*[c for c in ("y", "x", "band", "valid") if c in mask.columns]))
+    between = sorted(r[0] for r in pixels.filter((F.col("tag") == low) & F.col("date").between(left, right)).select("date").distinct().collect())
+    changed = staarch.disturbance(pixels, left, right, options, high, classes)
+    dod = staarch.date_of_disturbance(staarch.low_series(pixels, between, options, low), changed, options.ratio)
+    source = staarch.output_bands(pixels, options, high, low)
+    plan = pixels.sparkSession.createDataFrame([(d,) for d in dates], "date int")
+    at = dod.crossJoin(F.broadcast(plan.withColumnRenamed("date", "pred_date")))  # a row per predicted image
+    parts = []
+    for double, pair, cells in ((True, left, F.col("dod") == staarch.NEVER), (False, left, (F.col("dod") < staarch.NEVER) & (F.col("dod") > F.col("pred_date"))), (False, right, F.col("dod") <= F.col("pred_date"))):
+        jobs = plan.select("date", F.lit(pair).alias("date1"), F.lit(right if double else None).cast("int").alias("date3"))
+        aligned = _aligned(source, jobs, double, high, low, None, check)
+        only = at.filter(cells).select("pred_date", "y", "x")
+        own = replace(starfm_options, temporal_weight=double) if starfm_options.temporal_weight is None else starfm_options
+        parts.append(starfm.predict(aligned, own, double, only=only))
+    return _labelled(reduce(DataFrame.unionByName, parts)), dod
+
+
 def imginterp_task(
     pixels: DataFrame,
     interp_ranges: IntervalSet = IntervalSet(),

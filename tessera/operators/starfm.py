@@ -127,8 +127,8 @@ def predict_arrays(high: list[np.ndarray], low: list[np.ndarray], now: np.ndarra
 SCHEMA = "pred_date int, y int, x int, band int, value double"
 
 
-def predict(aligned: DataFrame, options: StarfmOptions = StarfmOptions(), double: bool = False, cut: bool = True) -> DataFrame:
-    """Predict low-only dates.
+def predict(aligned: DataFrame, options: StarfmOptions = StarfmOptions(), double: bool = False, cut: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """Predict low-only dates; ``only`` (y, x) names the cells to predict, or (pred_date, y, x) by date.
 
     ``aligned`` has one row per pred_date, y, x and band with h1, l1, l2 (h3, l3 for
     two pairs) and ok.  Tolerances are of whole images, whatever the prediction area;
@@ -143,6 +143,9 @@ def predict(aligned: DataFrame, options: StarfmOptions = StarfmOptions(), double
     if options.area is not None:
         cells = cells.filter(options.area.grown(r).contains(F.col("x"), F.col("y")))
         write = options.area.contains(F.col("x"), F.col("y"))
+    if only is not None:
+        cells = cells.join(only.withColumn("_only", F.lit(True)), [c for c in ("pred_date", "y", "x") if c in only.columns], "left")
+        write = write & F.coalesce("_only", F.lit(False))
     cells = cells.withColumn("_write", write).join(F.broadcast(spread), ["pred_date", "band"])  # a row per image band
 
     def kernel(t: Tile) -> pd.DataFrame:

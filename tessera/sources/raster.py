@@ -1,151 +1,95 @@
 """Rasters on disk: a catalog of images, Parquet as the store, GeoTIFF at the edges.
 
-Pixels are read where they lie: GeoTIFF files are decoded on the executors, one
-file or strip group at a time, and Parquet is partitioned by tag and date, so a
-crop, a choice of bands or of dates prunes what is read.
+GeoTIFF files are decoded on the executors, a whole file by one task; a crop or a
+choice of bands is cut out there, before a row is made.  They are written by tiles: a
+task codes one tile, and the task that puts a file together holds it coded only.
+Parquet is the store for large images: it is partitioned by tag and date, so a crop, a
+choice of bands or of dates prunes what is read.
 """
 
 from __future__ import annotations
 
 import math
 import os
-import struct
+import shlex
+import tempfile
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.errors import FileFormatError, ImageTypeError, InvalidArgument, NotFound, SizeError
-from tessera.functions.geo import GeoTransform, Rectangle
+from tessera.errors import FileFormatError, InvalidArgument, NotFound, SizeError
+from tessera.functions.geo import Rectangle
 from tessera.model import PIXELS
+from tessera.sources import tiff
+from tessera.sources.info import GeoInfo
 
-#: Format by extension.
+#: Format by extension, their long names, and how a file of each begins.
 FORMATS = {".tif": "GTiff", ".tiff": "GTiff", ".parquet": "Parquet", ".csv": "CSV"}
-_TIFF_TYPE = {(1, 8): "uint8", (2, 8): "int8", (1, 16): "uint16", (2, 16): "int16", (2, 32): "int32", (3, 32): "float32", (3, 64): "float64"}
-_SIZES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+LONG_NAMES = {"GTiff": "GeoTIFF", "Parquet": "Apache Parquet", "CSV": "Comma separated values"}
+_MAGIC = {b"II*\0": "GTiff", b"MM\0*": "GTiff", b"PAR1": "Parquet"}
+CODED_TILE = 256
 
 
 def format_of(path: str) -> str:
+    """The format of a path by its extension."""
     ext = os.path.splitext(path)[1].lower()
     if ext not in FORMATS:
         raise FileFormatError(f"no format for {ext!r}")
     return FORMATS[ext]
 
 
-@dataclass(frozen=True)
-class GeoInfo:
-    """What is known of an image besides its pixels."""
-
-    width: int
-    height: int
-    bands: int
-    base_type: str
-    nodata: tuple[float, ...] = ()
-    geotransform: GeoTransform = GeoTransform()
-    srs: str = ""
-    color_table: tuple[tuple[int, int, int, int], ...] = ()
-    metadata: dict = field(default_factory=dict)
-
-    def cropped(self, area: Rectangle) -> GeoInfo:
-        """Of a window of the image; a width or height of 0 reaches to the edge."""
-        w, h = area.width or self.width - area.x, area.height or self.height - area.y
-        if area.x < 0 or area.y < 0 or area.x + w > self.width or area.y + h > self.height:
-            raise SizeError("the crop leaves the image")
-        return GeoInfo(int(w), int(h), self.bands, self.base_type, self.nodata, self.geotransform.translate_image(area.x, area.y), self.srs, self.color_table, self.metadata)
-
-    def with_bands(self, bands: list[int]) -> GeoInfo:
-        if any(not 0 <= b < self.bands for b in bands):
-            raise InvalidArgument(f"no such band in {bands}")
-        nodata = tuple(self.nodata[b] for b in bands) if self.nodata else ()
-        return GeoInfo(self.width, self.height, len(bands), self.base_type, nodata, self.geotransform, self.srs, self.color_table, self.metadata)
-
-    def extents(self) -> Rectangle:
-        return Rectangle(0, 0, self.width, self.height).project(self.geotransform)
-
-
-def encode_tiff(pixels: np.ndarray, info: GeoInfo | None = None) -> bytes:
-    """A single-strip, uncompressed, band-interleaved GeoTIFF of (bands, height, width)."""
-    bands, height, width = pixels.shape
-    kind = {"u": 1, "i": 2, "f": 3}[pixels.dtype.kind]
-    bits = pixels.dtype.itemsize * 8
-    body = np.ascontiguousarray(pixels.transpose(1, 2, 0)).astype(pixels.dtype.newbyteorder("<")).tobytes()
-    entries: list[tuple[int, int, list]] = [
-        (256, 4, [width]), (257, 4, [height]), (258, 3, [bits] * bands), (259, 3, [1]), (262, 3, [1]), (273, 4, [8]), (277, 3, [bands]), (278, 4, [height]), (279, 4, [len(body)]), (284, 3, [1]), (339, 3, [kind] * bands),
-    ]
-    if info is not None and not info.geotransform.identity:
-        g = info.geotransform
-        entries.append((34264, 12, [g.dx, g.rx, 0, g.x0, g.ry, g.dy, 0, g.y0, 0, 0, 0, 0, 0, 0, 0, 1]))
-    if info is not None and info.nodata and not math.isnan(info.nodata[0]):
-        entries.append((42113, 2, list(f"{info.nodata[0]:g}\0".encode())))
-    at = 8 + len(body) + len(body) % 2
-    extra_at, extra, rows = at + 2 + 12 * len(entries) + 4, b"", b""
-    for tag, code, values in sorted(entries):
-        data = bytes(values) if code == 2 else struct.pack("<" + _SIZES[code] * len(values), *values)
-        if len(data) <= 4:
-            rows += struct.pack("<HHI", tag, code, len(values)) + data.ljust(4, b"\0")
-        else:
-            rows += struct.pack("<HHII", tag, code, len(values), extra_at + len(extra))
-            extra += data + b"\0" * (len(data) % 2)
-    return struct.pack("<2sHI", b"II", 42, at) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(entries)) + rows + struct.pack("<I", 0) + extra
-
-
-def decode_tiff(blob: bytes) -> tuple[np.ndarray, GeoInfo]:
-    """Pixels (bands, height, width) of an uncompressed stripped TIFF, and what it says of itself."""
-    if blob[:4] not in (b"II*\0", b"MM\0*"):
-        raise FileFormatError("not a TIFF file")
-    e = "<" if blob[:2] == b"II" else ">"
-    (at,) = struct.unpack_from(e + "I", blob, 4)
-    (n,) = struct.unpack_from(e + "H", blob, at)
-    tags: dict[int, list] = {}
-    for i in range(n):
-        tag, code, count = struct.unpack_from(e + "HHI", blob, at + 2 + 12 * i)
-        if code not in _SIZES:
-            continue
-        form = e + _SIZES[code] * count
-        size = struct.calcsize(form)
-        where = at + 2 + 12 * i + 8
-        if size > 4:
-            (where,) = struct.unpack_from(e + "I", blob, where)
-        tags[tag] = [blob[where : where + count]] if code == 2 else list(struct.unpack_from(form, blob, where))
-    if tags.get(259, [1])[0] != 1:
-        raise FileFormatError("compressed TIFF files are not read")
-    width, height, bands = tags[256][0], tags[257][0], tags.get(277, [1])[0]
-    kinds = {(f, b) for f, b in zip(tags.get(339, [1] * bands), tags[258], strict=False)}
-    if len(kinds) != 1 or next(iter(kinds)) not in _TIFF_TYPE:
-        raise ImageTypeError(f"bands of types {kinds} can't be read together")
-    name = _TIFF_TYPE[next(iter(kinds))]
-    raw = b"".join(blob[o : o + c] for o, c in zip(tags[273], tags[279], strict=True))
-    flat = np.frombuffer(raw, np.dtype(name).newbyteorder(e), width * height * bands)
-    pixels = flat.reshape(bands, height, width) if tags.get(284, [1])[0] == 2 else flat.reshape(height, width, bands).transpose(2, 0, 1)
-    t = tags.get(34264)
-    transform = GeoTransform(t[3], t[0], t[1], t[7], t[4], t[5]) if t else GeoTransform()
-    if not t and 33550 in tags and 33922 in tags:
-        (sx, sy, *_), (i, j, _, x, y, *_) = tags[33550], tags[33922]
-        transform = GeoTransform(x - i * sx, sx, 0.0, y + j * sy, 0.0, -sy)
-    nodata = (float(tags[42113][0].split(b"\0")[0]),) * bands if 42113 in tags else ()
-    table = tags.get(320)
-    colors = tuple((table[i] >> 8, table[i + len(table) // 3] >> 8, table[i + 2 * len(table) // 3] >> 8, 255) for i in range(len(table) // 3)) if table else ()
-    return pixels.astype(pixels.dtype.newbyteorder("=")), GeoInfo(width, height, bands, name, nodata, transform, "", colors)
-
-
-CATALOG = "tag string, date int, path string, width int, height int, bands int, base_type string, nodata array<double>, geotransform array<double>"
+def format_of_content(head: bytes) -> str:
+    """The format of a file by how it begins."""
+    if head[:4] not in _MAGIC:
+        raise FileFormatError("the file's beginning names no format")
+    return _MAGIC[head[:4]]
+
+
+def extensions_of(name: str) -> list[str]:
+    return [e for e, f in FORMATS.items() if f == name]
+
+
+INFO = (
+    "width int, height int, bands int, base_type string, nodata array<double>, geotransform array<double>, srs string, color_table array<struct<r:int,g:int,b:int,a:int>>, "
+    "gcps array<struct<id:string,info:string,pixel:double,line:double,x:double,y:double,z:double>>, metadata map<string,map<string,string>>"
+)
+
+
+def _described(i: GeoInfo) -> dict:
+    g = i.geotransform
+    return {
+        "width": i.width, "height": i.height, "bands": i.bands, "base_type": i.base_type, "nodata": list(i.nodata), "geotransform": [g.x0, g.dx, g.rx, g.y0, g.ry, g.dy], "srs": i.srs,
+        "color_table": [dict(zip("rgba", c, strict=True)) for c in i.color_table], "gcps": [dict(zip(("id", "info", "pixel", "line", "x", "y", "z"), c, strict=True)) for c in i.gcps], "metadata": i.metadata,
+    }
+
+
+def _local(path: str) -> str:
+    """A path as Spark reports it, without its scheme."""
+    return path.removeprefix("file:").replace("//", "/") if path.startswith("file:") else path
 
 
 def catalog(spark: SparkSession, images: list[tuple[str, int, str]]) -> DataFrame:
-    """One row per named GeoTIFF (tag, date, path), its header read by an executor."""
-    names = spark.createDataFrame(images, "tag string, date int, path string")
+    """tag, date, path, page and what each page of the named GeoTIFFs says of itself, its header read by an executor."""
+    names = spark.createDataFrame([(t, d, _local(p)) for t, d, p in images], "tag string, date int, path string")
     files = spark.read.format("binaryFile").load(sorted({p for *_, p in images}))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            infos = [decode_tiff(b)[1] for b in pdf["content"]]
-            yield pd.DataFrame({"file": pdf["path"], "width": [i.width for i in infos], "height": [i.height for i in infos], "bands": [i.bands for i in infos], "base_type": [i.base_type for i in infos], "nodata": [list(i.nodata) for i in infos], "geotransform": [[i.geotransform.x0, i.geotransform.dx, i.geotransform.rx, i.geotransform.y0, i.geotransform.ry, i.geotransform.dy] for i in infos]})
+            rows = [{"path": _local(p), "page": n, **_described(i)} for p, b in zip(pdf["path"], pdf["content"], strict=True) for n, i in enumerate(tiff.infos(b))]
+            yield pd.DataFrame(rows)
+
+    return names.join(files.select("path", "content").mapInPandas(read, f"path string, page int, {INFO}"), "path").select("tag", "date", "path", "page", *[c.split()[0] for c in ("width", "height", "bands", "base_type", "nodata", "geotransform", "srs", "color_table", "gcps", "metadata")])
+
 
-    heads = files.select("path", "content").mapInPandas(read, "file string, width int, height int, bands int, base_type string, nodata array<double>, geotransform array<double>")
-    return names.join(heads, F.expr("file like concat('%', regexp_replace(path, '^file:/*', '/'))")).drop("file")
+def info_of(row) -> GeoInfo:
+    """A catalog row as GeoInfo."""
+    from tessera.functions.geo import GeoTransform
+
+    return GeoInfo(row["width"], row["height"], row["bands"], row["base_type"], tuple(row["nodata"]), GeoTransform(*row["geotransform"]), row["srs"], tuple(tuple(c) for c in row["color_table"]), {d: dict(m) for d, m in row["metadata"].items()}, tuple(tuple(c) for c in row["gcps"]))
 
 
 def check_alike(images: DataFrame) -> None:
@@ -157,30 +101,38 @@ def check_alike(images: DataFrame) -> None:
         raise InvalidArgument("images of different extents")
 
 
-def read_tiff(spark: SparkSession, images: list[tuple[str, int, str]], bands: list[int] | None = None, crop: Rectangle | None = None, flip_x: bool = False, flip_y: bool = False) -> DataFrame:
-    """Pixels of GeoTIFF files, decoded where the files are read."""
-    wanted = {os.path.basename(p): (t, d) for t, d, p in images}
-    if len(wanted) != len(images):
-        raise InvalidArgument("file names must differ")
+def read_tiff(spark: SparkSession, images: list[tuple[str, int, str]], bands: list[int] | None = None, crop: Rectangle | None = None, flip_x: bool = False, flip_y: bool = False, pages: list[int] | None = None) -> DataFrame:
+    """Pixels of GeoTIFF files, decoded where the files are read.
+
+    ``pages`` names subdatasets whose bands follow one another; the first page alone, if None.
+    """
+    wanted: dict[str, list[tuple[str, int]]] = {}
+    for t, d, p in images:
+        wanted.setdefault(_local(p), []).append((t, d))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, blob in zip(pdf["path"], pdf["content"], strict=True):
-                tag, date = wanted[os.path.basename(path)]
-                pixels, info = decode_tiff(blob)
+                parts = [tiff.decode(blob, n) for n in (pages or [0])]
+                info = parts[0][1]
+                if len({(i.width, i.height) for _, i in parts}) > 1:
+                    raise SizeError("pages of different sizes")
+                nodata = [i.nodata[b] if i.nodata else math.nan for _, i in parts for b in range(i.bands)]
+                pixels = np.concatenate([p for p, _ in parts])
+                info = replace(info, bands=len(pixels), nodata=tuple(nodata))
                 own = list(range(info.bands)) if bands is None else bands
                 info.with_bands(own)
                 area = crop or Rectangle(0, 0, info.width, info.height)
                 part = info.cropped(area)
                 x, y = int(area.x), int(area.y)
-                for b in own:
-                    cell = pixels[b, y : y + part.height, x : x + part.width].astype(float)
-                    cell = cell[:: -1 if flip_y else 1, :: -1 if flip_x else 1]
-                    yy, xx = np.mgrid[: part.height, : part.width].astype(np.int32)
-                    valid = np.ones(cell.size, bool) if not info.nodata or math.isnan(info.nodata[b]) else cell.ravel() != info.nodata[b]
-                    yield pd.DataFrame({"tag": tag, "date": np.int32(date), "y": yy.ravel(), "x": xx.ravel(), "band": np.int32(b), "value": cell.ravel(), "valid": valid})
-
-    files = spark.read.format("binaryFile").load([p for *_, p in images]).select("path", "content")
+                yy, xx = (c.ravel() for c in np.mgrid[: part.height, : part.width].astype(np.int32))
+                for tag, date in wanted[_local(path)]:
+                    for band in own:
+                        cell = pixels[band, y : y + part.height, x : x + part.width].astype(float)[:: -1 if flip_y else 1, :: -1 if flip_x else 1].ravel()
+                        valid = np.ones(cell.size, bool) if math.isnan(info.nodata[band]) else cell != info.nodata[band]
+                        yield pd.DataFrame({"tag": tag, "date": np.int32(date), "y": yy, "x": xx, "band": np.int32(band), "value": cell, "valid": valid})
+
+    files = spark.read.format("binaryFile").load(sorted({p for *_, p in images})).select("path", "content")
     return files.mapInPandas(read, PIXELS)
 
 
@@ -193,17 +145,56 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PIXELS).parquet(path)
 
 
-def to_tiffs(pixels: DataFrame, height: int, width: int, bands: int, dtype: str, nodata: float | None = None) -> DataFrame:
-    """tag, date and content: one GeoTIFF per image; cells without a value get nodata (or 0)."""
-    fill = 0.0 if nodata is None else nodata
+def to_tiffs(pixels: DataFrame, info: GeoInfo, compress: str | None = "lzw", predictor: bool = False, tile: int = CODED_TILE) -> DataFrame:
+    """tag, date and content: one tiled GeoTIFF per image; cells without a valid value get nodata (or 0).
+
+    A task codes one tile of one image; the one that puts a file together holds it coded.
+    """
+    fill = 0.0 if not info.nodata or math.isnan(info.nodata[0]) else info.nodata[0]
+    scheme, across = tiff.SCHEMES[compress], -(-info.width // tile)
+    every = -(-info.height // tile) * across
+    dtype = np.dtype(info.base_type)
+    if predictor and dtype.kind == "f":
+        raise FileFormatError("floats are not predicted")
 
-    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.full((bands, height, width), fill)
-        out[pdf["band"], pdf["y"], pdf["x"]] = pdf["value"].fillna(fill)
-        info = GeoInfo(width, height, bands, dtype, () if nodata is None else (nodata,) * bands)
-        return pd.DataFrame({"tag": [key[0]], "date": [key[1]], "content": [encode_tiff(out.astype(dtype), info)]})
+    def code(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.full((tile, tile, info.bands), fill)
+        out[pdf["y"] % tile, pdf["x"] % tile, pdf["band"]] = pdf["value"].where(pdf["valid"]).fillna(fill)
+        return pd.DataFrame({"tag": [key[0]], "date": [key[1]], "place": [key[2]], "block": [tiff.pack(out.astype(dtype), scheme, predictor)]})
 
-    return pixels.groupBy("tag", "date").applyInPandas(write, "tag string, date int, content binary")
+    place = (F.floor(F.col("y") / tile) * across + F.floor(F.col("x") / tile)).cast("int").alias("place")
+    cells = pixels.select("tag", "date", place, "y", "x", "band", "value", "valid")
+    coded = cells.groupBy("tag", "date", "place").applyInPandas(code, "tag string, date int, place int, block binary")
+    empty = tiff.pack(np.full((tile, tile, info.bands), fill).astype(dtype), scheme, predictor)
+
+    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks = dict(zip(pdf["place"], pdf["block"], strict=True))
+        content = tiff.assemble([blocks.get(i, empty) for i in range(every)], info, scheme, predictor, tile)
+        return pd.DataFrame({"tag": [key[0]], "date": [key[1]], "content": [content]})
+
+    return coded.groupBy("tag", "date").applyInPandas(whole, "tag string, date int, content binary")
+
+
+def write_tiffs(files: DataFrame, folder: str, name: str = "{tag}_{date}.tif") -> list[str]:
+    """Write the contents of to_tiffs as files; ``folder`` is one that all executors mount.
+
+    A file appears under its name only when it is complete, so a task that runs twice does no harm.
+    """
+    target = _local(folder)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = []
+            for tag, date, content in zip(pdf["tag"], pdf["date"], pdf["content"], strict=True):
+                path = os.path.join(target, name.format(tag=tag, date=date))
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False) as f:
+                    f.write(content)
+                os.replace(f.name, path)
+                made.append(path)
+            yield pd.DataFrame({"path": made})
+
+    return sorted(r["path"] for r in files.mapInPandas(write, "path string").collect())  # a row per image
 
 
 def output_name(prefix: str, date2: int, date1: int, date3: int | None = None, postfix: str = "", ext: str = "tif", stem: str = "predicted") -> str:
@@ -215,15 +206,29 @@ def output_name(prefix: str, date2: int, date1: int, date3: int | None = None, p
     return f"{prefix}{date2}_from_{date1}{'' if date3 is None else f'_and_{date3}'}{postfix}.{ext}"
 
 
+def fallback_names(path: str) -> list[str]:
+    """Where an output goes: its own path, then the same as GeoTIFF, then under another name."""
+    folder, name = os.path.split(path)
+    stem = os.path.splitext(name)[0]
+    return list(dict.fromkeys([path, os.path.join(folder, f"{stem}.tif"), os.path.join(folder, f"save_{stem}.tif")]))
+
+
 def write_statistics(stats: DataFrame, path: str) -> None:
     """Interpolation counts as a table separated by semicolons."""
     stats.coalesce(1).write.option("sep", ";").option("header", True).mode("overwrite").csv(path)  # a row per image
 
 
+def statistics_text(stats: DataFrame) -> str:
+    """The same counts as an aligned table for the console; a row per image."""
+    rows = [stats.columns, *[[str(v) for v in r] for r in stats.orderBy(*[c for c in ("tag", "date") if c in stats.columns]).collect()]]
+    widths = [max(len(r[i]) for r in rows) for i in range(len(stats.columns))]
+    return "\n".join("  ".join(v.rjust(w) for v, w in zip(r, widths, strict=True)) for r in rows)
+
+
 def read_options(path: str) -> list[str]:
-    """Arguments from an option file; # begins a comment."""
+    """Arguments from an option file; # begins a comment, quotes keep blanks together."""
     with open(path, encoding="utf-8") as f:
-        return [w for line in f for w in line.split("#")[0].split()]
+        return shlex.split(f.read(), comments=True)
 
 
 class Collection:
@@ -271,5 +276,27 @@ class Collection:
     def dates(self, tag: str | None = None) -> list[int]:
         return sorted({d for t, d in self.keys() if tag is None or t == tag})
 
+    def clone(self) -> Collection:
+        """Another collection of the same images; what is put into one doesn't show in the other."""
+        return Collection(self.pixels)
+
+    def select(self, dates: list[int], tag: str | None = None) -> Collection:
+        """Images of the given dates; all of them have to be there."""
+        missing = sorted(set(dates) - set(self.dates(tag)))
+        if missing:
+            raise NotFound(f"no image of {missing}")
+        return Collection(self.pixels.filter(F.col("date").isin(sorted(set(dates))) & (F.lit(True) if tag is None else F.col("tag") == tag)))
+
+    def check_tags(self, number: int = 2) -> None:
+        """As many resolution tags as a job needs."""
+        if len(self.tags()) != number:
+            raise InvalidArgument(f"{number} tags are needed, there are {self.tags()}")
+
+    def check_images(self, least: dict[str, int]) -> None:
+        """At least so many images of each tag."""
+        for tag, n in least.items():
+            if self.count(tag) < n:
+                raise InvalidArgument(f"{n} images of {tag!r} are needed, there are {self.count(tag)}")
+
     def count(self, tag: str | None = None, date: int | None = None) -> int:
         return sum((tag is None or t == tag) and (date is None or d == date) for t, d in self.keys())
