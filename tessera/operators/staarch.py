@@ -109,18 +109,19 @@ def threshold(series: DataFrame, ratio: float) -> DataFrame:
 def date_of_disturbance(series: DataFrame, changed: DataFrame, ratio: float) -> DataFrame:
     """The first valid date at or over the pixel's threshold where the land changed; NEVER elsewhere."""
     df = series.join(threshold(series, ratio), ["y", "x"]).join(changed, ["y", "x"])
-    hit = F.col("valid") & F.col("changed") & (F.col("di") >= F.col("limit"))
+    # nine places: an error of summation must not decide which of equal averages comes first
+    hit = F.col("valid") & F.col("changed") & (F.round("di", 9) >= F.round("limit", 9))
     return df.groupBy("y", "x").agg(F.coalesce(F.min(F.when(hit, F.col("date"))), F.lit(NEVER)).cast("int").alias("dod"))
 
 
-def land_classes(cells: DataFrame, bands: list[str], k: int, seed: int = 1) -> DataFrame:
+def land_classes(cells: DataFrame, bands: list[str], k: int, seed: int = 1, iterations: int = 100, tolerance: float = 1e-4) -> DataFrame:
     """Cells with ``land_class`` from k-means over bands; cells with a missing band get -1."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     known = cells.filter(" and ".join(f"{b} is not null" for b in bands))
     table = VectorAssembler(inputCols=bands, outputCol="_features").transform(known)
-    model = KMeans(k=k, seed=seed, maxIter=100, featuresCol="_features", predictionCol="land_class").fit(table)
+    model = KMeans(k=k, seed=seed, maxIter=iterations, tol=tolerance, featuresCol="_features", predictionCol="land_class").fit(table)
     named = model.transform(table).drop("_features")
     rest = cells.filter(" or ".join(f"{b} is null" for b in bands)).withColumn("land_class", F.lit(-1))
     return named.unionByName(rest)

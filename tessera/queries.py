@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import api
 from tessera.functions import arith, color, masks
 from tessera.functions.geo import GeoTransform, Rectangle
 from tessera.functions.intervals import IntervalSet
 from tessera.model import dense_raster, fine_raster, long_form, low_raster
 from tessera.operators import aggregates, estarfm, fitfc, interpolation, neighborhood, staarch, starfm, warp
 from tessera.plans import planner
+from tessera.sources import raster
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 BANDS = ["b0", "b1", "b2"]
+#: Added before rounding, in SQL too: an error of summation must not decide how a half is rounded.
+NUDGE = 1e-9
 
 FINE = """fine AS (
   SELECT CAST((l_orderkey % 1024) % 32 AS INT) AS x, CAST((l_orderkey % 1024) // 32 AS INT) AS y, CAST(l_linenumber AS INT) AS d,
@@ -123,6 +130,24 @@ def flip_scan(spark, d):
     return fine_raster(spark, d).select((31 - F.col("x")).alias("x"), (31 - F.col("y")).alias("y"), "d", "b0")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A folder for files of a query: the one the cluster shares, if it names one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    base = None if shared is None else shared.removeprefix("file:").replace("//", "/")
+    return tempfile.mkdtemp(prefix="tiff-", dir=base)
+
+
+@query("tiff_scan", f"WITH {PX} SELECT date, CAST(y - 4 AS INT) AS y, CAST(x - 3 AS INT) AS x, band, value FROM px WHERE valid AND x BETWEEN 3 AND 22 AND y BETWEEN 4 AND 19 AND band IN (0, 2)")
+def tiff_scan(spark, d):
+    """Every image is written as a tiled, compressed GeoTIFF and scanned again: two bands of a window."""
+    info = raster.GeoInfo(32, 32, 3, "int16", (-1.0,) * 3)
+    paths = raster.write_tiffs(raster.to_tiffs(_px(spark, d), info, "lzw", True, 16), _scratch(spark))
+    images = [("high", int(os.path.basename(p).split("_")[1].split(".")[0]), p) for p in paths]
+    return raster.read_tiff(spark, images, [0, 2], Rectangle(3, 4, 20, 16)).filter("valid").select("date", "y", "x", "band", "value")
+
+
 @query("densify", f"WITH {DENSE} SELECT * FROM dense")
 def densify(spark, d):
     return dense_raster(spark, d)
@@ -240,9 +265,9 @@ def unique_count(spark, d):
     return aggregates.unique_counts(_px(spark, d)).drop("tag")
 
 
-@query("histogram_nodata", f"WITH {PX} SELECT CAST(i AS DOUBLE) AS value FROM range(0, 256) t(i) WHERE i NOT IN (SELECT value FROM px WHERE valid AND value <= 255 AND band = 0)")
+@query("histogram_nodata", f"WITH {PX} SELECT CAST(i AS DOUBLE) AS value FROM range(0, 256) t(i) WHERE i NOT IN (SELECT value FROM px WHERE valid AND value <= 255 AND band = 0 AND date = 1 AND y < 8)")
 def histogram_nodata(spark, d):
-    return aggregates.free_values(_px(spark, d).filter("band = 0"), 0, 255)
+    return aggregates.free_values(_px(spark, d).filter("band = 0 and date = 1 and y < 8"), 0, 255)
 
 
 @query("image_counts", f"WITH {PX} SELECT date, count(*) AS n, count(*) FILTER (valid) AS n_valid FROM px GROUP BY 1")
@@ -404,17 +429,25 @@ def bilinear_shift(spark, d):
     return below.select("x", "y", "d", (F.col("row") * 0.5 + F.col("n_row") * 0.5).alias("value"))
 
 
-def _warp(method: str, sql: str):
+def _warp(method: str, sql: str, places: int = 6):
     @query(f"warp_{method}", f"WITH {PX}, t AS (SELECT CAST(i % 10 AS INT) AS tx, CAST(i // 10 AS INT) AS ty FROM range(100) r(i)), c AS (SELECT *, (tx + 0.5::DOUBLE) * 3 + 1 AS sx, (ty + 0.5::DOUBLE) * 2.5::DOUBLE + 2 AS sy FROM t) {sql}")
     def run(spark, d):
         out = warp.warp(_px(spark, d), GeoTransform(), GeoTransform(1.0, 3.0, 0.0, 2.0, 0.0, 2.5), 10, 10, method)
-        return out.filter("value is not null").select("date", "y", "x", "band", (F.round("value", 6) + 0.0).alias("value"))
+        return out.filter("value is not null").select("date", "y", "x", "band", (F.round(F.col("value") + NUDGE, places) + 0.0).alias("value"))
 
 
-_warp("nearest", "SELECT px.date, ty AS y, tx AS x, band, round(value, 6) + 0.0 AS value FROM c JOIN px ON px.x = floor(sx) AND px.y = floor(sy) WHERE valid")
+_warp("nearest", "SELECT px.date, ty AS y, tx AS x, band, round(value + 1e-9, 6) + 0.0 AS value FROM c JOIN px ON px.x = floor(sx) AND px.y = floor(sy) WHERE valid")
 _warp("bilinear", """, n AS (SELECT c.ty, c.tx, floor(sx - 0.5) + a.i AS x, floor(sy - 0.5) + b.i AS y,
   CASE a.i WHEN 1 THEN sx - 0.5 - floor(sx - 0.5) ELSE 1 - (sx - 0.5 - floor(sx - 0.5)) END * CASE b.i WHEN 1 THEN sy - 0.5 - floor(sy - 0.5) ELSE 1 - (sy - 0.5 - floor(sy - 0.5)) END AS w FROM c, range(2) a(i), range(2) b(i))
-  SELECT px.date, ty AS y, tx AS x, band, round(sum(w * value) / sum(w), 6) + 0.0 AS value FROM n JOIN px ON px.x = n.x AND px.y = n.y WHERE valid AND w > 0 GROUP BY 1, 2, 3, 4""")
+  SELECT px.date, ty AS y, tx AS x, band, round(sum(w * value) / sum(w) + 1e-9, 6) + 0.0 AS value FROM n JOIN px ON px.x = n.x AND px.y = n.y WHERE valid AND w > 0 GROUP BY 1, 2, 3, 4""")
+
+
+_CONV = "CASE WHEN t <= 1 THEN 1.5::DOUBLE * t * t * t - 2.5::DOUBLE * t * t + 1 WHEN t < 2 THEN -0.5::DOUBLE * t * t * t + 2.5::DOUBLE * t * t - 4 * t + 2 ELSE 0 END"
+_SPLI = "CASE WHEN t <= 1 THEN (4 - 6 * t * t + 3 * t * t * t) / 6.0 WHEN t < 2 THEN (2 - t) * (2 - t) * (2 - t) / 6.0 ELSE 0 END"
+for _name, _kernel in (("cubic", _CONV), ("cubic_spline", _SPLI)):
+    _k = lambda e, k=_kernel: f"(SELECT {k} FROM (SELECT abs({e}) AS t))"
+    _warp(_name, f""", n AS (SELECT c.ty, c.tx, floor(sx - 0.5) + a.i AS x, floor(sy - 0.5) + b.i AS y, {_k('sx - 0.5 - floor(sx - 0.5) - a.i')} * {_k('sy - 0.5 - floor(sy - 0.5) - b.i')} AS w FROM c, range(-1, 3) a(i), range(-1, 3) b(i))
+  SELECT px.date, ty AS y, tx AS x, band, round(sum(w * value) / sum(w) + 1e-9, 4) + 0.0 AS value FROM n JOIN px ON px.x = n.x AND px.y = n.y WHERE valid AND w <> 0 GROUP BY 1, 2, 3, 4""", 4)
 
 
 # --- fusion --------------------------------------------------------------------------------------
@@ -441,17 +474,18 @@ al AS (SELECT n.d AS pred_date, n.y, n.x, n.band, n.v AS l2, h1.v AS h1, l1.v AS
   WHERE n.d BETWEEN 2 AND 6)"""
 
 
-def _starfm_sql(double: bool, strict: bool = False, log: float = 0.0, copy: bool = False) -> str:
-    """Offset self-join of the same formulas; 5 x 5 window, 8 classes, 8-bit values."""
+def _starfm_sql(double: bool, strict: bool = False, log: float = 0.0, copy: bool = False, also: str = "true", whole: bool = True, radius: int = 2) -> str:
+    """Offset self-join of the same formulas; 8 classes, 8-bit values if ``whole``."""
     ks = (1, 3) if double else (1,)
-    ok = " AND ".join(f"h{k} IS NOT NULL AND l{k} IS NOT NULL" for k in ks) + " AND l2 IS NOT NULL"
+    side = 2 * radius + 1
+    ok = f"{also} AND " + " AND ".join(f"h{k} IS NOT NULL AND l{k} IS NOT NULL" for k in ks) + " AND l2 IS NOT NULL"
     sdt, sds = 2**0.5, 2**0.5
     sc = (sdt**2 + sds**2) ** 0.5
-    sat = lambda e: f"least(greatest(round_even({e}, 0), 0), 255)"
+    sat = lambda e: f"least(greatest(round_even({e}, 0), 0), 255)" if whole else e
     per = ", ".join(f"abs(l{k} - h{k}) AS s{k}, abs(l{k} - l2) AS t{k}, {sat(f'h{k} + l2 - l{k}')} AS lv{k}, stddev_pop(h{k}) OVER (PARTITION BY pred_date, band) * 2 / 8 AS tol{k}" for k in ks)
     least = lambda es: f"least({', '.join(es)})" if len(es) > 1 else es[0]
     dtc, dsc = sat(least([f"t{k} + {sdt!r}" for k in ks])), sat(least([f"s{k} + {sds!r}" for k in ks]))
-    dist = "(1 + 2 * sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) / 5)"
+    dist = "(1 + 2 * sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) / {side})".replace("{side}", str(side))
     parts = []
     for k in ks:
         t = f"b.t{k}" if double else "0"
@@ -468,7 +502,7 @@ def _starfm_sql(double: bool, strict: bool = False, log: float = 0.0, copy: bool
     if copy:
         zero = "CASE " + ("WHEN any_value(a.t1) = 0 AND any_value(a.t3) = 0 THEN (any_value(a.h1) + any_value(a.h3)) / 2 WHEN any_value(a.t3) = 0 THEN any_value(a.h3) " if double else "") + "WHEN any_value(a.t1) = 0 THEN any_value(a.h1) " + " ".join(f"WHEN any_value(a.s{k}) = 0 THEN any_value(a.l2)" for k in ks) + f" ELSE {value} END"
     return f"""WITH {_LOWPX}, g AS (SELECT *, {per} FROM al WHERE {ok}), c AS (SELECT *, {dtc} AS dtc, {dsc} AS dsc FROM g)
-    SELECT a.pred_date, a.y, a.x, a.band, round({zero or value}, 4) + 0.0 AS value FROM c a JOIN c b ON a.pred_date = b.pred_date AND a.band = b.band AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2
+    SELECT a.pred_date, a.y, a.x, a.band, round({zero or value} + 1e-9, 4) + 0.0 AS value FROM c a JOIN c b ON a.pred_date = b.pred_date AND a.band = b.band AND b.x BETWEEN a.x - {radius} AND a.x + {radius} AND b.y BETWEEN a.y - {radius} AND a.y + {radius}
     GROUP BY 1, 2, 3, 4"""
 
 
@@ -479,7 +513,7 @@ def _starfm(name: str, double: bool, **options):
     def run(spark, d):
         o = starfm.StarfmOptions(window=5, classes=8, tile=16, **options)
         out = starfm.predict(_aligned(spark, d, double), o, double, cut=False)
-        return out.filter("value is not null").select("pred_date", "y", "x", "band", (F.round("value", 4) + 0.0).alias("value"))
+        return out.filter("value is not null").select("pred_date", "y", "x", "band", (F.round(F.col("value") + NUDGE, 4) + 0.0).alias("value"))
 
 
 _starfm("starfm_single", False)
@@ -489,11 +523,56 @@ _starfm("starfm_logscale", True, log_scale=1.0)
 _starfm("starfm_copyzero", True, copy_zero=True)
 
 
-_REGRESSED = f"""{_LOWPX}, v AS (SELECT * FROM al WHERE h1 IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL),
- m AS (SELECT a.pred_date, a.y, a.x, a.band, any_value(a.h1) AS h1, any_value(a.l1) AS l1, any_value(a.l2) AS l2, count(*)::DOUBLE AS n, sum(b.l1) AS sx, sum(b.l2) AS sy, sum(b.l1 * b.l1) AS sxx, sum(b.l1 * b.l2) AS sxy
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of high images of the dates 1 and 7 and of all low images; a cell without a value is invalid."""
+    high, low = dense_raster(spark, d), low_raster(dense_raster(spark, d))
+    p = long_form(high.filter("d in (1, 7)"), "high", BANDS).unionByName(long_form(low, "low", BANDS))
+    return p.withColumn("valid", F.col("value").isNotNull())
+
+
+_MASKED = "(x + 2 * y) % 5 <> 0 AND " + " AND ".join([*(f"{h} > 20" for h in ("h1", "h3")), *(f"{v} BETWEEN 5 AND 200 AND {v} <> 77" for v in ("l1", "l3", "l2"))])
+
+
+@query("starfm_job_masked", _starfm_sql(True, also=_MASKED, whole=False))
+def starfm_job_masked(spark, d):
+    """A job as users call it: a mask image, ranges and missing values narrow what is used."""
+    p = _images(spark, d)
+    mask = dense_raster(spark, d).filter("d = 1").select("y", "x", ((F.col("x") + 2 * F.col("y")) % 5 != 0).alias("valid"))
+    job = api.JobMasks((mask,), high_ranges=[("invalid", IntervalSet.parse("[0,20]"))], low_ranges=[("valid", IntervalSet.parse("[5,200]"))], nodata={"low": 77.0})
+    o = starfm.StarfmOptions(window=5, classes=8, tile=16, dtype="float64", spectral_uncertainty=1.0, temporal_uncertainty=1.0)
+    out, _ = api.starfm_job(p, [2, 3, 4, 5, 6], o, 1, 7, job_masks=job, output_masks=True)
+    return out.filter("valid").select(F.col("date").alias("pred_date"), "y", "x", "band", (F.round(F.col("value") + NUDGE, 4) + 0.0).alias("value"))
+
+
+@query("job_output_masks", f"WITH {_LOWPX} SELECT pred_date, y, x, band, coalesce({_MASKED}, false) AS valid FROM al")
+def job_output_masks(spark, d):
+    """The mask of each prediction of that job."""
+    mask = dense_raster(spark, d).filter("d = 1").select("y", "x", ((F.col("x") + 2 * F.col("y")) % 5 != 0).alias("valid"))
+    job = api.JobMasks((mask,), high_ranges=[("invalid", IntervalSet.parse("[0,20]"))], low_ranges=[("valid", IntervalSet.parse("[5,200]"))], nodata={"low": 77.0})
+    _, masks_ = api.starfm_job(_images(spark, d), [2, 3, 4, 5, 6], starfm.StarfmOptions(window=5), 1, 7, job_masks=job, output_masks=True)
+    return masks_.select(F.col("date").alias("pred_date"), "y", "x", "band", "valid")
+
+
+@query("starfm_wide_window", _starfm_sql(False, whole=False, radius=25).replace("n.d BETWEEN 2 AND 6", "n.d = 4"))
+def starfm_wide_window(spark, d):
+    """The default window over tiles smaller than it, so every neighbour search crosses seams."""
+    o = starfm.StarfmOptions(window=51, classes=8, tile=16, dtype="float64", spectral_uncertainty=1.0, temporal_uncertainty=1.0)
+    out = api.starfm_job(_images(spark, d), [4], o, 1, double=False)
+    return out.filter("valid").select(F.col("date").alias("pred_date"), "y", "x", "band", (F.round(F.col("value") + NUDGE, 4) + 0.0).alias("value"))
+
+
+def _regressed(k: int = 1, whole: bool = True) -> str:
+    """Regression of the low image of the pair h{k}, l{k}; 8-bit values if ``whole``."""
+    mapped = f"round(ga * h{k} + gb, 9)"
+    frm = f"least(greatest(round_even({mapped}, 0), 0), 255)" if whole else mapped
+    return f"""{_LOWPX}, v AS (SELECT * FROM al WHERE h{k} IS NOT NULL AND l{k} IS NOT NULL AND l2 IS NOT NULL),
+ m AS (SELECT a.pred_date, a.y, a.x, a.band, any_value(a.h{k}) AS h1, any_value(a.l{k}) AS l1, any_value(a.l2) AS l2, count(*)::DOUBLE AS n, sum(b.l{k}) AS sx, sum(b.l2) AS sy, sum(b.l{k} * b.l{k}) AS sxx, sum(b.l{k} * b.l2) AS sxy
    FROM v a JOIN v b ON a.pred_date = b.pred_date AND a.band = b.band AND b.x BETWEEN a.x - 3 AND a.x + 3 AND b.y BETWEEN a.y - 3 AND a.y + 3 GROUP BY 1, 2, 3, 4),
  r AS (SELECT *, abs(n * sxx - sx * sx) < 1e-14 AS flat, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS ga FROM m), q AS (SELECT *, (sy - ga * sx) / n AS gb FROM r),
- reg AS (SELECT pred_date, y, x, band, h1, CASE WHEN flat THEN h1 ELSE least(greatest(round_even(round(ga * h1 + gb, 9), 0), 0), 255) END AS frm, CASE WHEN flat THEN l2 - l1 ELSE l2 - (ga * l1 + gb) END AS residual FROM q)"""
+ reg AS (SELECT pred_date, y, x, band, h1, CASE WHEN flat THEN h1 ELSE {frm.replace(f'h{k}', 'h1')} END AS frm, CASE WHEN flat THEN l2 - l1 ELSE l2 - (ga * l1 + gb) END AS residual FROM q)"""
+
+
+_REGRESSED = _regressed()
 _CUBIC = ", ".join(f"({o}, {i}, {w!r}::DOUBLE)" for o, i, w in fitfc.cubic_weights(8, 32))
 
 
@@ -510,7 +589,8 @@ def fitfc_residual_downscale(spark, d):
     return _rounded(fitfc.resample(r, "residual", w, w, keys), "pred_date", "band", "y", "x")
 
 
-@query("fitfc_predict", f"""WITH {_REGRESSED}, small AS (SELECT pred_date, band, y // 4 AS sy, x // 4 AS sx, avg(residual) AS r FROM reg GROUP BY 1, 2, 3, 4), cw AS (SELECT * FROM (VALUES {_CUBIC}) t(o, i, w)),
+def _fitfc_sql(regressed: str) -> str:
+    return f"""WITH {regressed}, small AS (SELECT pred_date, band, y // 4 AS sy, x // 4 AS sx, avg(residual) AS r FROM reg GROUP BY 1, 2, 3, 4), cw AS (SELECT * FROM (VALUES {_CUBIC}) t(o, i, w)),
  up AS (SELECT pred_date, band, a.o AS y, b.o AS x, sum(r * a.w * b.w) / sum(a.w * b.w) AS r FROM small JOIN cw a ON sy = a.i JOIN cw b ON sx = b.i GROUP BY 1, 2, 3, 4),
  val AS (SELECT reg.*, frm + up.r AS v FROM reg JOIN up USING (pred_date, band, y, x)),
  piv AS (SELECT pred_date, y, x, {', '.join(f'any_value(h1) FILTER (band = {c}) AS h{c}, any_value(v) FILTER (band = {c}) AS v{c}' for c in range(3))} FROM val GROUP BY 1, 2, 3 HAVING count(*) = 3),
@@ -518,10 +598,25 @@ def fitfc_residual_downscale(spark, d):
    row_number() OVER (PARTITION BY a.pred_date, a.y, a.x ORDER BY {' + '.join(f'(a.h{c} - b.h{c}) * (a.h{c} - b.h{c})' for c in range(3))}, (b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x), b.y - a.y, b.x - a.x) AS rank
    FROM piv a JOIN piv b ON a.pred_date = b.pred_date AND b.x BETWEEN a.x - 3 AND a.x + 3 AND b.y BETWEEN a.y - 3 AND a.y + 3),
  w AS (SELECT *, 1 / (1 + 2 * sqrt(d2) / 7) AS w FROM near WHERE rank <= 5)
- {' UNION ALL '.join(f'SELECT pred_date, y, x, {c} AS band, round(sum(w * v{c}) / sum(w), 4) + 0.0 AS value FROM w GROUP BY 1, 2, 3' for c in range(3))}""")
+ {' UNION ALL '.join(f'SELECT pred_date, y, x, {c} AS band, round(sum(w * v{c}) / sum(w) + 1e-9, 4) + 0.0 AS value FROM w GROUP BY 1, 2, 3' for c in range(3))}"""
+
+
+@query("fitfc_predict", _fitfc_sql(_REGRESSED))
 def fitfc_predict(spark, d):
     out = fitfc.predict(_aligned(spark, d, False), 3, 32, 32, fitfc.FitFCOptions(window=7, neighbors=5, resolution_factor=4, tile=16), cut=False)
-    return out.select("pred_date", "y", "x", F.posexplode("value").alias("band", "value")).filter("value is not null").withColumn("value", F.round("value", 4) + 0.0)
+    return out.select("pred_date", "y", "x", F.posexplode("value").alias("band", "value")).filter("value is not null").withColumn("value", F.round(F.col("value") + NUDGE, 4) + 0.0)
+
+
+def _pair_sql(k: int, date: int) -> str:
+    return f"SELECT pred_date, y, x, band, value, {date} AS pair FROM ({_fitfc_sql(_regressed(k, False))})"
+
+
+@query("fitfc_job_two_pairs", _pair_sql(1, 1) + " UNION ALL " + _pair_sql(3, 7))
+def fitfc_job_two_pairs(spark, d):
+    """Each date from the pair on either side of it."""
+    o = fitfc.FitFCOptions(window=7, neighbors=5, resolution_factor=4, tile=16, dtype="float64")
+    out = api.fitfc_job(_images(spark, d), [2, 3, 4, 5, 6], 3, 32, 32, o, 1, 7)
+    return out.filter("valid").select(F.col("date").alias("pred_date"), "y", "x", "band", (F.round(F.col("value") + NUDGE, 4) + 0.0).alias("value"), "pair")
 
 
 def _banded(spark: SparkSession, d: str) -> DataFrame:
@@ -546,29 +641,74 @@ _ESTARFM_OUT = " UNION ALL ".join(
 )
 
 
-@query("estarfm_predict", f"""WITH {_LOWPX}, w0 AS (SELECT pred_date, y, x, {_ESTARFM_PIVOT} FROM al GROUP BY 1, 2, 3),
- w1 AS (SELECT *, {', '.join(f'h1_{c} IS NOT NULL AND h3_{c} IS NOT NULL AND l1_{c} IS NOT NULL AND l3_{c} IS NOT NULL AND l2_{c} IS NOT NULL AS ok{c}' for c in range(3))} FROM w0),
- w2 AS (SELECT *, {', '.join(f'stddev_pop(h1_{c}) FILTER (ok{c}) OVER (PARTITION BY pred_date) * 2 / 4 AS tol1_{c}, stddev_pop(h3_{c}) FILTER (ok{c}) OVER (PARTITION BY pred_date) * 2 / 4 AS tol3_{c}' for c in range(3))},
+def _moments(c: int) -> str:
+    """Sums over the similar neighbours of one band: both pairs' low values against high ones."""
+    parts = {"mx": "b.l1_{c} + b.l3_{c}", "my": "b.h1_{c} + b.h3_{c}", "mxx": "b.l1_{c} * b.l1_{c} + b.l3_{c} * b.l3_{c}", "mxy": "b.l1_{c} * b.h1_{c} + b.l3_{c} * b.h3_{c}", "myy": "b.h1_{c} * b.h1_{c} + b.h3_{c} * b.h3_{c}"}
+    return "".join(f", sum(CASE WHEN {_ESTARFM_ALL} THEN {e.format(c=c)} ELSE 0 END) AS {n}_{c}" for n, e in parts.items())
+
+
+def _critical(m: int) -> float:
+    """Where the distribution function of F(1, m) reaches 0.95."""
+    low, high = 0.0, 1e6
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (low, middle) if estarfm.f_cdf(np.array([middle]), np.array([float(m)]))[0] >= 0.95 else (middle, high)
+    return high
+
+
+def _trusted(limit: float) -> str:
+    """v_c: the slope of a band where it can be trusted and the values deviate enough, 1 elsewhere."""
+    table = ", ".join(f"({n}, {_critical(n - 2)!r}::DOUBLE)" for n in range(4, 51, 2))
+    first = ", ".join(f"2 * n * mxx_{c} - mx_{c} * mx_{c} AS det_{c}, 2 * n * mxy_{c} - mx_{c} * my_{c} AS top_{c}, 2 * n * myy_{c} - my_{c} * my_{c} AS vy_{c}, sqrt(greatest((mxx_{c} - mx_{c} * mx_{c} / (2 * n)) / (2 * n - 1), 0)) AS dev_{c}" for c in range(3))
+    slope = []
+    for c in range(3):
+        r2 = f"(top_{c} * top_{c} / (det_{c} * vy_{c}))"
+        f = f"CASE WHEN det_{c} * vy_{c} <> 0 AND {r2} > 0 AND {r2} < 1 THEN (2 * n - 2) / (1 / {r2} - 1) END"
+        b = f"top_{c} / det_{c}"
+        slope.append(f"CASE WHEN dev_{c} <= {limit!r} OR abs(det_{c}) < 1e-14 OR {b} < 0 OR {b} > 5 THEN 1 WHEN {f} < crit THEN 1 ELSE {b} END AS v_{c}")
+    return f"ft AS (SELECT * FROM (VALUES {table}) t(fn, crit)), r2b AS (SELECT r2.*, crit, {first} FROM r2 LEFT JOIN ft ON fn = 2 * n), r2c AS (SELECT *, {', '.join(slope)} FROM r2b),"
+
+
+def _estarfm_sql(classes: int = 4, limit: float = 1e9, also=lambda c: "true") -> str:
+    return f"""WITH {_LOWPX}, w0 AS (SELECT pred_date, y, x, {_ESTARFM_PIVOT} FROM al GROUP BY 1, 2, 3),
+ w1 AS (SELECT *, {', '.join(f'h1_{c} IS NOT NULL AND h3_{c} IS NOT NULL AND l1_{c} IS NOT NULL AND l3_{c} IS NOT NULL AND l2_{c} IS NOT NULL AND {also(c)} AS ok{c}' for c in range(3))} FROM w0),
+ w2 AS (SELECT *, {', '.join(f'stddev_pop(h1_{c}) FILTER (ok{c}) OVER (PARTITION BY pred_date) * 2 / {classes} AS tol1_{c}, stddev_pop(h3_{c}) FILTER (ok{c}) OVER (PARTITION BY pred_date) * 2 / {classes} AS tol3_{c}' for c in range(3))},
    list_transform([{', '.join(f'CASE WHEN ok{c} THEN {n}_{c} ELSE 0 END' for n in ('l1', 'l3') for c in range(3))}], lambda v: CAST(v AS DOUBLE)) AS lo, list_transform([{', '.join(f'CASE WHEN ok{c} THEN {n}_{c} ELSE 0 END' for n in ('h1', 'h3') for c in range(3))}], lambda v: CAST(v AS DOUBLE)) AS hi FROM w1),
  w3 AS (SELECT *, CASE WHEN list_var_pop(lo) < 1e-20 OR list_var_pop(hi) < 1e-20 THEN 1 ELSE (list_dot_product(lo, hi) / 6 - list_avg(lo) * list_avg(hi)) / sqrt(list_var_pop(lo) * list_var_pop(hi)) END AS lw FROM w2),
- j AS (SELECT a.pred_date, a.y, a.x, {', '.join(f'any_value(a.h1_{c}) AS h1_{c}, any_value(a.h3_{c}) AS h3_{c}, abs(sum(CASE WHEN b.ok{c} THEN b.l1_{c} - b.l2_{c} ELSE 0 END)) AS d1_{c}, abs(sum(CASE WHEN b.ok{c} THEN b.l3_{c} - b.l2_{c} ELSE 0 END)) AS d3_{c}, sum(CASE WHEN {_ESTARFM_ALL} THEN w * (b.l2_{c} - b.l1_{c}) ELSE 0 END) AS e1_{c}, sum(CASE WHEN {_ESTARFM_ALL} THEN w * (b.l2_{c} - b.l3_{c}) ELSE 0 END) AS e3_{c}, sum(CASE WHEN {_ESTARFM_ALL} THEN w * b.h1_{c} ELSE 0 END) AS wh1_{c}, sum(CASE WHEN {_ESTARFM_ALL} THEN w * b.h3_{c} ELSE 0 END) AS wh3_{c}' for c in range(3))},
+ j AS (SELECT a.pred_date, a.y, a.x, {', '.join(f'any_value(a.h1_{c}) AS h1_{c}, any_value(a.h3_{c}) AS h3_{c}, abs(sum(CASE WHEN b.ok{c} THEN b.l1_{c} - b.l2_{c} ELSE 0 END)) AS d1_{c}, abs(sum(CASE WHEN b.ok{c} THEN b.l3_{c} - b.l2_{c} ELSE 0 END)) AS d3_{c}, sum(CASE WHEN {_ESTARFM_ALL} THEN w * (b.l2_{c} - b.l1_{c}) ELSE 0 END) AS e1_{c}, sum(CASE WHEN {_ESTARFM_ALL} THEN w * (b.l2_{c} - b.l3_{c}) ELSE 0 END) AS e3_{c}, sum(CASE WHEN {_ESTARFM_ALL} THEN w * b.h1_{c} ELSE 0 END) AS wh1_{c}, sum(CASE WHEN {_ESTARFM_ALL} THEN w * b.h3_{c} ELSE 0 END) AS wh3_{c}' + _moments(c) for c in range(3))},
    sum(CASE WHEN {_ESTARFM_ALL} THEN w ELSE 0 END) AS sw, count(*) FILTER ({_ESTARFM_ALL}) AS n
    FROM w3 a, w3 b, LATERAL (SELECT 1 / ((1 - b.lw) * (1 + 2 * sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) / 5) + 1e-7) AS w) u
    WHERE a.pred_date = b.pred_date AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 AND a.ok0 AND a.ok1 AND a.ok2 GROUP BY 1, 2, 3),
  r2 AS (SELECT *, {', '.join(f'(1 / (d1_{c} + 1e-10)) / (1 / (d1_{c} + 1e-10) + 1 / (d3_{c} + 1e-10)) AS p1_{c}, (1 / (d3_{c} + 1e-10)) / (1 / (d1_{c} + 1e-10) + 1 / (d3_{c} + 1e-10)) AS p3_{c}' for c in range(3))} FROM j),
- r3 AS (SELECT *, {', '.join(f'p1_{c} * (h1_{c} + e1_{c} / sw) + p3_{c} * (h3_{c} + e3_{c} / sw) AS f_{c}' for c in range(3))} FROM r2)
- SELECT pred_date, y, x, CAST(band AS INT) AS band, round(v, 3) + 0.0 AS value FROM ({_ESTARFM_OUT})""")
+ {_trusted(limit)}
+ r3 AS (SELECT *, {', '.join(f'p1_{c} * (h1_{c} + v_{c} * e1_{c} / sw) + p3_{c} * (h3_{c} + v_{c} * e3_{c} / sw) AS f_{c}' for c in range(3))} FROM r2c)
+ SELECT pred_date, y, x, CAST(band AS INT) AS band, round(v + 1e-9, 3) + 0.0 AS value FROM ({_ESTARFM_OUT})"""
+
+
+@query("estarfm_predict", _estarfm_sql())
 def estarfm_predict(spark, d):
     # an uncertainty this large keeps every conversion factor at 1, which SQL can express
     o = estarfm.EstarfmOptions(window=5, classes=4, uncertainty=1e6, tile=16)
     out = estarfm.predict(_banded(spark, d), 3, o, cut=False)
-    return out.select("pred_date", "y", "x", F.posexplode("value").alias("band", "value")).filter("value is not null").withColumn("value", F.round("value", 3) + 0.0)
+    return out.select("pred_date", "y", "x", F.posexplode("value").alias("band", "value")).filter("value is not null").withColumn("value", F.round(F.col("value") + NUDGE, 3) + 0.0)
 
 
-@query("estarfm_regress")
+_FACTOR = 0.002 * 255 * 2**0.5
+
+
+@query("estarfm_regress", _estarfm_sql(2, _FACTOR))
 def estarfm_regress(spark, d):
-    out = estarfm.predict(_banded(spark, d), 3, estarfm.EstarfmOptions(window=5, classes=2, quality_weighted=True, local_tolerance=True, tile=16))
-    return out.select("pred_date", "y", "x", F.posexplode("value").alias("band", "value"))
+    """Conversion factors from regression, tested by F."""
+    out = estarfm.predict(_banded(spark, d), 3, estarfm.EstarfmOptions(window=5, classes=2, tile=16), cut=False)
+    return out.select("pred_date", "y", "x", F.posexplode("value").alias("band", "value")).filter("value is not null").withColumn("value", F.round(F.col("value") + NUDGE, 3) + 0.0)
+
+
+@query("estarfm_job_nodata", _estarfm_sql(2, _FACTOR, lambda c: " AND ".join([*(f"{h}_{c} <> 100" for h in ("h1", "h3")), *(f"{v}_{c} NOT BETWEEN 120 AND 125" for v in ("l1", "l3", "l2"))])))
+def estarfm_job_nodata(spark, d):
+    """A job whose images have missing values and forbidden ranges."""
+    job = api.JobMasks(nodata={"high": 100.0}, low_ranges=[("invalid", IntervalSet.parse("[120,125]"))])
+    out = api.estarfm_job(_images(spark, d), [2, 3, 4, 5, 6], 3, estarfm.EstarfmOptions(window=5, classes=2, tile=16, dtype="float64"), 1, 7, job_masks=job)
+    return out.filter("valid").select(F.col("date").alias("pred_date"), "y", "x", "band", (F.round(F.col("value") + NUDGE, 3) + 0.0).alias("value"))
 
 
 # --- colours and indices -------------------------------------------------------------------------
@@ -697,6 +837,54 @@ def staarch_predict(spark, d):
     return staarch.merge_predictions(p, p.withColumn("value", F.col("value") + 1), p.withColumn("value", F.col("value") + 2), dod)
 
 
-@query("kmeans_classes")
+@query("kmeans_classes", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS misplaced FROM embeddings")
 def kmeans_classes(spark, d):
-    return staarch.land_classes(_embedding_cells(spark, d), [f"e{i}" for i in range(6)], 10).groupBy("land_class").agg(F.count("*").alias("n"))
+    """Labels are any; what SQL can say is that every cell is nearest the mean of its own class."""
+    bands = [f"e{i}" for i in range(6)]
+    found = staarch.land_classes(_embedding_cells(spark, d), bands, 10, iterations=1000, tolerance=0.0)
+    means = found.groupBy("land_class").agg(*[F.avg(b).alias(f"m_{b}") for b in bands])
+    apart = sum(((F.col(b) - F.col(f"m_{b}")) * (F.col(b) - F.col(f"m_{b}")) for b in bands), F.lit(0.0))
+    ranked = found.withColumnRenamed("land_class", "own").crossJoin(F.broadcast(means)).withColumn("apart", apart)  # ten classes
+    near = ranked.groupBy("x", "y").agg(F.min("apart").alias("least"), F.max(F.when(F.col("own") == F.col("land_class"), F.col("apart"))).alias("mine"))
+    return near.agg(F.count("*").alias("n"), F.count_if(F.col("mine") > F.col("least") + 1e-9).alias("misplaced"))
+
+
+def _staarch_sql() -> str:
+    """From images to dates of disturbance: whole images as one class."""
+    high = ["b0", "b1", "b2", "b1", "b2", "b0"]
+    low = ["b0", "b1", "b2", "b0", "b1", "b2", "b0"]
+    cap = lambda m, bands: [" + ".join(f"{b} * {c}::DOUBLE" for b, c in zip(bands, row, strict=True)) for row in m]
+    hb, hg, hw = cap(color.LANDSAT_CAP, high)
+    lb, lg, lw = cap(color.MODIS_CAP, low)
+    z = lambda n, by: f"(CASE WHEN good THEN {n} END - avg(CASE WHEN good THEN {n} END) OVER {by}) / CASE WHEN stddev_pop(CASE WHEN good THEN {n} END) OVER {by} = 0 THEN 1 ELSE stddev_pop(CASE WHEN good THEN {n} END) OVER {by} END"
+    return f"""WITH {LOW}, h0 AS (SELECT d, y, x, b0 IS NOT NULL AND b1 IS NOT NULL AND b2 IS NOT NULL AS one, {hb} AS b, {hg} AS g, {hw} AS w, CASE WHEN b1 + b2 = 0 THEN 0 ELSE (b1 - b2) / (b1 + b2) END AS nd FROM dense WHERE d IN (1, 7)),
+    h1 AS (SELECT *, bool_and(one) OVER (PARTITION BY y, x) AS good FROM h0), h2 AS (SELECT d, y, x, {z('b', 'v')} AS b, {z('g', 'v')} AS g, {z('w', 'v')} AS w, {z('nd', 'v')} AS nd FROM h1 WINDOW v AS (PARTITION BY d)),
+    h3 AS (SELECT *, coalesce(b - g - w >= 0.5, false) AS hit FROM h2), h4 AS (SELECT p.d, p.y, p.x, p.hit AND bool_or(q.hit) AND any_value(p.b) >= -3 AND any_value(p.w) <= 1 AS bad FROM h3 p JOIN h3 q ON p.d = q.d AND abs(p.x - q.x) + abs(p.y - q.y) = 1 GROUP BY p.d, p.y, p.x, p.hit),
+    ch AS (SELECT r.y, r.x, coalesce(r.bad, false) AND NOT coalesce(l.bad, false) AS changed FROM h4 r JOIN h4 l ON l.d = 1 AND l.y = r.y AND l.x = r.x WHERE r.d = 7),
+    l0 AS (SELECT d, y, x, true AS good, {lb} AS b, {lg} AS g, {lw} AS w FROM low), l1 AS (SELECT d, y, x, {z('b', 'v')} - ({z('g', 'v')}) - ({z('w', 'v')}) AS di FROM l0 WINDOW v AS (PARTITION BY d)),
+    l2 AS (SELECT d, y, x, avg(di) OVER (PARTITION BY y, x ORDER BY d ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS di FROM l1),
+    lim AS (SELECT y, x, round(min(di) + (max(di) - min(di)) * 0.5, 9) AS lim FROM l2 GROUP BY 1, 2), dod AS (SELECT y, x, CAST(coalesce(min(CASE WHEN changed AND round(di, 9) >= lim THEN d END), 2147483647) AS INT) AS dod FROM l2 JOIN lim USING (y, x) JOIN ch USING (y, x) GROUP BY 1, 2)"""
+
+
+def _staarch_images(spark: SparkSession, d: str) -> DataFrame:
+    """High images of six bands at both ends and low ones of seven at all dates."""
+    wide = lambda df, bands: df.select(*[c for c in ("d", "y", "x", "ok")], *[F.col(b).alias(f"s{i}") for i, b in enumerate(bands)])
+    high = wide(dense_raster(spark, d).filter("d in (1, 7)"), ["b0", "b1", "b2", "b1", "b2", "b0"])
+    low = wide(low_raster(dense_raster(spark, d)), ["b0", "b1", "b2", "b0", "b1", "b2", "b0"])
+    p = long_form(high, "high", [f"s{i}" for i in range(6)]).unionByName(long_form(low, "low", [f"s{i}" for i in range(7)]))
+    return p.withColumn("valid", F.col("value").isNotNull())
+
+
+_STAARCH = staarch.StaarchOptions(clusters=1, ratio=0.5, index=IntervalSet.parse("[0.5,inf)"), wetness=IntervalSet.parse("(-inf,1]"), ndvi=IntervalSet.everything())
+
+
+@query("staarch_dates", _staarch_sql() + " SELECT * FROM dod")
+def staarch_dates(spark, d):
+    p = _staarch_images(spark, d)
+    changed = staarch.disturbance(p, 1, 7, _STAARCH)
+    return staarch.date_of_disturbance(staarch.low_series(p, list(range(1, 8)), _STAARCH), changed, _STAARCH.ratio)
+
+
+@query("staarch_change_mask", _staarch_sql() + " SELECT y, x, changed FROM ch")
+def staarch_change_mask(spark, d):
+    return staarch.disturbance(_staarch_images(spark, d), 1, 7, _STAARCH)
