@@ -120,7 +120,7 @@ def test_land_classes_given_and_found(spark):
     right = left.copy()
     right[:, 4:7, 3:6] += np.array([60, 60, 80, 0, 90, 100.0])[:, None, None]
     p = pixels_of(spark, {("high", 1): left, ("high", 7): right})
-    o = staarch.StaarchOptions(clusters=2, index=IntervalSet.parse("[1.5,inf)"), brightness=IntervalSet.everything(), wetness=IntervalSet.everything(), ndvi=IntervalSet.everything())
+    o = staarch.StaarchOptions(clusters=2, index=IntervalSet.parse("[5,inf)"), brightness=IntervalSet.everything(), wetness=IntervalSet.everything(), ndvi=IntervalSet.everything())
     classes = spark.createDataFrame([(y, x, int(x >= 8)) for y in range(n) for x in range(n)], "y int, x int, land_class int")
     for given in (classes, None):
         found = {(r["y"], r["x"]) for r in staarch.disturbance(p, 1, 7, o, classes=given).filter("changed").collect()}
