@@ -1,10 +1,12 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance along directories.
 
-Files are cut into segments at tags and line ends.  A segment's words, weighted by
-term frequency and by inverse frequency among all files, are compared with each
-template; a file whose best segment reaches ``threshold`` states that licence.  A
-file that states none takes that of the nearest ancestor directory holding a licence
-file.  Everything is DataFrame functions; Python code runs on the driver alone.
+Files are cut into lines at tags and line ends.  A segment is a line, or two to ``LINES``
+lines that follow one another and all hold telling words of a template: a notice may be
+wrapped.  A segment's words, weighted by term frequency and by inverse frequency among
+all files, are compared with each template; a file whose best segment reaches
+``threshold`` states that licence, for itself.  A file that states none takes that of
+the nearest ancestor directory holding a licence file: one that states a licence and
+whose name says what it is (``LICENCE_FILE``), unless the caller tells another way.  Everything is DataFrame functions; Python code runs on the driver alone.
 
 A first pass keeps a file's template terms, for their frequencies, and the segments
 that hold a template term outside ``PLAIN``.  Afterwards the driver knows the weights
@@ -39,6 +41,10 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -46,11 +52,19 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0 Universal."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
 )
+#: Lines of one notice that are read together.
+LINES = 4
+#: Names of files that speak for their directory.
+LICENCE_FILE = r"(?i)(^|/)((un)?licen[cs]es?|copying|copyright|notice)([-_][^/.]*)?(\.(lesser|md|rst|txt|html?))?$"
 _CUT = r"<[^>]*>|[\r\n]+"
 _GAP = r"[^a-z0-9.]+"
 #: Everyday words of the templates, most likely too common to carry a cosine.
-PLAIN = frozenset("the of and to in is with or that are by this you any may a an it not for from on".split())
+PLAIN = frozenset("the of and to in is with or that are by this you any may a an it not for from on can and either at your option any all as above use into who no".split())
 
 
 def terms(text: Column) -> Column:
@@ -74,6 +88,13 @@ def _can_carry(words: frozenset[str], vectors: list[dict[str, float]], threshold
     return any(math.sqrt(x) >= threshold - 1e-6 for x in share)
 
 
+def _in_a_row(n: int) -> Column:
+    """Words of n told lines that follow one another, for each place in ``lines`` (i, s) where they begin."""
+    last = lambda j: F.get(F.col("lines"), j + (n - 1))["i"]
+    start = F.filter(F.transform("lines", lambda e, j: F.struct(j.alias("j"), (last(j) - e["i"] == n - 1).alias("run"))), lambda e: e["run"])
+    return F.transform(start, lambda e: F.flatten(F.transform(F.slice("lines", e["j"] + 1, n), lambda x: x["s"])))
+
+
 def statements(files: DataFrame, threshold: float, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """path, licence, score of files whose best segment reaches the threshold."""
     spark = files.sparkSession
@@ -84,8 +105,11 @@ def statements(files: DataFrame, threshold: float, templates: tuple[tuple[str, s
     def read(wanted: list[str]) -> DataFrame:
         """path, met (template terms of the file), near (segments with a wanted term)."""
         cut = files.select("path", F.transform(F.split(F.lower("text"), _CUT), terms).alias("segments"))
-        near = F.filter("segments", lambda s: F.arrays_overlap(s, F.array(*[F.lit(w) for w in wanted])))
-        return settle(cut.select("path", F.array_intersect(F.flatten("segments"), named).alias("met"), near.alias("near")))
+        # the lines that hold a wanted term, with their numbers
+        told = F.filter(F.transform("segments", lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda e: F.arrays_overlap(e["s"], F.array(*[F.lit(w) for w in wanted])))
+        lines = cut.select("path", F.array_intersect(F.flatten("segments"), named).alias("met"), told.alias("lines"))
+        several = [_in_a_row(n) for n in range(2, LINES + 1)]
+        return settle(lines.select("path", "met", F.concat(F.transform("lines", lambda e: e["s"]), *several).alias("near")))
 
     table = read([w for w in vocabulary if w not in PLAIN])
     # a file counts once for a term however many segments have it
@@ -158,11 +182,14 @@ def directory(path: Column) -> Column:
 def scan(files: DataFrame, threshold: float = 0.7, licence_file: Column | None = None) -> DataFrame:
     """path, licence, score, origin ('own', 'inherited' or 'none'), directory it comes from.
 
-    ``licence_file`` tells which stating files speak for their directory (all, if None).
+    ``licence_file`` tells which stating files speak for their directory; those that
+    LICENCE_FILE names, if None.
     """
+    if licence_file is None:
+        licence_file = F.col("path").rlike(LICENCE_FILE)
     rows = files.select("path")
     own = settle(statements(files.select("path", "text").filter("path is not null and text is not null"), threshold))
-    speak = own if licence_file is None else own.filter(licence_file)
+    speak = own.filter(licence_file)
     order = F.struct(-F.col("score"), F.col("licence"), F.col("path"))
     held = speak.withColumn("dir", directory(F.col("path"))).groupBy("dir").agg(F.min_by(F.struct("licence", "score"), order).alias("held"))
     # inheritance is settled once for each directory

@@ -111,7 +111,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.license_scan import scan, url_path
 
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return scan(pages.select(url_path(F.col("url")).alias("path"), F.col("html").alias("text")), threshold=0.7)
+    return scan(pages.select(url_path(F.col("url")).alias("path"), F.col("html").alias("text")), threshold=0.7, licence_file=F.lit(True))
 
 
 @query
@@ -161,29 +161,45 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FRO
 
 
 def _license_sql(threshold: float) -> str:
-    from tessera.llm.license_scan import TEMPLATES
+    from tessera.llm.license_scan import LINES, PLAIN, TEMPLATES, _terms
 
     values = ", ".join(f"({i}, '{licence}', '{text}')" for i, (licence, text) in enumerate(TEMPLATES))
     words = r"list_filter(list_transform(regexp_split_to_array({}, '[^a-z0-9.]+'), lambda w: trim(w, '.')), lambda w: w <> '')"
+    telling = ", ".join(f"'{w}'" for w in sorted({w for _, text in TEMPLATES for w in _terms(text)} - PLAIN))
+    ahead = ", ".join(f"lead(ws, {n}) OVER v AS w{n}, coalesce(lead(hit, {n}) OVER v, false) AS h{n}" for n in range(1, LINES))
+    several = "".join(
+        f" UNION ALL SELECT path, list_concat(ws, {', '.join(f'w{m}' for m in range(1, n))}) FROM ahead WHERE hit AND {' AND '.join(f'h{m}' for m in range(1, n))}" if n == 2
+        else f" UNION ALL SELECT path, flatten([ws, {', '.join(f'w{m}' for m in range(1, n))}]) FROM ahead WHERE hit AND {' AND '.join(f'h{m}' for m in range(1, n))}"
+        for n in range(2, LINES + 1)
+    )
     return rf"""
 WITH f AS (
-  SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z]+://|/+$', '', 'g') AS path, lower(html) AS text FROM pages
+  SELECT row_number() OVER () AS fid, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z]+://|/+$', '', 'g') AS path, lower(html) AS text FROM pages
 ), total AS (
   SELECT count(DISTINCT path) AS n FROM f
+), line AS (
+  SELECT fid, path, generate_subscripts(s, 1) AS i, unnest(s) AS s FROM (SELECT fid, path, regexp_split_to_array(text, '<[^>]*>|[
+]+') AS s FROM f)
+), told AS (
+  SELECT fid, path, i, ws, list_has_any(ws, [{telling}]) AS hit FROM (SELECT fid, path, i, {words.format("s")} AS ws FROM line)
+), ahead AS (
+  SELECT path, ws, hit, {ahead} FROM told WINDOW v AS (PARTITION BY fid ORDER BY i)
 ), seg AS (
-  SELECT path, row_number() OVER () AS sid, s FROM (SELECT path, unnest(regexp_split_to_array(text, '<[^>]*>|[\r\n]+')) AS s FROM f)
+  SELECT path, row_number() OVER () AS sid, ws FROM (SELECT path, ws FROM ahead{several})
 ), word AS (
-  SELECT path, sid, unnest({words.format("s")}) AS term FROM seg
+  SELECT path, sid, unnest(ws) AS term FROM seg
 ), tw AS (
   SELECT t, licence, term, count(*) AS tf FROM (SELECT t, licence, unnest({words.format("lower(text)")}) AS term FROM (VALUES {values}) v(t, licence, text)) GROUP BY 1, 2, 3
+), held_by AS (
+  SELECT term, count(DISTINCT path) AS files FROM word GROUP BY 1
 ), idf AS (
-  SELECT term, ln((1 + any_value(total.n)) / (1 + count(DISTINCT path))) + 1 AS idf FROM (SELECT DISTINCT term FROM tw) LEFT JOIN word USING (term), total GROUP BY 1
+  SELECT term, ln((1 + any_value(total.n)) / (1 + coalesce(any_value(files), 0))) + 1 AS idf FROM (SELECT term FROM tw UNION SELECT term FROM held_by) LEFT JOIN held_by USING (term), total GROUP BY 1
 ), tmpl AS (
   SELECT t, licence, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS length FROM tw JOIN idf USING (term)
 ), tf AS (
-  SELECT path, sid, term, count(*) AS tf FROM word WHERE sid IN (SELECT sid FROM word JOIN idf USING (term)) GROUP BY 1, 2, 3
+  SELECT path, sid, term, count(*) AS tf FROM word WHERE sid IN (SELECT sid FROM word WHERE term IN (SELECT term FROM tw)) GROUP BY 1, 2, 3
 ), wt AS (
-  SELECT path, sid, term, tf * coalesce(idf, ln(1 + n) + 1) AS w FROM tf LEFT JOIN idf USING (term), total
+  SELECT path, sid, term, tf * idf AS w FROM tf JOIN idf USING (term)
 ), best AS (
   SELECT path, licence, round(dot / length, 6) AS score FROM (SELECT path, sid, t, licence, sum(wt.w * tmpl.w / tmpl.length) AS dot FROM wt JOIN tmpl USING (term) GROUP BY 1, 2, 3, 4)
   JOIN (SELECT path, sid, sqrt(sum(w * w)) AS length FROM wt GROUP BY 1, 2) USING (path, sid) WHERE round(dot / length, 6) >= {threshold}

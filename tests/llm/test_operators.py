@@ -509,17 +509,43 @@ def test_license_scan(spark):
     df = spark.createDataFrame(rows, "path string, text string")
     from pyspark.sql import functions as F
 
-    got = license_scan.scan(df, licence_file=F.col("path").rlike("LICENSE$")).toPandas()
+    got = license_scan.scan(df).toPandas()
     assert len(got) == len(rows)
     of = {r["path"]: (r["licence"], r["origin"], r["directory"]) for _, r in got.iterrows() if r["path"]}
     assert of["h/a/LICENSE"] == ("Apache-2.0", "own", "h/a") and of["h/a/b/two.py"] == ("MIT", "own", "h/a/b")
     assert of["h/a/b/one.py"] == ("Apache-2.0", "inherited", "h/a") and of["h/a/d/e/six.py"][1] == "inherited"
     assert of["h/c/three.py"][1] == of["h/c/four.py"][1] == of["top.txt"][1] == "none"
-    near = license_scan.scan(df).toPandas()
+    near = license_scan.scan(df, licence_file=F.lit(True)).toPandas()
     assert near[near["path"] == "h/a/b/one.py"]["licence"].tolist() == ["MIT", "MIT"]
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_license_files_and_wrapped_notices(spark):
+    """A header licenses its own file alone; a notice may be wrapped, and versions are told apart."""
+    notice = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#"""
+    older = notice.replace("version 3", "version 2").replace("software:", "software;")
+    rows = [("r/a/one.py", notice + "\nimport os"), ("r/a/two.py", "import sys"), ("r/b/COPYING", older), ("r/b/c/three.py", "x = 1"), ("r/b/c/LICENSE-MIT.txt", "Released under the MIT License."), ("r/b/c/d/four.py", "y"), ("r/licences.py", "Released under the MIT License.")]
+    got = {r["path"]: (r["licence"], r["origin"]) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["r/a/one.py"] == ("GPL-3.0-or-later", "own") and got["r/a/two.py"] == (None, "none") and got["r/licences.py"] == ("MIT", "own")
+    assert got["r/b/COPYING"] == ("GPL-2.0-or-later", "own") and got["r/b/c/three.py"] == ("MIT", "inherited") and got["r/b/c/d/four.py"] == ("MIT", "inherited")
+
+
+def test_license_crowded_keys(spark, monkeypatch):
+    """Crowded directories, repeated and null paths come out as without the broadcast."""
+    monkeypatch.setattr(license_scan, "HOT", 8)
+    rows = [(f"h/{i % 3}/f{i // 2}", "Released under the MIT License." if i == 4 else "plain words") for i in range(90)] + [(None, "x")] * 20 + [("lone/a", "x"), ("h/LICENSE", "Licensed under CC BY 4.0.")]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = Counter(tuple(r) for r in license_scan.scan(df).collect())
+    monkeypatch.setattr(license_scan, "HOT", 10**9)
+    assert got == Counter(tuple(r) for r in license_scan.scan(df).collect()) and sum(got.values()) == len(rows)
+    monkeypatch.setattr(license_scan, "HOT", 0.5)
+    assert got == Counter(tuple(r) for r in license_scan.scan(df).collect())
+
+
 def test_license_scores(spark):
     """Scores as plain Python has them."""
     import math
@@ -531,7 +557,13 @@ def test_license_scores(spark):
     paths = [r["path"] for r in df.select("path").collect()]
     named = [license_scan._terms(t) for _, t in license_scan.TEMPLATES]
     vocabulary = {w for ws in named for w in ws}
-    segments = [(p, license_scan._terms(s)) for p, h in zip(paths, sf["html"]) for s in re.split(license_scan._CUT, h)]
+    files = [(p, [license_scan._terms(s) for s in re.split(license_scan._CUT, h)]) for p, h in zip(paths, sf["html"])]
+    telling = vocabulary - license_scan.PLAIN
+    segments = [(p, ws) for p, lines in files for ws in lines]
+    for p, lines in files:
+        for i, n in itertools.product(range(len(lines)), range(2, license_scan.LINES + 1)):
+            if i + n <= len(lines) and all(telling & set(ws) for ws in lines[i : i + n]):
+                segments.append((p, [w for ws in lines[i : i + n] for w in ws]))
     seen = defaultdict(set)
     for p, ws in segments:
         for w in vocabulary & set(ws):
