@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 
 #: Bytes of one Arrow batch sent to a Python worker.
 BATCH_BYTES = 4 << 20
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -44,7 +45,13 @@ def settle(df: DataFrame, codec: str = "snappy", per_file: int = 0) -> DataFrame
     writer = df.write.option("compression", codec)
     if per_file:
         writer = writer.option("maxRecordsPerFile", per_file)
-    writer.parquet(path)
+    # the table replaces what was shuffled for it, so those files go as soon as it is written
+    kept = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,15 +63,6 @@ def forget(*frames: DataFrame) -> None:
                 _delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of tables that nothing refers to any more.
-
-    It does so when the driver's garbage is collected, which a short job may never live to see.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
