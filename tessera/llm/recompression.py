@@ -46,7 +46,9 @@ FAR = 1 << 40
 SAMPLE = 32
 HOT_SHARE = 2e-5
 HOT_LEAST = 40
+#: Rows, and windows in them, that a task holds before it deals them out.
 ROWS = 60_000
+WINDOWS = 1 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -205,12 +207,12 @@ def _packed(docs: DataFrame, hot: np.ndarray, parts: int, k: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, held, size = shared.value, [], 0
+        hot, held, size, wide = shared.value, [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, size
+            nonlocal held, size, wide
             name, doc, text, p, count, window = (np.concatenate(x) for x in zip(*held, strict=True))
-            held, size = [], 0
+            held, size, wide = [], 0, 0
             at = np.cumsum(count) - count
             marked = (np.zeros(0, np.int64),) * 3
             if len(hot):
@@ -260,7 +262,8 @@ def _packed(docs: DataFrame, hot: np.ndarray, parts: int, k: int) -> DataFrame:
                 if len(rows.name):
                     held.append((rows.name, rows.doc, rows.text, rows.first, rows.count, rows.window[_expand(rows.at, rows.count)]))
                     size += len(rows.name)
-                if size >= ROWS:
+                    wide += int(rows.count.sum())
+                if size >= ROWS or wide >= WINDOWS:
                     yield flush()
         if held:
             yield flush()

@@ -264,21 +264,27 @@ def _common(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(sets)), n), hit, len(sets)).astype(np.int64)
 
 
+#: Rows of a region's matrix looked at together where numbers are wider than a byte.
+STRIPE = 256
+
+
 def _linked(sets: list[np.ndarray], percent: int, leaf: int) -> np.ndarray:
     """Which members link; pairs inside a core are known without their intersection."""
     n = np.array([len(s) for s in sets])
     core = _core(sets, n, percent) if len(sets) > leaf else np.zeros(len(sets), bool)
-    if core.sum() < 2:
-        both = _overlaps(sets)
-        return 100 * both >= percent * (n[:, None] + n[None, :] - both)
-    inside, rest = np.flatnonzero(core), np.flatnonzero(~core)
+    rest = np.flatnonzero(~core) if core.sum() > 1 else np.arange(len(sets))
     out = np.zeros((len(sets), len(sets)), bool)
-    out[np.ix_(inside, inside)] = True
+    if core.sum() > 1:
+        inside = np.flatnonzero(core)
+        out[np.ix_(inside, inside)] = True
     if len(rest):
-        both = _overlaps(sets, rest)
-        hit = 100 * both >= percent * (n[rest][:, None] + n[None, :] - both)
-        out[rest] = hit
-        out[:, rest] = hit.T
+        both = _overlaps(sets, None if len(rest) == len(sets) else rest)
+        for i in range(0, len(rest), STRIPE):
+            own = rest[i : i + STRIPE]
+            part = both[i : i + STRIPE].astype(np.float64)
+            hit = 100 * part >= percent * (n[own][:, None] + n[None, :] - part)
+            out[own] = hit
+            out[:, own] = hit.T
     return out
 
 
@@ -290,30 +296,37 @@ def _join_region(percent: int, leaf: int):
         linked = _linked(sets, percent, leaf)
         np.fill_diagonal(linked, False)
         # components inside the region
-        label = np.arange(len(k))
+        size = len(k)
+        label = np.arange(size, dtype=np.int32)
         while True:
-            least = np.where(linked, label[None, :], len(k)).min(1, initial=len(k))
-            new = np.minimum(label, least)
+            new = label.copy()
+            for i in range(0, size, STRIPE):
+                new[i : i + STRIPE] = np.minimum(label[i : i + STRIPE], np.where(linked[i : i + STRIPE], label[None, :], size).min(1, initial=size))
             new = new[new]
             if (new == label).all():
                 break
             label = new
         # a pair is counted in one cell: of its least common pivot, at each level of its least home, in its tile
-        own = linked.copy()
+        own = linked
         for level, low in enumerate(pdf["lows"].iloc[0]):
             home = np.array([h[level] for h in pdf["homes"]])
-            own &= np.minimum.outer(home, home) == low
+            least, there = home == low, home >= low
+            own &= least[:, None] | least[None, :]
+            own &= there[:, None] & there[None, :]
         block = pdf["block"].to_numpy()
-        own &= (np.minimum.outer(block, block) == pdf["a"].iloc[0]) & (np.maximum.outer(block, block) == pdf["b"].iloc[0])
+        one, other = block == pdf["a"].iloc[0], block == pdf["b"].iloc[0]
+        own &= (one[:, None] & other[None, :]) | (other[:, None] & one[None, :])
         region = pdf["p"].iloc[0]
         lists = pdf["pivots"].tolist()
         earlier = {q: i for i, q in enumerate(sorted({q for qs in lists for q in qs if q < region}))}
         if earlier:
-            named = np.zeros((len(k), len(earlier)), np.float32)
+            named = np.zeros((size, len(earlier)), np.float32)
             for i, qs in enumerate(lists):
                 named[i, [earlier[q] for q in qs if q < region]] = 1
-            own &= named @ named.T == 0
-        return pd.DataFrame({"k": k, "root": k[label], "links": own @ weight})
+            for i in range(0, size, STRIPE):
+                own[i : i + STRIPE] &= named[i : i + STRIPE] @ named.T == 0
+        links = np.concatenate([own[i : i + STRIPE] @ weight for i in range(0, size, STRIPE)])
+        return pd.DataFrame({"k": k, "root": k[label], "links": links})
 
     return run
 
