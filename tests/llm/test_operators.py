@@ -499,6 +499,71 @@ def test_packing(docs, texts):
         assert held["offset"].tolist() == [0, *held["length"].cumsum().tolist()[:-1]] and held["length"].sum() <= 2048
 
 
+def test_packing_equal_lengths_stay_few_segments():
+    """Any number of equal pieces is one entry of the table the tasks get."""
+    for many in (10, 100_001):
+        t = best_fit.Solution({700: many, 1300: 3}, 2048).table()
+        assert len(t["length"]) < 12
+    assert best_fit.Solution({700: 100_000}, 2048).sequences == 50_000
+
+
+def test_packing_and_token_files_of_repeated_and_null_ids(spark, monkeypatch):
+    """Rows that share an id, or have none, are pieces and documents each, also at the borders of ranges."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "PER_FILE", 300)
+    rng = random.Random(6)
+    rows = [(i // 9, sentence(rng, rng.randrange(1, 60))) for i in range(180)] + [(None, sentence(rng, 20)), (None, None), (None, ""), (7, rng.choice("ab") * 3)]
+    rows += [rows[0]] * 3
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, part int, piece string, length int").repartition(6)
+    tokenizer = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    crc = lambda t: zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    got = token_files.token_table(df, vocabulary("byte_bpe_50k.json"), 2).collect()
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == Counter((d, crc(t)) for d, t in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+    packed = best_fit.pack(df, vocabulary("byte_bpe_50k.json"), 2, 64, keeps_space=True).toPandas()
+    assert packed.groupby("doc_id", dropna=False)["piece"].count().sum() == len(packed) and (packed["piece"] == 0).sum() == len(rows)
+    for _, held in packed.sort_values("offset").groupby("sequence_id"):
+        assert held["offset"].tolist() == [0, *held["length"].cumsum().tolist()[:-1]] and held["length"].sum() <= 64
+
+
+def test_token_files_stay_at_a_path(spark, tmp_path):
+    df = spark.createDataFrame([(2, "one two"), (1, "three")], "doc_id long, text string")
+    at = str(tmp_path / "tokens")
+    kept = token_files.write_tokens(df, vocabulary("byte_bpe_50k.json"), 2, path=at)
+    again = spark.read.parquet(at)
+    assert again.count() == kept.count() > 0
+    (name,) = [f for f in (tmp_path / "tokens").iterdir() if f.suffix == ".parquet"][:1]
+    import pyarrow.parquet as pq
+
+    meta = pq.ParquetFile(name).metadata
+    assert {meta.row_group(0).column(i).compression for i in range(meta.num_columns)} == {"UNCOMPRESSED"}
+    blob = again.first()["blob"]
+    assert dac.Reader(bytes(blob))[0] == dac.Reader(bytes(blob)).ids()[0]
+
+
+def test_quality_repeated_rows(spark):
+    """Rows that repeat an id are scored by their own texts; a row labelled twice counts twice."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    good, bad = (lambda: sentence(rng, 60).capitalize() + "."), (lambda: " ".join(rng.choice(["###", "|||", "$$$"]) for _ in range(60)))
+    rows = [(i, good() if i % 2 else bad()) for i in range(120)] + [(1, bad()), (1, good()), (None, good()), (None, bad())]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120) if i != 1] + [(3, 1)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = quality.classify(df, labels, F.lit(True)).collect()
+    assert len(got) == len(rows)
+    assert sorted(r["predicted"] for r in got if r["doc_id"] == 1) == [0, 1, 1] and sorted(r["predicted"] for r in got if r["doc_id"] is None) == [0, 1]
+    kept = quality.accepted(df, labels, F.lit(True))
+    want = Counter((d, t) for d, t in rows if not t.startswith(("#", "|", "$")))
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+
+
 # --- 9: licences ---------------------------------------------------------------------------------
 def test_license_scan(spark):
     apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
