@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.frames import map_batches, settle
+from tessera.llm.frames import map_batches, settle, spread
 
 SCALES = (1.0, 0.75, 0.5)
 #: Corners taken in each square of FIELD x FIELD pixels, and how many are described at a time.
@@ -315,8 +315,11 @@ def painted(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("own"))
     digit = F.pmod("id", F.lit(10))
     lent = rows.filter(digit == 0).groupBy(F.col("id").alias("source")).agg(F.min("own").alias("other"))
-    copy = F.when(digit.isin(*EDITS), F.col("id") - digit)
-    rows = rows.withColumn("source", copy).join(lent, "source", "left")
+    planted = digit.isin(*EDITS) & F.col("id").isNotNull()
+    copies_ = rows.filter(planted).withColumn("source", F.col("id") - digit).join(lent, "source", "left").drop("source")
+    rows = copies_.unionByName(rows.filter(~F.coalesce(planted, F.lit(False))).withColumn("other", F.lit(None).cast("array<double>")))
+    # few bytes make much work here: as many tasks as the session deals in
+    rows = spread(rows, "id", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
