@@ -59,7 +59,7 @@ DRAWN = 64
 #: The share of a region's pairs that a split may leave.
 WORTH = 0.7
 #: Documents of a region that no pivot splits, beyond which it is tiled.
-TILE = 3000
+TILE = 1000
 #: A shingle this frequent among the documents of one chunk is hot everywhere.
 HOT = 64
 CHUNK = 1_000_000
