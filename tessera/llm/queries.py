@@ -49,6 +49,34 @@ def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the mix: sizes and targets of sources, that no row is taken above twice, and that each source comes near its target."""
+    from tessera.llm.cube_mix import mix
+
+    rows = mix(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2.0)
+    found = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"), F.round(F.max("target"), 4).alias("target"), F.min("target").alias("_t"), F.max("source_size").alias("_s"), F.sum("taken").alias("_taken"), F.bool_and(F.col("taken").isin(0, F.col("size"), 2 * F.col("size"))).alias("_each"))
+    sound = F.col("_each") & (F.col("_s") == F.col("source_size")) & (F.abs(F.col("_t") - F.col("target")) < 1e-3) & (F.abs(F.col("_taken") - F.col("_t")) <= 0.002 * F.col("_t") + 5)
+    return found.select("source", "n", "source_size", "target", sound.alias("sound"))
+
+
+ORACLES["mix_targets"] = r"""
+WITH d AS (
+  SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\f\r]+')) AS size FROM documents
+), s AS (
+  SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1
+), w AS (
+  SELECT *, 2.0 * source_size AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END AS weight, 1.5 * sum(source_size) OVER () AS goal FROM s
+), l AS (
+  SELECT *, cap / weight AS rate, (goal - coalesce(sum(cap) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW v AS (ORDER BY cap / weight, source NULLS LAST)
+), water AS (
+  SELECT max(level) AS level FROM l WHERE level <= rate
+)
+SELECT source, n, source_size, round(CAST(least(cap, water.level * weight) AS DOUBLE), 4) AS target, true AS sound FROM l, water
+"""
+
+
 @query
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.norm_topk import top_k
@@ -178,7 +206,7 @@ WITH f AS (
 ), total AS (
   SELECT count(DISTINCT path) AS n FROM f
 ), line AS (
-  SELECT fid, path, generate_subscripts(s, 1) AS i, unnest(s) AS s FROM (SELECT fid, path, regexp_split_to_array(text, '<[^>]*>|[
+  SELECT fid, path, generate_subscripts(s, 1) AS i, unnest(s) AS s FROM (SELECT fid, path, regexp_split_to_array(text, '<[^>]*>|[
 ]+') AS s FROM f)
 ), told AS (
   SELECT fid, path, i, ws, list_has_any(ws, [{telling}]) AS hit FROM (SELECT fid, path, i, {words.format("s")} AS ws FROM line)

@@ -708,6 +708,22 @@ def test_token_files(docs, texts, monkeypatch):
         start += len(ids)
 
 
+def test_shared_folder_is_never_one_machine_s_own():
+    """On a cluster without a shared folder nothing is written to a temporary one."""
+    from types import SimpleNamespace
+
+    from tessera.llm import frames
+
+    kept: dict[str, str] = {}
+    conf = SimpleNamespace(get=lambda k, d=None: kept.get(k, d), set=kept.__setitem__)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    with pytest.raises(RuntimeError):
+        frames.shared_folder(session("spark://host:7077"))
+    assert frames.shared_folder(session("local[2]")).startswith("file:///")
+    kept["spark.checkpoint.dir"] = "s3://bucket/x/"
+    assert frames.shared_folder(session("spark://host:7077")) == "s3://bucket/x"
+
+
 # --- empty tables and the pipeline ---------------------------------------------------------------
 def test_empty_tables(spark, empty):
     path = vocabulary("byte_bpe_50k.json")
