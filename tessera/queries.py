@@ -133,7 +133,7 @@ def flip_scan(spark, d):
 def _scratch(spark: SparkSession) -> str:
     """A folder for files of a query: the one the cluster shares, if it names one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared is None and not spark.sparkContext.master.startswith("local"):
+    if shared is None and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     base = None if shared is None else shared.removeprefix("file:").replace("//", "/")
     return tempfile.mkdtemp(prefix="tiff-", dir=base)

@@ -335,6 +335,28 @@ def test_streamed_series_equals_the_batch():
     assert seen == whole and len(whole) == len(dates)
 
 
+def test_stream_of_ended_pixels(spark, tmp_path):
+    """A pixel without news gives what it still holds."""
+    from tessera.streaming.gapfill import fill
+
+    schema = "tag string, y int, x int, band int, date int, value double, flag boolean"
+    rows = [("a", 0, 0, 0, d, 10.0 * d, d == 8) for d in range(1, 9)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = fill(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 2, idle=1)
+    q = stream.writeStream.format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if spark.table("ended").filter("tag = 'a'").count() == 8:
+                break
+            q.awaitTermination(1)
+            # a batch has to come for a timeout to be seen
+            spark.createDataFrame([("b", 0, 0, 0, 1, 1.0, False)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    finally:
+        q.stop()
+    got = {r["date"]: (r["value"], r["state"]) for r in spark.table("ended").filter("tag = 'a'").collect()}
+    assert got[8] == (70.0, interpolation.FILLED) and set(got) == set(range(1, 9))
+
+
 def test_stream(spark, tmp_path):
     from tessera.streaming.gapfill import fill
 
