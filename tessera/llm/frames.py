@@ -46,12 +46,12 @@ def settle(df: DataFrame, codec: str = "snappy", per_file: int = 0) -> DataFrame
     if per_file:
         writer = writer.option("maxRecordsPerFile", per_file)
     # the table replaces what was shuffled for it, so those files go as soon as it is written
-    kept = spark.conf.get(CLEAN_UP)
+    kept = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
         writer.parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, kept)
+        spark.conf.set(CLEAN_UP, kept) if kept is not None else spark.conf.unset(CLEAN_UP)
     return spark.read.schema(df.schema).parquet(path)
 
 
