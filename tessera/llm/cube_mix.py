@@ -11,6 +11,11 @@ first inside a block, so what a block can't decide is short.  Leftovers of all
 blocks fly again, level by level, until one block of a source is left.
 *Landing*: the last documents of a source and a dozen shorter ones are decided by
 trial to come nearest its tokens.
+*Evening out*: a dozen documents can't always make up for a long one.  A source that
+still misses its target by a word or more has the copies of some documents raised or
+lowered by one, chosen from the histogram of its lengths, so from all its documents.
+Only where that leaves more than a thousandth of the target may a document be taken
+any number of times up to ``most``; what is missed then is what whole documents allow.
 
 Null texts have size 0; a null source is a source, the last one; repeated rows
 are drawn one by one; other columns are ignored; an empty table gives an empty
@@ -19,6 +24,8 @@ result.  The random choices depend on ids and sizes alone, so reruns agree.
 
 from __future__ import annotations
 
+import functools
+import math
 import random
 import zlib
 from collections.abc import Callable, Iterator
@@ -36,6 +43,10 @@ BLOCK = 2000
 TINY = 1e-9
 #: Documents decided anew with the last fractions; the landing tries 2 to the power of this.
 REOPEN = 12
+#: Part of its target that a source may miss before documents leave the two numbers of copies next to its mean.
+NEAR = 0.001
+#: Sums that evening out looks at, either way; more where documents are longer.
+WIDE = 1 << 20
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -128,6 +139,50 @@ def land(size: list[float], p: list[float], reopen: int = REOPEN) -> list[float]
     return out
 
 
+def even_out(gap: int, size: list[int], more: list[int], less: list[int]) -> list[int]:
+    """How many copies of each size to add, or to drop if negative, so that their words come nearest gap.
+
+    ``more`` and ``less`` bound what can be added and dropped.  The longest that fit
+    are moved first; the rest is a subset sum over what can still be moved either
+    way, from the shortest, which ends as soon as it is met.
+    """
+    units, left, sign = [0] * len(size), abs(gap), 1 if gap > 0 else -1
+    for i in sorted(range(len(size)), key=lambda i: -size[i]):
+        n = min((more if gap > 0 else less)[i], left // size[i])
+        units[i] = sign * n
+        left -= n * size[i]
+    if not left:
+        return units
+    free = [(more[i] - u, less[i] + u) for i, u in enumerate(units)]
+    part = math.gcd(*size) or 1
+    size, left = [s // part for s in size], sign * left / part
+    half = min(sum(s * (a + b) for s, (a, b) in zip(size, free, strict=True)), max(WIDE, round(abs(left)) + 2 * max(size, default=0)))
+    first = np.full(2 * half + 1, -1, np.int32)  # of each sum from -half on, the step that reached it first
+    first[half] = 0
+    want = half + max(-half, min(half, round(left)))
+    steps, low, high = [(0, 0)], 0, 0
+    for i in sorted(range(len(size)), key=lambda i: size[i]):
+        for way, most in zip((1, -1), free[i], strict=True):
+            most, n = min(most, 2 * half // size[i]), 1
+            while most and first[want] < 0:
+                n = min(n, most)
+                by = way * n * size[i]
+                start, end = max(low, -half - by), min(high, half - by) + 1
+                if start < end:
+                    here, there = first[half + start : half + end], first[half + start + by : half + end + by]
+                    there[(here >= 0) & (there < 0)] = len(steps)
+                    low, high = min(low, start + by), max(high, end - 1 + by)
+                steps.append((i, way * n))
+                most, n = most - n, 2 * n
+    reached = np.flatnonzero(first >= 0)
+    at = int(reached[np.lexsort((np.abs(reached - half), np.abs(reached - half - left)))[0]])
+    while at != half:
+        i, n = steps[first[at]]
+        units[i] += n
+        at -= n * size[i]
+    return units
+
+
 LEVEL_SCHEMA = "doc_id long, source string, size long, source_size long, target double, base int, p double"
 
 
@@ -145,6 +200,48 @@ def _flight(level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return flight
 
 
+def _evening(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The copies to add to each length of a source, of documents taken equally often."""
+
+    def evening(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "copies"])
+        size, copies, n = (pdf[c].tolist() for c in ("size", "copies", "n"))
+        target, base = pdf["target"].iloc[0], pdf["base"].iloc[0]
+        gap = round(target - sum(s * c * k for s, c, k in zip(size, copies, n, strict=True)))
+        units = even_out(gap, size, [k if c == base else 0 for c, k in zip(copies, n, strict=True)], [k if c > base else 0 for c, k in zip(copies, n, strict=True)])
+
+        def missed(units: list[int]) -> int:
+            return abs(gap - sum(s * u for s, u in zip(size, units, strict=True)))
+
+        if missed(units) > NEAR * target:
+            units = min(units, even_out(gap, size, [k * (most - c) for c, k in zip(copies, n, strict=True)], [k * c for c, k in zip(copies, n, strict=True)]), key=missed)
+        return pdf.assign(units=units).query("units != 0")[[c.split()[0] for c in MOVE_SCHEMA.split(", ")]]
+
+    return evening
+
+
+MOVE_SCHEMA = "source string, size long, copies int, units long, n long"
+
+
+def _evened(flown: DataFrame, goal: dict[str | None, float], most: int) -> DataFrame:
+    """flown with other copies in the sources whose words miss their target by one or more."""
+    words = flown.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("words")).collect()
+    off = [(r["source"],) for r in words if abs(goal[r["source"]] - r["words"]) >= 1]
+    if not off:
+        return flown
+    off_df = flown.sparkSession.createDataFrame(off, "source string")
+    theirs = flown.filter("size > 0").join(F.broadcast(off_df), flown["source"].eqNullSafe(off_df["source"]), "left_semi")
+    lengths = theirs.groupBy("source", "size", "copies").agg(F.count("*").alias("n"), F.first("target").alias("target"), F.first("base").alias("base"))
+    moves = F.broadcast(settle(lengths.groupBy("source").applyInPandas(_evening(most), MOVE_SCHEMA)).toDF("_source", "_size", "_copies", "_units", "_n"))
+    same = flown["source"].eqNullSafe(moves["_source"]) & (flown["size"] == moves["_size"]) & (flown["copies"] == moves["_copies"])
+    # of documents alike in length and copies, the first ones move one more
+    order = Window.partitionBy("source", "size", "copies").orderBy(F.xxhash64("doc_id"), "doc_id")
+    moved = flown.join(moves, same).withColumn("_rank", F.row_number().over(order))
+    each = F.floor(F.abs("_units") / F.col("_n")) + F.when(F.col("_rank") <= F.abs("_units") % F.col("_n"), 1).otherwise(0)
+    moved = moved.withColumn("copies", (F.col("copies") + F.signum("_units") * each).cast("int"))
+    return flown.join(moves, same, "left_anti").unionByName(moved.select(*columns(flown)))
+
+
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Each row of docs, with all its columns, as many times as the mix takes it.
 
@@ -204,8 +301,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         counts = spark.createDataFrame([(s, k) for s, *_, k in plan], "source string, blocks long")
         rows = rows.join(F.broadcast(counts), rows["source"].eqNullSafe(counts["source"])).drop(counts["source"])
         level += 1
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    copies = (F.col("base") + F.round("p").cast("int")).alias("copies")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    sure, *others = (d.withColumn("copies", F.col("base") + F.round("p").cast("int")) for d in done)
+    out = sure.unionByName(_evened(functools.reduce(DataFrame.unionByName, others), goal, int(most)))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies").withColumn("taken", F.col("size") * F.col("copies"))

@@ -1,11 +1,13 @@
 """Operators against brute force, and the edge cases each docstring defines."""
 
 import itertools
+import operator
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,6 +16,7 @@ from hypothesis import strategies as st
 
 from tessera.llm import best_fit, cube_mix, dac, image_copies, license_scan, norm_topk, quality, recompression, token_files, toxicity, voronoi_join
 from tessera.llm import wordkernel as wk
+from tessera.llm.queries import ORACLES, mix_targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -277,6 +280,41 @@ def test_mix(spark):
     assert (got.sort_values(order)["taken"].to_numpy() == again.sort_values(order)["taken"].to_numpy()).all()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 90), st.integers(0, 2), st.integers(0, 2)), min_size=1, max_size=5), st.integers(-400, 400), st.sampled_from((1, 10)))
+def test_evening_out_comes_nearest(groups, gap, part):
+    size, more, less = [part * s for s, _, _ in groups], [m for _, m, _ in groups], [n for _, _, n in groups]
+    got = cube_mix.even_out(gap, size, more, less)
+    assert all(-n <= u <= m for u, m, n in zip(got, more, less))
+    every = itertools.product(*(range(-n, m + 1) for m, n in zip(more, less)))
+    assert abs(gap - sum(map(operator.mul, size, got))) == min(abs(gap - sum(map(operator.mul, size, u))) for u in every)
+
+
+def test_mix_targets_with_documents_that_a_dozen_cannot_make_up_for(spark, tmp_path):
+    """A long document among short ones, in one block and in several; a source that only other copies bring near."""
+    rng = random.Random(4)
+    texts = {
+        "a long": [2000] + [rng.randrange(20, 60) for _ in range(400)],
+        "b few": [4000, 1, 2, 4, *range(150, 250, 9)],
+        "c blocks": [2000] + [rng.randrange(1, 4) for _ in range(5000)],
+        None: [0, 700] + [rng.randrange(30, 80) for _ in range(320)],
+    }
+    rows = [(s, n) for s, sizes in texts.items() for n in sizes]
+    # documents of the same id and size are drawn one by one
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(rows)] + [(7, "w " * 31, "a long")] * 3 + [(None, None, "a long")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r for r in con.execute(ORACLES["mix_targets"]).fetchall()}
+    assert {r["source"]: tuple(r) for r in mix_targets(spark, str(tmp_path)).collect()} == want
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    first, again = (Counter(tuple(r) for r in cube_mix.mix(d).collect()) for d in (docs, docs.repartition(5)))
+    assert first == again and first.total() == len(rows)
+    for source in texts:
+        taken = sum(r[6] * n for r, n in first.items() if r[1] == source)
+        assert abs(taken - next(r[4] for r in first if r[1] == source)) <= 1
+
+
 # --- 4: top-k ------------------------------------------------------------------------------------
 def test_exact_topk(spark, monkeypatch):
     monkeypatch.setattr(norm_topk, "SLAB", 64)
